@@ -79,7 +79,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
         for frame in frames:
             for page_id, url, html, keep, response in frame.itertuples(index=False):
                 data = record(None if pd.isna(page_id) else int(page_id), url, bytes(html), None if pd.isna(keep) else int(keep), not response)
-                out = out or store.open_output_stream(f"{root}/{name}")
+                out = out or store.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(data)
                 size, n = size + len(data), n + 1
         if out:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, warc
+from tidemark.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, quality, toxicity, warc
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_warc": warc.op9_warc,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_warc": warc.OP9_SQL}

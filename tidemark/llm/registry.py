@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, quality, toxicity, warc
+from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, licences, minhash, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_licence_scan": licences.op5_licence_scan,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

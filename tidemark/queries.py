@@ -1,4 +1,621 @@
-"""Queries over the driver's tables, and their DuckDB twins."""
+"""Queries over the driver's tables, and their DuckDB twins, written independently of each other."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from tidemark import fixtures as X
+from tidemark.functions import dates as D
+from tidemark.operators import ledger as L
+from tidemark.operators import lineage as K
+from tidemark.operators import outcomes as R
+from tidemark.operators import watermarks as W
+from tidemark.plans import loads, windows
+from tidemark.scratch import Scratch
+from tidemark.sources import chunks, ledger_store
+from tidemark.streaming.upserts import stream_upsert_status
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+EXEC = date.fromisoformat(X.EXECUTION)
+NOW = datetime(2024, 1, 30, 12)
+_NOW = "TIMESTAMP '2024-01-30 12:00:00'"
+COLUMNS = ", ".join(ledger_store.LEDGER.names)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _dated(df, *columns):
+    """Dates as text, which compares alike in both engines."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+# Ledger -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X.LEDGER} SELECT {COLUMNS} FROM ledger")
+def fold_ledger(spark, sf):
+    return X.ledger(spark, sf)
+
+
+_UPSERTED = f"""WITH {X.TRANSITIONS}, {X.folded("old", where="event_id % 2 = 0")},
+new AS (SELECT model_name, execution_ts, status, run_group_id, chunk_key, max(updated_at) AS updated_at FROM transitions WHERE event_id % 2 = 1 GROUP BY ALL)
+SELECT o.model_name, o.execution_ts, o.status, coalesce(n.updated_at, o.updated_at) AS updated_at, o.run_group_id, o.chunk_key, o.heartbeat_at, o.start_ts, o.end_ts
+FROM old o LEFT JOIN new n USING (model_name, execution_ts, status, run_group_id, chunk_key)
+UNION ALL
+SELECT model_name, execution_ts, status, updated_at, run_group_id, chunk_key, NULL, NULL, NULL FROM new n
+WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.model_name = n.model_name AND o.execution_ts = n.execution_ts AND o.status = n.status AND o.run_group_id = n.run_group_id AND o.chunk_key = n.chunk_key)"""
+
+
+def _halves(spark, sf):
+    rows = X.transitions(spark, sf)
+    return ledger_store.fold(rows.filter("event_id % 2 = 0")), rows.filter("event_id % 2 = 1")
+
+
+@query(_UPSERTED)
+def upsert_status(spark, sf):
+    return L.upsert_status(*_halves(spark, sf))
+
+
+@query(_UPSERTED)
+def snapshot_ledger(spark, sf):
+    """The same through snapshots on storage."""
+    old, new = _halves(spark, sf)
+    path = Scratch(spark, "snapshots").path("ledger")
+    ledger_store.write_ledger(old, path)
+    ledger_store.write_ledger(L.upsert_status(ledger_store.read_ledger(spark, path), new), path)
+    return ledger_store.read_ledger(spark, path)
+
+
+@query(f"WITH {X.LEDGER} SELECT {COLUMNS} FROM ledger")
+def compact_ledger(spark, sf):
+    """Two appends to the log, each folded into the ledger."""
+    scratch = Scratch(spark, "log")
+    log, path = scratch.path("log"), scratch.path("ledger")
+    rows = X.transitions(spark, sf)
+    for half in (0, 1):
+        ledger_store.append_transitions(rows.filter(F.col("event_id") % 2 == half), log)
+        ledger_store.compact_ledger(spark, log, path)
+    return ledger_store.read_ledger(spark, path)
+
+
+@query(f"""WITH {X.TRANSITIONS} SELECT model_name, execution_ts, status, max(updated_at) AS updated_at, run_group_id, chunk_key FROM transitions GROUP BY ALL""")
+def stream_upserts(spark, sf):
+    """Every transition as a stream into an empty ledger."""
+    scratch = Scratch(spark, "stream")
+    log, path = scratch.path("log"), scratch.path("ledger")
+    ledger_store.append_transitions(X.transitions(spark, sf), log)
+    stream = spark.readStream.schema(ledger_store.LEDGER).option("maxFilesPerTrigger", 2).parquet(log)
+    stream_upsert_status(spark, stream, path, scratch.path("checkpoint")).awaitTermination()
+    return ledger_store.read_ledger(spark, path).select("model_name", "execution_ts", "status", "updated_at", "run_group_id", "chunk_key")
+
+
+@query(
+    f"""WITH {X.LEDGER},
+attempts AS (SELECT model_name, max(execution_ts) AS execution_ts, run_group_id, chunk_key FROM transitions WHERE event_id % 3 <> 1 GROUP BY model_name, run_group_id, chunk_key),
+one AS (SELECT * FROM ledger WHERE NOT (status = 'locked_out' AND EXISTS (SELECT 1 FROM ledger s WHERE s.status = 'started' AND s.model_name = ledger.model_name AND s.run_group_id = ledger.run_group_id AND s.chunk_key = ledger.chunk_key)))
+SELECT t.model_name, t.execution_ts, CASE WHEN a.model_name IS NOT NULL AND t.status = 'locked_out' THEN 'started' ELSE t.status END AS status,
+  CASE WHEN a.model_name IS NOT NULL AND t.status = 'locked_out' THEN {_NOW} ELSE t.updated_at END AS updated_at, t.run_group_id, t.chunk_key,
+  CASE WHEN a.model_name IS NOT NULL AND t.status IN ('started', 'locked_out') THEN {_NOW} ELSE t.heartbeat_at END AS heartbeat_at, t.start_ts, t.end_ts
+FROM one t LEFT JOIN attempts a ON a.model_name = t.model_name AND a.run_group_id = t.run_group_id AND a.chunk_key = t.chunk_key
+UNION ALL
+SELECT model_name, execution_ts, 'started', {_NOW}, run_group_id, chunk_key, {_NOW}, NULL, NULL FROM attempts a
+WHERE NOT EXISTS (SELECT 1 FROM one t WHERE t.status IN ('started', 'locked_out') AND t.model_name = a.model_name AND t.run_group_id = a.run_group_id AND t.chunk_key = a.chunk_key)"""
+)
+def upsert_started(spark, sf):
+    """Attempts of two thirds of all chunks, on a ledger with one lifecycle row a chunk."""
+    ledger, rows = X.ledger(spark, sf), X.transitions(spark, sf)
+    both = ledger.filter("status = 'locked_out'").join(ledger.filter("status = 'started'").select(*L.CHUNK), L.CHUNK, "left_semi")
+    one = ledger.join(both.select(*L.KEY), L.KEY, "left_anti").select(*ledger_store.LEDGER.names)
+    return L.upsert_started(one, rows.filter("event_id % 3 <> 1"), NOW)
+
+
+def _recorded(column: str, extra: str) -> str:
+    other = "start_ts" if column == "end_ts" else "end_ts"
+    return f"""WITH {X.LEDGER},
+new AS (SELECT model_name, run_group_id, chunk_key, arg_max(execution_ts, event_id) AS execution_ts, arg_max(updated_at, event_id) AS v FROM transitions WHERE event_id % 5 < 2 GROUP BY ALL)
+SELECT t.model_name, t.execution_ts, t.status, t.updated_at, t.run_group_id, t.chunk_key, t.heartbeat_at, t.{other}, CASE WHEN n.model_name IS NOT NULL AND t.status = 'started' THEN n.v ELSE t.{column} END AS {column}
+FROM ledger t LEFT JOIN new n ON n.model_name = t.model_name AND n.run_group_id = t.run_group_id AND n.chunk_key = t.chunk_key
+UNION ALL
+SELECT model_name, execution_ts, 'started', {_NOW}, run_group_id, chunk_key, NULL, NULL, v FROM new n
+WHERE NOT EXISTS (SELECT 1 FROM ledger t WHERE t.status = 'started' AND t.model_name = n.model_name AND t.run_group_id = n.run_group_id AND t.chunk_key = n.chunk_key){extra}"""
+
+
+def _windows(spark, sf, column):
+    rows = X.transitions(spark, sf).filter("event_id % 5 < 2")
+    return rows.select("model_name", "execution_ts", "run_group_id", "chunk_key", F.col("updated_at").alias(column), F.col("event_id").alias("seq"))
+
+
+@query(_recorded("end_ts", ""))
+def record_window_end(spark, sf):
+    return L.record_window_end(X.ledger(spark, sf), _windows(spark, sf, "end_ts"), NOW)
+
+
+@query(_recorded("start_ts", ""))
+def record_window_start(spark, sf):
+    return L.record_window_start(X.ledger(spark, sf), _windows(spark, sf, "start_ts"), NOW)
+
+
+_OPEN = """open_rows AS (SELECT * FROM ledger s WHERE status = 'started' AND NOT EXISTS (SELECT 1 FROM ledger t WHERE t.model_name = s.model_name AND t.run_group_id = s.run_group_id
+  AND t.chunk_key = s.chunk_key AND t.status IN ('succeeded', 'failed', 'locked_out', 'crashed')))"""
+
+
+@query(f"WITH {X.LEDGER}, {_OPEN} SELECT {COLUMNS} FROM open_rows")
+def open_rows(spark, sf):
+    return L.open_rows(X.ledger(spark, sf)).select(*ledger_store.LEDGER.names)
+
+
+@query(
+    f"""WITH {X.LEDGER}, {_OPEN} SELECT {COLUMNS} FROM ledger UNION ALL
+SELECT model_name, execution_ts, 'crashed', {_NOW}, run_group_id, chunk_key, NULL, NULL, NULL FROM open_rows WHERE heartbeat_at < {_NOW} - INTERVAL 240 MINUTE"""
+)
+def sweep_crashed(spark, sf):
+    return L.sweep_crashed(X.ledger(spark, sf), NOW)
+
+
+_LOSERS = """mine AS (SELECT model_name, run_group_id, min(updated_at) AS mine FROM ledger WHERE status = 'started' GROUP BY ALL),
+losers AS (SELECT m.model_name, m.run_group_id, arg_min(f.run_group_id, (f.updated_at, f.run_group_id)) AS winner FROM mine m JOIN open_rows f
+  ON f.model_name = m.model_name AND f.run_group_id <> m.run_group_id AND (f.updated_at < m.mine OR (f.updated_at = m.mine AND f.run_group_id < m.run_group_id)) GROUP BY ALL)"""
+
+
+@query(f"WITH {X.LEDGER}, {_OPEN}, {_LOSERS} SELECT * FROM losers")
+def lock_losers(spark, sf):
+    return L.lock_losers(X.ledger(spark, sf))
+
+
+@query(
+    f"""WITH {X.LEDGER}, {_OPEN}, {_LOSERS} SELECT t.model_name, t.execution_ts, CASE WHEN l.winner IS NOT NULL AND t.status = 'started' THEN 'locked_out' ELSE t.status END AS status,
+CASE WHEN l.winner IS NOT NULL AND t.status = 'started' THEN {_NOW} ELSE t.updated_at END AS updated_at, t.run_group_id, t.chunk_key, t.heartbeat_at, t.start_ts, t.end_ts
+FROM ledger t LEFT JOIN losers l USING (model_name, run_group_id)"""
+)
+def apply_lockouts(spark, sf):
+    ledger = X.ledger(spark, sf)
+    return L.apply_lockouts(ledger, L.lock_losers(ledger), NOW)
+
+
+@query(f"WITH {X.LEDGER} SELECT {COLUMNS} FROM ledger WHERE status NOT IN ('locked_out', 'crashed') AND execution_ts >= '2024-01-16'")
+def live_rows(spark, sf):
+    return L.live_rows(X.ledger(spark, sf), date(2024, 1, 31), 15)
+
+
+@query(
+    f"""WITH {X.LEDGER}, live AS (SELECT * FROM ledger WHERE status NOT IN ('locked_out', 'crashed') AND execution_ts >= '2024-01-01'),
+ranked AS (SELECT model_name, execution_ts, run_group_id, row_number() OVER (PARTITION BY model_name, execution_ts ORDER BY max(updated_at) DESC, run_group_id DESC) AS r FROM live GROUP BY model_name, execution_ts, run_group_id),
+won AS (SELECT l.* FROM live l JOIN ranked k ON k.r = 1 AND k.model_name = l.model_name AND k.execution_ts = l.execution_ts AND k.run_group_id = l.run_group_id),
+final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, execution_ts, chunk_key ORDER BY updated_at DESC, status DESC) AS c FROM won) WHERE c = 1),
+st AS (SELECT model_name, execution_ts, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'started') THEN 'started' ELSE 'succeeded' END AS status FROM final GROUP BY ALL),
+agg AS (SELECT model_name, execution_ts, max(run_group_id) AS run_group_id, CASE WHEN count(DISTINCT chunk_key) = 1 THEN max(chunk_key) ELSE '__all__' END AS chunk_key, min(start_ts) AS start_ts, max(end_ts) AS end_ts, max(updated_at) AS updated_at FROM won GROUP BY model_name, execution_ts)
+SELECT a.model_name, a.execution_ts, s.status, a.run_group_id, a.chunk_key, a.start_ts, a.end_ts, a.updated_at FROM agg a JOIN st s ON a.model_name = s.model_name AND a.execution_ts = s.execution_ts"""
+)
+def completions_view(spark, sf):
+    return L.completions_view(X.ledger(spark, sf), date(2024, 1, 31))
+
+
+# Watermarks and bounds --------------------------------------------------------------------------------------------
+
+_WM = """wm AS (SELECT model_name, max(CASE WHEN whole THEN e END) AS watermark FROM (
+  SELECT model_name, run_group_id, bool_and(ok) AS whole, max(end_ts) AS e FROM (SELECT s.*, EXISTS (SELECT 1 FROM ledger d WHERE d.status = 'succeeded' AND d.model_name = s.model_name
+    AND d.run_group_id = s.run_group_id AND d.chunk_key = s.chunk_key) AS ok FROM ledger s WHERE s.status = 'started') GROUP BY model_name, run_group_id) GROUP BY model_name)"""
+
+
+@query(f"WITH {X.LEDGER}, {_WM} SELECT * FROM wm")
+def read_watermark(spark, sf):
+    return W.read_watermark(X.ledger(spark, sf))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS model_name, max(ts) AS partition_max FROM events GROUP BY user_id")
+def partition_max(spark, sf):
+    return W.partition_max(X.read(spark, sf, "events").withColumn("m", F.col("user_id").cast("string")), "m", "ts")
+
+
+@query("SELECT 'events' AS model_name, max(ts) AS partition_max FROM events UNION ALL SELECT 'lineitem', CAST(max(l_shipdate) AS TIMESTAMP) FROM lineitem UNION ALL SELECT 'orders', CAST(max(o_orderdate) AS TIMESTAMP) FROM orders")
+def partition_max_of(spark, sf):
+    return W.partition_max_of({t: (X.read(spark, sf, t), c) for t, c in (("events", "ts"), ("lineitem", "l_shipdate"), ("orders", "o_orderdate"))})
+
+
+def _event_models(spark, sf):
+    rows = X.transitions(spark, sf)
+    number = F.substring("model_name", 7, 2).cast("int")
+    models = rows.select("model_name").distinct().select("model_name", F.lit(date(2024, 1, 3)).alias("first_timestamp"), (number % 5).alias("lookback"), (number % 3).alias("lag"))
+    maxima = W.partition_max(rows.filter(number % 4 != 3), "model_name", "updated_at")
+    return models, W.read_watermark(X.ledger(spark, sf).filter(number < 12)), maxima
+
+
+_EVENT_MODELS = f"""{X.LEDGER}, {_WM}, known AS (SELECT m.model_name, w.watermark AS w, x.hi, CAST(substr(m.model_name, 7, 2) AS INT) AS n FROM (SELECT DISTINCT model_name FROM transitions) m
+  LEFT JOIN (SELECT * FROM wm WHERE CAST(substr(model_name, 7, 2) AS INT) < 12) w USING (model_name)
+  LEFT JOIN (SELECT model_name, max(updated_at) AS hi FROM transitions WHERE CAST(substr(model_name, 7, 2) AS INT) % 4 <> 3 GROUP BY model_name) x USING (model_name))"""
+
+
+@query(f"WITH {_EVENT_MODELS} SELECT model_name, coalesce(w, hi) AS watermark FROM known")
+def planning_watermark(spark, sf):
+    return W.planning_watermark(*_event_models(spark, sf))
+
+
+@query(
+    f"""WITH {_EVENT_MODELS} SELECT model_name, greatest(coalesce(w, hi, TIMESTAMP '2024-01-03') + INTERVAL 1 SECOND - to_days(n % 5), TIMESTAMP '2024-01-03') AS start_ts,
+TIMESTAMP '2024-01-31' - to_days(n % 3) - INTERVAL 1 SECOND AS end_ts FROM known"""
+)
+def window_bounds(spark, sf):
+    return W.window_bounds(*_event_models(spark, sf), date(2024, 1, 31)).select("model_name", "start_ts", "end_ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-19 23:59:59'")
+def incremental_filter(spark, sf):
+    return W.incremental_filter(X.read(spark, sf, "events").select("event_id", "ts"), "ts", datetime(2024, 1, 5), datetime(2024, 1, 19, 23, 59, 59))
+
+
+@query(
+    f"""WITH {X.LEDGER}, {_WM}, req AS (SELECT 'model_' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS model_name, event_id, ts AS s, ts + to_days(CAST(event_id % 9 AS INT) - 2) AS e FROM events)
+SELECT req.model_name, event_id, (s > e) AS start_after_end, coalesce(e > watermark, FALSE) AS end_beyond_table, (s < TIMESTAMP '2024-01-04') AS start_before_first
+FROM req LEFT JOIN wm USING (model_name)"""
+)
+def backfill_bounds_errors(spark, sf):
+    e = X.read(spark, sf, "events")
+    name = F.concat(F.lit("model_"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0"))
+    requests = e.select(name.alias("model_name"), "event_id", F.col("ts").alias("backfill_start"), D.shift_days("ts", (F.col("event_id") % 9).cast("int") - 2).alias("backfill_end"), F.lit(date(2024, 1, 4)).alias("first_timestamp"))
+    return W.backfill_bounds_errors(requests, W.read_watermark(X.ledger(spark, sf))).select("model_name", "event_id", "start_after_end", "end_beyond_table", "start_before_first")
+
+
+# Scalars ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, date_trunc('day', ts) AS execution_ts, ts - to_days(CAST(event_id % 40 AS INT)) AS days, ts + to_seconds(CAST(event_id % 90000 AS INT)) AS seconds, ts - to_minutes(CAST(event_id % 300 AS INT)) AS minutes,
+strftime(ts, '%Y-%m-%d') AS datestr, strftime(ts - to_days(CAST(event_id % 40 AS INT)), '%Y-%m-%d') AS days_ago, strftime(ts, '%Y-%m') AS label, date_trunc('second', ts) AS naive,
+strftime(ts, '%Y-%m-%dT%H:%M:%S') AS literal, date_trunc('second', ts) AS parsed, CAST(CAST(ts AS DATE) AS VARCHAR) AS as_date, date_trunc('day', ts) - to_days(greatest(CAST(event_id % 5 AS INT) - 1, 0)) - INTERVAL 1 SECOND AS window_end,
+CAST(CAST(ts AS DATE) - greatest(CAST(event_id % 5 AS INT) - 1, 0) AS VARCHAR) AS upper_date, greatest(ts + INTERVAL 1 SECOND - to_days(CAST(event_id % 9 AS INT)), TIMESTAMP '2024-01-09') AS resume_start FROM events"""
+)
+def date_functions(spark, sf):
+    n = lambda k: (F.col("event_id") % k).cast("int")
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return X.read(spark, sf, "events").select(
+        "event_id",
+        D.execution_ts("ts").alias("execution_ts"),
+        D.shift_days("ts", -n(40)).alias("days"),
+        D.shift_seconds("ts", n(90000)).alias("seconds"),
+        D.shift_minutes("ts", -n(300)).alias("minutes"),
+        D.datestr("ts").alias("datestr"),
+        D.days_ago_str("ts", n(40)).alias("days_ago"),
+        D.chunk_label("ts").alias("label"),
+        D.to_naive_utc(F.concat(text, F.lit("Z"))).alias("naive"),
+        D.as_timestamp_literal(iso).alias("literal"),
+        D.parse_watermark(iso).alias("parsed"),
+        D.as_date("ts").cast("string").alias("as_date"),
+        D.window_end(D.execution_ts("ts"), n(5) - 1).alias("window_end"),
+        D.upper_date(D.execution_ts("ts"), n(5) - 1).cast("string").alias("upper_date"),
+        D.resume_start("ts", F.lit(date(2024, 1, 9)), n(9)).alias("resume_start"),
+    )
+
+
+_SPAN = """CASE WHEN {b} <= {a} THEN 0 ELSE (SELECT k + CASE WHEN CAST({a} + to_months(k) AS DATE) < {b} THEN 1 ELSE 0 END FROM (SELECT k0 - CASE WHEN CAST({a} + to_months(k0) AS DATE) > {b} THEN 1 ELSE 0 END AS k
+  FROM (SELECT CAST((year({b}) - year({a})) * 12 + month({b}) - month({a}) AS INT) AS k0))) END"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CAST({_SPAN.format(a='a', b='b')} AS INT) AS span FROM (SELECT l_orderkey, l_linenumber, CAST(o_orderdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(o_custkey % 400 AS INT) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def month_span(spark, sf):
+    joined = X.read(spark, sf, "lineitem").join(X.read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    end = F.date_add(F.col("l_shipdate").cast("date"), (F.col("o_custkey") % 400).cast("int"))
+    return joined.select("l_orderkey", "l_linenumber", D.month_span(F.col("o_orderdate"), end).alias("span"))
+
+
+# Windows, plans and loads -----------------------------------------------------------------------------------------
+
+_CELLS = """grid AS (SELECT model_name, first_timestamp AS s, least(CAST(first_timestamp + to_months(chunk_months) AS DATE), hi) AS e, chunk_months, lo, hi FROM bounded WHERE first_timestamp < hi AND hi > lo AND chunk_months >= 1
+  UNION ALL SELECT model_name, e, least(CAST(e + to_months(chunk_months) AS DATE), hi), chunk_months, lo, hi FROM grid WHERE e < hi),
+cells AS (SELECT model_name, greatest(s, lo) AS s, e, strftime(s, '%Y-%m') AS chunk_id, row_number() OVER (PARTITION BY model_name ORDER BY s) AS i, count(*) OVER (PARTITION BY model_name) AS n FROM grid WHERE e > lo)"""
+
+
+def _plan(mode: str, lo: str = "", hi: str = "") -> str:
+    """CTEs ``disp`` (model_name, disposition) and ``units`` (model_name, chunk_id, chunk_start, chunk_end)."""
+    end = f"TIMESTAMP '{X.EXECUTION}' - to_days(greatest(lag, 0)) - INTERVAL 1 SECOND"
+    if mode == "full":
+        b = f"SELECT *, first_timestamp AS lo, CAST({end} AS DATE) + 1 AS hi, CAST(NULL AS TIMESTAMP) AS fs, {end} AS fe FROM models"
+        many = "TRUE"
+    elif mode == "none":
+        b = f"SELECT *, coalesce(CAST(fs AS DATE), first_timestamp) AS lo, CAST(fe AS DATE) + 1 AS hi FROM (SELECT *, CASE WHEN watermark IS NOT NULL THEN greatest(watermark + INTERVAL 1 SECOND - to_days(greatest(lookback, 0)), CAST(first_timestamp AS TIMESTAMP)) END AS fs, {end} AS fe FROM models)"
+        many = f"watermark IS NULL OR ({_SPAN.format(a='lo', b='hi')}) > chunk_months"
+    else:
+        b = f"SELECT *, greatest(CAST(TIMESTAMP '{lo}' AS DATE), first_timestamp) AS lo, CAST(TIMESTAMP '{hi}' AS DATE) AS hi, greatest(TIMESTAMP '{lo}', CAST(first_timestamp AS TIMESTAMP)) AS fs, TIMESTAMP '{hi}' AS fe FROM models"
+        many = f"hi > lo AND ({_SPAN.format(a='lo', b='hi')}) > chunk_months AND model_name IN (SELECT model_name FROM cells)"
+    return f"""WITH RECURSIVE {X.MODELS}, bounded AS ({b}), {_CELLS},
+disp AS (SELECT model_name, CASE WHEN {many} THEN 'chunked' ELSE 'single' END AS disposition FROM bounded),
+units AS (SELECT c.model_name, chunk_id, CASE WHEN i = 1 THEN coalesce(fs, CAST(s AS TIMESTAMP)) ELSE CAST(s AS TIMESTAMP) END AS chunk_start, CASE WHEN i = n THEN fe ELSE CAST(e AS TIMESTAMP) - INTERVAL 1 SECOND END AS chunk_end
+  FROM cells c JOIN bounded b ON b.model_name = c.model_name JOIN disp d ON d.model_name = c.model_name AND d.disposition = 'chunked')"""
+
+
+PARTIAL = ("1997-03-15 06:00:00", "1998-09-10 18:30:00")
+SHORT = ("1997-03-15 00:00:00", "1997-04-10 00:00:00")
+
+
+def _run_plan(spark, sf, mode, bounds=(None, None)):
+    models = X.models(spark, sf)
+    return windows.run_plan(models.drop("watermark"), models.select("model_name", "watermark"), mode, EXEC if mode != "partial" else None, *bounds)
+
+
+_DISP = """ SELECT d.model_name, d.disposition, CAST(count(u.chunk_id) AS INT) AS n_chunks, min(chunk_start) AS first_start, max(chunk_end) AS last_end FROM disp d LEFT JOIN units u USING (model_name) GROUP BY d.model_name, d.disposition"""
+_UNITS = " SELECT model_name, chunk_id, chunk_start, chunk_end FROM units"
+
+
+def _told(plan):
+    return plan.select("model_name", "disposition", F.size("chunks").alias("n_chunks"), F.array_min(F.transform("chunks", lambda c: c["start"])).alias("first_start"), F.array_max(F.transform("chunks", lambda c: c["end"])).alias("last_end"))
+
+
+@query(_plan("none") + _DISP)
+def plan_incremental(spark, sf):
+    return _told(_run_plan(spark, sf, "none"))
+
+
+@query(_plan("full") + _DISP)
+def plan_full(spark, sf):
+    return _told(_run_plan(spark, sf, "full"))
+
+
+@query(_plan("partial", *PARTIAL) + _DISP)
+def plan_partial(spark, sf):
+    return _told(_run_plan(spark, sf, "partial", PARTIAL))
+
+
+@query(_plan("partial", *SHORT) + _DISP)
+def plan_partial_short(spark, sf):
+    return _told(_run_plan(spark, sf, "partial", SHORT))
+
+
+@query(_plan("none") + _UNITS)
+def chunk_units_incremental(spark, sf):
+    return windows.chunk_units(_run_plan(spark, sf, "none"))
+
+
+@query(_plan("full") + _UNITS)
+def chunk_units_full(spark, sf):
+    return windows.chunk_units(_run_plan(spark, sf, "full"))
+
+
+@query(_plan("partial", *PARTIAL) + _UNITS)
+def chunk_units_partial(spark, sf):
+    return windows.chunk_units(_run_plan(spark, sf, "partial", PARTIAL))
+
+
+@query(
+    _plan("none")
+    + """ SELECT (SELECT count(*) FROM disp) AS models, (SELECT count(*) FROM disp WHERE disposition = 'chunked') AS chunked, (SELECT count(*) FROM disp WHERE disposition = 'single') AS single, (SELECT count(*) FROM units) AS chunks"""
+)
+def plan_summary(spark, sf):
+    return windows.plan_summary(_run_plan(spark, sf, "none"))
+
+
+@query(
+    _plan("none")
+    + """ SELECT d.model_name, '{"disposition":"' || disposition || '","chunks":[' || coalesce(string_agg('{"chunk_id":"' || chunk_id || '","start":"' || strftime(chunk_start, '%Y-%m-%dT%H:%M:%S') || '+00:00","end":"' || strftime(chunk_end, '%Y-%m-%dT%H:%M:%S') || '+00:00"}', ',' ORDER BY chunk_start), '') || ']}' AS plan
+FROM disp d LEFT JOIN units u USING (model_name) GROUP BY d.model_name, disposition"""
+)
+def plan_json(spark, sf):
+    return windows.plan_json(_run_plan(spark, sf, "none"))
+
+
+@query(f"WITH RECURSIVE {X.MODELS}, bounded AS (SELECT *, first_timestamp AS lo, DATE '2001-06-17' AS hi FROM models), {_CELLS} SELECT model_name, CAST(s AS VARCHAR) AS chunk_start, CAST(e AS VARCHAR) AS chunk_end, chunk_id FROM cells")
+def static_chunks(spark, sf):
+    return _dated(windows.static_chunks(X.models(spark, sf), date(2001, 6, 17)), "chunk_start", "chunk_end")
+
+
+@query(f"WITH RECURSIVE {X.MODELS}, bounded AS (SELECT *, DATE '1996-02-10' AS lo, DATE '1999-11-05' AS hi FROM models), {_CELLS} SELECT model_name, CAST(s AS VARCHAR) AS chunk_start, CAST(e AS VARCHAR) AS chunk_end, chunk_id FROM cells")
+def chunk_windows(spark, sf):
+    return _dated(windows.chunk_windows(X.models(spark, sf), date(1996, 2, 10), date(1999, 11, 5)), "chunk_start", "chunk_end")
+
+
+_ASSIGN = " SELECT f.model_name, f.l_orderkey, f.l_linenumber, f.ts, u.chunk_id FROM facts f JOIN units u ON u.model_name = f.model_name AND f.ts >= u.chunk_start AND f.ts <= u.chunk_end"
+
+
+@query(_plan("full") + _ASSIGN)
+def assign_chunks(spark, sf):
+    return loads.assign_chunks(X.facts(spark, sf), windows.chunk_units(_run_plan(spark, sf, "full")), "model_name", "ts")
+
+
+_GRID = "SELECT DATE '2024-01-01' + CAST(i * 3 AS INT) AS d FROM range(10) r(i)"
+
+
+@query(f"SELECT e.event_id, e.ts, strftime(g.d, '%Y-%m-%d') AS chunk_id FROM events e JOIN ({_GRID}) g ON e.ts >= CAST(g.d AS TIMESTAMP) AND e.ts <= CAST(g.d + 3 AS TIMESTAMP) - INTERVAL 1 SECOND")
+def assign_model_chunks(spark, sf):
+    """Windows of three days over one table."""
+    start = F.explode(F.sequence(F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 28)), F.expr("interval 3 day")))
+    units = spark.range(1).select(start.alias("d")).select(F.col("d").cast("string").alias("chunk_id"), F.col("d").cast("timestamp_ntz").alias("chunk_start"), D.shift_seconds(F.date_add("d", 3), -1).alias("chunk_end"))
+    return loads.assign_model_chunks(X.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), units, "ts")
+
+
+def _bounds(spark, sf):
+    models = X.models(spark, sf)
+    return W.window_bounds(models.drop("watermark"), models.select("model_name", "watermark"), models.select("model_name", F.lit(None).cast("timestamp_ntz").alias("partition_max")), EXEC)
+
+
+_BOUNDS = f"""bounds AS (SELECT model_name, greatest(coalesce(watermark, CAST(first_timestamp AS TIMESTAMP)) + INTERVAL 1 SECOND - to_days(lookback), CAST(first_timestamp AS TIMESTAMP)) AS start_ts, TIMESTAMP '{X.EXECUTION}' - to_days(lag) - INTERVAL 1 SECOND AS end_ts FROM models)"""
+
+
+@query(f"WITH {X.MODELS}, {_BOUNDS} SELECT f.* FROM facts f JOIN bounds b ON b.model_name = f.model_name AND f.ts BETWEEN b.start_ts AND b.end_ts")
+def incremental_load(spark, sf):
+    return loads.incremental_load(X.facts(spark, sf), _bounds(spark, sf), "model_name", "ts")
+
+
+_BACKFILL = f"{_plan('none')}, {_BOUNDS}, loaded AS ({_ASSIGN} UNION ALL SELECT f.*, 'full' FROM facts f JOIN bounds b ON b.model_name = f.model_name AND f.ts BETWEEN b.start_ts AND b.end_ts JOIN disp d ON d.model_name = f.model_name AND d.disposition = 'single')"
+
+
+@query(_BACKFILL + " SELECT * FROM loaded")
+def chunked_backfill(spark, sf):
+    return loads.chunked_backfill(X.facts(spark, sf), _run_plan(spark, sf, "none"), _bounds(spark, sf), "model_name", "ts")
+
+
+@query(_BACKFILL + " SELECT chunk_id, count(*) AS n, sum(l_orderkey) AS keys FROM loaded GROUP BY chunk_id")
+def write_chunks(spark, sf):
+    """The backfill written by chunk, some chunks written again, and read back."""
+    path = Scratch(spark, "chunks").path()
+    rows = chunked_backfill(spark, sf)
+    chunks.write_chunks(rows, path)
+    chunks.write_chunks(rows.filter(F.endswith("chunk_id", F.lit("-01"))), path)
+    back = spark.read.schema(rows.schema).parquet(path)
+    return back.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("SELECT event_type AS model_name, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts <= TIMESTAMP '2024-01-29 23:59:59'")
+def reload_days(spark, sf):
+    """A load with lookback, done twice: nothing doubles."""
+    path = Scratch(spark, "days").path()
+    facts = X.read(spark, sf, "events").select(F.col("event_type").alias("model_name"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    bounds = facts.groupBy("model_name").agg(F.lit(datetime(2024, 1, 8, 5)).cast("timestamp_ntz").alias("start_ts"), F.lit(datetime(2024, 1, 29, 23, 59, 59)).cast("timestamp_ntz").alias("end_ts"))
+    for _ in range(2):
+        loads.reload_days(facts, bounds, "model_name", "ts", path)
+    return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
+
+
+@query("SELECT event_id, ts FROM events WHERE FALSE")
+def dry_run(spark, sf):
+    return chunks.dry_run(X.read(spark, sf, "events").select("event_id", "ts"))
+
+
+# Outcomes ---------------------------------------------------------------------------------------------------------
+
+
+def _outcomes(builds: str, tests: str) -> str:
+    return f"""WITH {X.BUILDS}, t AS (SELECT model_name, bool_or(status IN ('fail', 'error')) AS bad, bool_or(status <> 'skipped') AS ran FROM {tests} GROUP BY model_name),
+u AS (SELECT coalesce(b.model_name, t.model_name) AS model_name, b.status AS build, coalesce(bad, FALSE) AS bad, coalesce(ran, FALSE) AS ran FROM {builds} b FULL JOIN t ON t.model_name = b.model_name)
+SELECT model_name, CASE WHEN bad OR (build IS NOT NULL AND build <> 'success') THEN 'failed' ELSE 'succeeded' END AS status FROM u
+WHERE build IS DISTINCT FROM 'skipped' AND (bad OR build IS NOT NULL OR ran)"""
+
+
+@query(_outcomes("builds", "tests"))
+def run_outcomes(spark, sf):
+    return R.run_outcomes(X.builds(spark, sf).drop("key"), X.tests(spark, sf))
+
+
+@query(_outcomes("(SELECT * FROM builds WHERE key % 10 <> 0)", "(SELECT model_name, CASE WHEN n = 7 THEN 'skipped' ELSE status END AS status FROM tests)"))
+def run_outcomes_tests_only(spark, sf):
+    return R.run_outcomes(X.builds(spark, sf).filter("key % 10 <> 0").drop("key"), X.tests(spark, sf, True))
+
+
+@query(f"WITH {X.BUILDS} SELECT model_name, status FROM builds WHERE status <> 'success' OR model_name NOT IN (SELECT model_name FROM tests WHERE n > 3)")
+def defer_success(spark, sf):
+    tests = X.read(spark, sf, "lineitem").filter("l_linenumber > 3").select(F.array(F.col("l_orderkey").cast("string")).alias("parents"))
+    rows = X.builds(spark, sf).select("model_name", F.when(F.col("status") == "success", "succeeded").otherwise(F.col("status")).alias("status"))
+    return R.defer_success(rows, tests).select("model_name", F.when(F.col("status") == "succeeded", "success").otherwise(F.col("status")).alias("status"))
+
+
+@query(f"WITH {X.TASKS} SELECT run_id, task_id, state, changed_at, event_id, previous_state, model_name, role FROM tasks WHERE previous_state IS DISTINCT FROM 'running' AND previous_state IS DISTINCT FROM state")
+def manual_transitions(spark, sf):
+    return R.parse_task_ids(R.manual_transitions(X.task_states(spark, sf)))
+
+
+_STATES = """st AS (SELECT run_id, model_name, arg_max(state, (changed_at, state)) FILTER (WHERE role = 'run') AS r, arg_max(state, (changed_at, state)) FILTER (WHERE role = 'test') AS t FROM tasks GROUP BY run_id, model_name),
+outcome AS (SELECT *, CASE WHEN r IN ('failed', 'upstream_failed') OR t IN ('failed', 'upstream_failed') THEN 'failed' WHEN r = 'success' AND (t IS NULL OR t = 'success') THEN 'succeeded'
+  WHEN t = 'success' AND (r IS NULL OR r = 'skipped') THEN 'succeeded' END AS status FROM st)"""
+
+
+@query(f"WITH {X.TASKS}, {_STATES} SELECT run_id, model_name, r AS run_state, t AS test_state, status FROM outcome WHERE status IS NOT NULL")
+def manual_outcomes(spark, sf):
+    return R.manual_outcomes(X.task_states(spark, sf))
+
+
+@query(
+    f"""WITH {X.TASKS}, {_STATES}, {X.LEDGER}, new AS (SELECT model_name, '2024-01-30' AS execution_ts, status, run_id AS run_group_id FROM outcome o WHERE status IS NOT NULL AND EXISTS
+  (SELECT 1 FROM tasks k WHERE k.run_id = o.run_id AND k.model_name = o.model_name AND k.previous_state IS DISTINCT FROM 'running' AND k.previous_state IS DISTINCT FROM k.state))
+SELECT model_name, execution_ts, status, updated_at, run_group_id, chunk_key FROM ledger UNION ALL SELECT model_name, execution_ts, status, {_NOW}, run_group_id, 'full' FROM new"""
+)
+def reconcile(spark, sf):
+    return R.reconcile(X.task_states(spark, sf), X.ledger(spark, sf), NOW).select("model_name", "execution_ts", "status", "updated_at", "run_group_id", "chunk_key")
+
+
+@query(f"WITH {X.TASKS} SELECT run_id, string_agg(DISTINCT task_id, ',' ORDER BY task_id) AS failed_ids FROM tasks WHERE state = 'failed' AND task_id <> 'models.model_03.run' GROUP BY run_id")
+def failed_tasks(spark, sf):
+    return R.failed_tasks(X.task_states(spark, sf), "models.model_03.run").select("run_id", F.array_join("failed_ids", ",").alias("failed_ids"))
+
+
+# Lineage and metadata ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X.TEXTS} SELECT model_name, 's' || (size % 5) AS source, 't' || (k % 7) AS \"table\" FROM texts")
+def source_refs(spark, sf):
+    return K.source_refs(X.texts(spark, sf))
+
+
+@query(f"WITH {X.TEXTS} SELECT 's' || (size % 5) AS source, 't' || (k % 7) AS \"table\", string_agg(model_name, ',' ORDER BY model_name) AS models FROM texts GROUP BY 1, 2")
+def consumers_by_source(spark, sf):
+    return K.consumers_by_source(K.source_refs(X.texts(spark, sf))).select("source", "table", F.array_join("models", ",").alias("models"))
+
+
+@query(f"WITH {X.TEXTS} SELECT DISTINCT 's' || (size % 5) AS source, 't' || (k % 7) AS \"table\" FROM texts WHERE k % 3 = 0 UNION SELECT 'd' || (size % 5), 't' || (k % 7) FROM texts WHERE k % 4 < 2")
+def tested_sources(spark, sf):
+    texts = X.texts(spark, sf)
+    none, one = F.array().cast("array<string>"), F.array(F.lit("unique"))
+    declared = texts.select(
+        F.concat(F.lit("d"), (F.col("size") % 5).cast("string")).alias("source"),
+        F.concat(F.lit("t"), (F.col("k") % 7).cast("string")).alias("table"),
+        F.when(F.col("k") % 4 == 0, one).otherwise(none).alias("tests"),
+        F.when(F.col("k") % 4 == 1, one).alias("column_tests"),
+    )
+    return K.tested_sources(texts.filter("k % 3 = 0"), declared)
+
+
+_PARAMS = """SELECT model_name, 'ts' AS partition_column, '19' || (90 + k % 9) || '-01-01' AS first_timestamp, CAST(size % 10 AS INT) AS lookback, CAST(CASE WHEN k % 13 = 0 THEN 0 ELSE k % 4 END AS INT) AS lag, k % 13 = 0 AS unclear_lag FROM texts"""
+
+
+@query(f"WITH {X.TEXTS} {_PARAMS}")
+def window_params(spark, sf):
+    return _dated(K.window_params(X.texts(spark, sf)), "first_timestamp")
+
+
+@query(
+    f"""WITH {X.TEXTS}, p AS ({_PARAMS}) SELECT 'model.p.' || model_name AS node_key, model_name, CASE WHEN k % 2 = 0 THEN 'alias_' || k ELSE model_name END AS table_name, CASE WHEN k % 3 = 0 THEN 'model.p.part_1' ELSE '' END AS needs, first_timestamp, lookback, lag
+FROM texts JOIN p USING (model_name) WHERE k % 5 <> 0 AND k % 6 <> 1"""
+)
+def models_from_manifest(spark, sf):
+    texts = X.texts(spark, sf)
+    k = F.col("k")
+    node = F.struct(
+        F.when(k % 5 == 0, "test").otherwise("model").alias("resource_type"),
+        F.col("model_name").alias("name"),
+        F.when(k % 2 == 0, F.concat(F.lit("alias_"), k.cast("string"))).alias("alias"),
+        F.struct(F.when(k % 6 == 1, "ephemeral").otherwise("incremental").alias("materialized")).alias("config"),
+        F.struct(F.when(k % 3 == 0, F.array(F.lit("model.p.part_1"), F.lit("source.p.s.t"))).otherwise(F.array(F.lit("source.p.s.t"))).alias("nodes")).alias("depends_on"),
+        F.when(k % 4 != 0, F.col("text")).alias("raw_code"),
+        F.when(k % 4 == 0, F.col("text")).alias("raw_sql"),
+    )
+    manifests = texts.select(F.to_json(F.struct(F.create_map(F.concat(F.lit("model.p."), "model_name"), node).alias("nodes"))).alias("manifest"))
+    return K.models_from_manifest(manifests).select("node_key", "model_name", "table_name", F.array_join("depends_on", ",").alias("needs"), F.col("first_timestamp").cast("string"), "lookback", "lag")
+
+
+@query(
+    f"""WITH {X.TEXTS} SELECT model_name, CASE WHEN k % 4 <> 3 AND NOT (k % 4 = 1) AND k % 9 <> 0 AND k % 6 <> 0 THEN 'chunked' ELSE 'full_refresh' END AS kind,
+CAST(CASE WHEN k % 4 <> 3 AND NOT (k % 4 = 1) AND k % 9 <> 0 AND k % 6 <> 0 THEN k % 6 END AS INT) AS chunk_months,
+CASE WHEN k % 4 = 3 THEN 'not configured' WHEN k % 4 = 1 THEN 'disabled' WHEN k % 9 = 0 THEN 'no first timestamp' WHEN k % 6 = 0 THEN 'no chunk size' END AS reason FROM texts"""
+)
+def promote_chunked(spark, sf):
+    texts = X.texts(spark, sf)
+    k = F.col("k")
+    models = texts.select("model_name", F.when(k % 9 != 0, F.lit(date(2020, 1, 1))).alias("first_timestamp"))
+    entry = lambda idx, on, size: texts.filter("k % 4 <> 3").select(F.lit(idx).alias("idx"), "model_name", on.alias("chunking_enabled"), size.cast("int").alias("chunk_size"))
+    config = entry(0, k % 4 == 1, k + 100).unionByName(entry(1, k % 4 != 1, k % 6)).unionByName(entry(2, F.lit(None).cast("boolean"), k))
+    return K.promote_chunked(models, config).select("model_name", "kind", "chunk_months", "reason")
+
+
+@query(f"WITH {X.TEXTS} SELECT model_name FROM texts WHERE size % 5 = 2 AND k % 7 IN (1, 4) AND k % 3 <> 0")
+def blocked_models(spark, sf):
+    texts = X.texts(spark, sf)
+    failed = spark.createDataFrame([("s2", "t1"), ("s2", "t4")], "source string, table string")
+    return K.blocked_models(K.source_refs(texts), failed, texts.filter("k % 3 <> 0").select("model_name"))
+
+
+@query(
+    """WITH c AS (SELECT 'not_null:o_custkey' AS "check", count(*) FILTER (WHERE o_custkey IS NULL) AS failures FROM orders UNION ALL SELECT 'not_null:o_orderdate', count(*) FILTER (WHERE o_orderdate IS NULL) FROM orders
+UNION ALL SELECT 'unique:o_orderkey', count(o_orderkey) - count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'unique:o_custkey', count(o_custkey) - count(DISTINCT o_custkey) FROM orders
+UNION ALL SELECT 'recent:o_orderdate', CASE WHEN max(o_orderdate) >= TIMESTAMP '2030-01-01' - INTERVAL 30 DAY THEN 0 ELSE 1 END FROM orders)
+SELECT 'orders' AS source, "check", CAST(failures AS BIGINT) AS failures, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM c"""
+)
+def check_sources(spark, sf):
+    return K.check_sources(X.read(spark, sf, "orders"), "orders", ["o_custkey", "o_orderdate"], ["o_orderkey", "o_custkey"], {"o_orderdate": (datetime(2030, 1, 1), 30)})

@@ -12,7 +12,7 @@ from tidemark.llm.textvec import mix, words
 from tidemark.llm.toxicity import best_cut, sample, score
 
 #: Most labelled rows of each class that training takes (by a hash of the id): a bound on the driver's memory.
-MOST_OF_CLASS = {0: 3000, 1: 6000}
+MOST_OF_CLASS = {0: 2000, 1: 4000}
 CUT = 0.3
 BINS = 10
 #: Kinds of bytes that are counted in a line.
@@ -111,7 +111,7 @@ class Model:
         full = np.diff(firsts) > 0
         before[firsts[:-1][full]] = BINS
         after[firsts[1:][full] - 1] = BINS
-        return np.concatenate([own, before, after], axis=1) + np.arange(3 * own.shape[1]) * (BINS + 1)
+        return (np.concatenate([own, before, after], axis=1) + np.arange(3 * own.shape[1]) * (BINS + 1)).astype(np.int32)
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         good = np.zeros(len(bins))

@@ -130,19 +130,19 @@ def inherit(scanned: DataFrame, licence_file: Column) -> DataFrame:
         placed.filter(licence_file & F.col("own_licence").isNotNull() & F.col("__dir").isNotNull())
         .groupBy("__dir")
         .agg(F.max(F.struct("score", "own_licence")).alias("m"))
-        .select(F.col("__dir").alias("above"), F.col("m.own_licence").alias("given"))
+        .select(F.col("__dir").alias("__above"), F.col("m.own_licence").alias("__given"))
     )
     up = F.split("__dir", "/")
-    every = F.transform(F.sequence(F.lit(0), F.size(up)), lambda k: F.struct(k.alias("depth"), F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(up, 1, k), "/")).alias("above")))
+    every = F.transform(F.sequence(F.lit(0), F.size(up)), lambda k: F.struct(k.alias("__depth"), F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(up, 1, k), "/")).alias("__above")))
     ancestors = placed.filter(F.col("own_licence").isNull() & F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.inline(F.array_distinct(every)))
-    nearest = ancestors.join(licensed, "above").groupBy("__dir").agg(F.max(F.struct("depth", "above", "given")).alias("n")).select("__dir", "n.above", "n.given")
+    nearest = ancestors.join(licensed, "__above").groupBy("__dir").agg(F.max(F.struct("__depth", "__above", "__given")).alias("n")).select("__dir", "n.__above", "n.__given")
     joined = placed.join(nearest, "__dir", "left")
     missing = F.col("own_licence").isNull()
     return joined.select(
         *scanned.columns,
-        F.coalesce("own_licence", "given").alias("licence"),
-        F.when(missing, F.col("above")).alias("inherited_from"),
-        F.when(~missing, "own").when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("kind"),
+        F.coalesce("own_licence", "__given").alias("licence"),
+        F.when(missing, F.col("__above")).alias("inherited_from"),
+        F.when(~missing, "own").when(F.col("__given").isNotNull(), "inherited").otherwise("none").alias("kind"),
     )
 
 

@@ -59,13 +59,12 @@ def check(rows):
 
 
 @pytest.mark.parametrize("block", [2, 1024])
-def test_least_cost(spark, block, monkeypatch):
-    monkeypatch.setattr(C, "BLOCK", block)  # workers see it too: functions of this module are imported there
+def test_least_cost(spark, block):
     r = random.Random(9)
     names = ["system", "user", "assistant", "human", "tool", None]
     convs = {i: [r.choice(names) for _ in range(r.randrange(1, 6))] for i in range(120)}
     rows = [(i, t, role, f"text {i} {t}") for i, roles in convs.items() for t, role in enumerate(roles)]
-    got = C.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = C.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block).collect()
     by = {}
     for x in got:
         by.setdefault(x.conv_id, []).append(x)

@@ -92,8 +92,8 @@ def joined_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         yield kept
 
 
-def blocked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers sorted turns and cuts each conversation into blocks; a block's last row has its costs."""
+def blocked(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Numbers sorted turns and cuts each conversation into blocks of ``most`` turns; a block's last row has its costs."""
     task = TaskContext.get().partitionId() << 40
     pos = block = 0
     held: tuple = ()
@@ -108,7 +108,7 @@ def blocked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done = []
         for conv, role, text in zip(frame["conv_id"].array, frame["role"], frame["text"], strict=True):
             name = (pd.isna(conv), None if pd.isna(conv) else int(conv))
-            if row is not None and (name != held or len(roles) == BLOCK):
+            if row is not None and (name != held or len(roles) == most):
                 done.append(closed())
                 roles, block = [], block + 1
             elif row is not None:
@@ -193,7 +193,7 @@ def repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """The turns of each conversation after the cheapest repair; ``rendered`` pieces in order of ``place`` are the conversation's text.
 
     A repaired conversation may begin with a system turn, then user and assistant alternate, and an assistant's turn ends it.  A turn may be
@@ -212,7 +212,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     order = [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("hash"), F.asc("row")]
     ordered = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
     schema = "conv_id long, block long, pos long, code int, role string, text string, cost array<long>, turns array<long>"
-    blocks = scratch.table(ordered.mapInPandas(blocked, schema), "blocks")
+    blocks = scratch.table(ordered.mapInPandas(lambda frames: blocked(frames, block), schema), "blocks")
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv")
     ends = blocks.filter(F.col("cost").isNotNull()).select(conv, "block", "cost", "turns")
     states = ends.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(settled, "block long, entry int, leave int, first long, last boolean")

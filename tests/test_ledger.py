@@ -139,3 +139,17 @@ def test_window_args():
     for bad in (("partial", None, date(2024, 1, 1)), ("partial", date(2024, 1, 1), date(2024, 1, 1)), ("partial", date(2024, 1, 1), date(2024, 2, 1), date(2024, 3, 1)), ("full", date(2024, 1, 1))):
         with pytest.raises(ValueError):
             W.check_window_args(*bad)
+
+
+def test_upsert_days_touches_only_its_days(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/ledger"
+    both = make(spark, ("started", "A", "f", 0), ("started", "B", "f", 0, {"day": "2026-06-06"}), ("started", "C", "f", 0, {"day": None}))
+    S.upsert_days(spark, path, both, L.upsert_status)
+    before = sorted(os.listdir(f"{path}/execution_ts=2026-06-05"))
+    new = make(spark, ("started", "B", "f", 9, {"day": "2026-06-06"}), ("failed", "D", "f", 9, {"day": None}))
+    S.upsert_days(spark, path, new, L.upsert_status)
+    assert sorted(os.listdir(f"{path}/execution_ts=2026-06-05")) == before
+    got = {(r.run_group_id, r.updated_at) for r in spark.read.schema(S.LEDGER).parquet(path).collect()}
+    assert got == {("A", at(0)), ("B", at(9)), ("C", at(0)), ("D", at(9))}

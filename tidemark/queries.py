@@ -77,6 +77,16 @@ def snapshot_ledger(spark, sf):
     return ledger_store.read_ledger(spark, path)
 
 
+@query(_UPSERTED)
+def upsert_days(spark, sf):
+    """The same day by day in place: the second upsert reads and replaces only days it has rows of."""
+    old, new = _halves(spark, sf)
+    path = Scratch(spark, "days").path("ledger")
+    ledger_store.upsert_days(spark, path, old, lambda held, rows: held.unionByName(rows))
+    ledger_store.upsert_days(spark, path, new, L.upsert_status)
+    return ledger_store.as_ledger(spark.read.parquet(path))
+
+
 @query(f"WITH {X.LEDGER} SELECT {COLUMNS} FROM ledger")
 def compact_ledger(spark, sf):
     """Two appends to the log, each folded into the ledger."""

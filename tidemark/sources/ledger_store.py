@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.scratch import Scratch
+
 LEDGER = T.StructType(
     [
         T.StructField("model_name", T.StringType()),
@@ -74,6 +78,24 @@ def write_ledger(ledger: DataFrame, path: str) -> int:
     return number
 
 
+def upsert_days(spark: SparkSession, path: str, incoming: DataFrame, upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Applies ``upsert`` (ledger, incoming) to the days that ``incoming`` has, in a ledger kept by day at ``path``.
+
+    Only those days (and rows without one) are read, as the join prunes partitions, and only they are replaced, so the cost follows the days touched and not the ledger.
+    For upserts whose key holds execution_ts.  The result is written aside first, since a path cannot be read and replaced at once.
+    """
+    days = incoming.select(F.col("execution_ts").alias("__day")).distinct()
+    if path_exists(spark, path):
+        held = spark.read.schema(LEDGER).parquet(path).select(*LEDGER.names)
+        held = held.join(days, F.col("execution_ts") == F.col("__day"), "left_semi").unionByName(held.filter(F.col("execution_ts").isNull()))
+    else:
+        held = spark.createDataFrame([], LEDGER)
+    scratch = Scratch(spark, "days")
+    merged = scratch.table(upsert(held, incoming))
+    merged.repartition("execution_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("execution_ts").parquet(path)
+    scratch.drop(merged)
+
+
 def append_transitions(transitions: DataFrame, path: str) -> None:
     """Adds transitions to an append-only log: no read, no shuffle."""
     as_ledger(transitions).write.mode("append").parquet(path)

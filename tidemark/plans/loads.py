@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import NTZ
 from tidemark.operators.ledger import record_window_end, record_window_start, upsert_started
 from tidemark.plans.windows import chunk_units
+from tidemark.scratch import Scratch
 from tidemark.sources.chunks import write_chunks
 
 #: Units up to this many are sent to every executor; more are joined by shuffle.
@@ -15,7 +16,11 @@ BROADCAST_UNITS = 100_000
 
 
 def sized(units: DataFrame, most: int = BROADCAST_UNITS) -> DataFrame:
-    """``units`` with a broadcast hint if there are no more than ``most`` rows, which is counted and not guessed."""
+    """``units`` with a broadcast hint if there are no more than ``most`` rows, which is counted and not guessed.
+
+    They are written aside first, so that counting does not compute them twice.
+    """
+    units = Scratch(units.sparkSession, "units").table(units)
     return F.broadcast(units) if units.limit(most + 1).count() <= most else units
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +11,28 @@ from tidemark.operators.watermarks import check_window_args
 WINDOWS = "array<struct<chunk_id:string,start:timestamp_ntz,end:timestamp_ntz>>"
 
 
-def grid_cells(first, months, low, high) -> Column:
-    """Cells of the month grid from ``first`` that overlap [low, high), cut to it: an array of (start, end, chunk_id) in order.
+def with_cells(models: DataFrame, low, high) -> DataFrame:
+    """``models`` (first_timestamp, chunk_months, ...) with ``__cells``: cells of the month grid that overlap [low, high), cut to it, as (start, end, chunk_id) in order.
 
-    ``chunk_id`` is the month of the uncut start, so a chunk has the same id in every run.  No cells if ``high`` is not after ``low`` or ``months`` is under one.
+    ``chunk_id`` is the month of the uncut start, so a chunk has the same id in every run.  No cells if ``high`` is not after ``low`` or the chunk size is under one.
+    The grid is a column of its own, so that it is walked once a model.
     """
-    low, high = as_column(low).cast("date"), as_column(high).cast("date")
-    bounds = month_grid(first, months, high)
-    n = F.size(bounds)
-    cells = F.zip_with(F.slice(bounds, 1, n - 1), F.slice(bounds, 2, n - 1), lambda a, b: F.struct(F.greatest(a, low).alias("start"), b.alias("end"), chunk_label(a).alias("chunk_id"), (b > low).alias("inside")))
-    kept = F.transform(F.filter(cells, lambda c: c["inside"]), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["chunk_id"].alias("chunk_id")))
+    framed = models.withColumns({"__lo": as_column(low).cast("date"), "__hi": as_column(high).cast("date")})
+    framed = framed.withColumn("__bounds", month_grid("first_timestamp", "chunk_months", "__hi"))
+    lo, bounds = F.col("__lo"), F.col("__bounds")
+    inner = F.size(bounds) - 1
+    cells = F.zip_with(F.slice(bounds, 1, inner), F.slice(bounds, 2, inner), lambda a, b: F.struct(F.greatest(a, lo).alias("start"), b.alias("end"), chunk_label(a).alias("chunk_id")))
     none = F.array().cast("array<struct<start:date,end:date,chunk_id:string>>")
-    return F.when((high > low) & bounds.isNotNull(), kept).otherwise(none)
+    kept = F.when((F.col("__hi") > lo) & bounds.isNotNull(), F.filter(cells, lambda c: c["end"] > lo)).otherwise(none)
+    return framed.withColumn("__cells", kept).drop("__lo", "__hi", "__bounds")
 
 
-def closed_windows(cells: Column, first_start=None, final_end=None) -> Column:
-    """Cells as closed windows (chunk_id, start, end): from midnight to a second before the next boundary.
+def closed_windows(first_start=None, final_end=None) -> Column:
+    """``__cells`` as closed windows (chunk_id, start, end): from midnight to a second before the next boundary.
 
     ``first_start`` and ``final_end``, where given and not null, replace the first start and the last end.
     """
+    cells = F.col("__cells")
     last = F.size(cells) - 1
 
     def window(c: Column, i: Column) -> Column:
@@ -47,8 +48,7 @@ def closed_windows(cells: Column, first_start=None, final_end=None) -> Column:
 
 def chunk_windows(models: DataFrame, low, high) -> DataFrame:
     """(model_name, chunk_start, chunk_end, chunk_id): a row for each cell of each model (model_name, first_timestamp, chunk_months)."""
-    cells = grid_cells("first_timestamp", "chunk_months", low, high)
-    return models.select("model_name", F.explode(cells).alias("c")).select("model_name", F.col("c.start").alias("chunk_start"), F.col("c.end").alias("chunk_end"), "c.chunk_id")
+    return with_cells(models, low, high).select("model_name", F.explode("__cells").alias("c")).select("model_name", F.col("c.start").alias("chunk_start"), F.col("c.end").alias("chunk_end"), "c.chunk_id")
 
 
 def plannable_models(models: DataFrame) -> DataFrame:
@@ -68,9 +68,8 @@ def _planned(frame: DataFrame, chunked: Column, chunks: Column) -> DataFrame:
 
 def plan_full(models: DataFrame, execution) -> DataFrame:
     """Always in chunks, from the first timestamp to the window's end; none if that is not later."""
-    end = window_end(execution, F.col("lag"))
-    cells = grid_cells("first_timestamp", "chunk_months", "first_timestamp", upper_date(execution, F.col("lag")))
-    return _planned(models, F.lit(True), closed_windows(cells, final_end=end))
+    celled = with_cells(models, "first_timestamp", upper_date(execution, F.col("lag")))
+    return _planned(celled, F.lit(True), closed_windows(final_end=window_end(execution, F.col("lag"))))
 
 
 def plan_incremental(models: DataFrame, watermarks: DataFrame, execution) -> DataFrame:
@@ -80,8 +79,7 @@ def plan_incremental(models: DataFrame, watermarks: DataFrame, execution) -> Dat
     low = F.coalesce(F.col("__start").cast("date"), F.col("first_timestamp").cast("date"))
     known = known.withColumn("__low", low)
     chunked = F.col("watermark").isNull() | (month_span("__low", "__upper") > F.col("chunk_months"))
-    cells = grid_cells("first_timestamp", "chunk_months", "__low", "__upper")
-    return _planned(known, chunked, closed_windows(cells, "__start", window_end(execution, F.col("lag"))))
+    return _planned(with_cells(known, "__low", "__upper"), chunked, closed_windows("__start", window_end(execution, F.col("lag"))))
 
 
 def plan_partial(models: DataFrame, start, end) -> DataFrame:
@@ -91,9 +89,8 @@ def plan_partial(models: DataFrame, start, end) -> DataFrame:
     exact = lambda v: to_naive_utc(F.lit(v)) if isinstance(v, str) else as_column(v).cast(NTZ)
     first = F.col("first_timestamp").cast("date")
     framed = models.withColumns({"__low": F.greatest(as_date(exact(start)), first), "__high": as_date(exact(end)), "__start": F.greatest(exact(start), first.cast(NTZ)), "__end": exact(end)})
-    cells = grid_cells("first_timestamp", "chunk_months", "__low", "__high")
-    chunked = (F.col("__high") > F.col("__low")) & (month_span("__low", "__high") > F.col("chunk_months")) & (F.size(cells) > 0)
-    return _planned(framed, F.coalesce(chunked, F.lit(False)), closed_windows(cells, "__start", "__end"))
+    chunked = (F.col("__high") > F.col("__low")) & (month_span("__low", "__high") > F.col("chunk_months")) & (F.size("__cells") > 0)
+    return _planned(with_cells(framed, "__low", "__high"), F.coalesce(chunked, F.lit(False)), closed_windows("__start", "__end"))
 
 
 def run_plan(models: DataFrame, watermarks: DataFrame, mode: str, execution=None, start=None, end=None) -> DataFrame:
@@ -130,7 +127,3 @@ def plan_summary(plan: DataFrame) -> DataFrame:
         F.count_if(~chunked).alias("single"),
         F.coalesce(F.sum(F.size("chunks")), F.lit(0)).cast("long").alias("chunks"),
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

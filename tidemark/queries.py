@@ -460,7 +460,8 @@ _BACKFILL = f"{_plan('none')}, {_BOUNDS}, loaded AS ({_ASSIGN} UNION ALL SELECT
 
 @query(_BACKFILL + " SELECT * FROM loaded")
 def chunked_backfill(spark, sf):
-    return loads.chunked_backfill(X.facts(spark, sf), _run_plan(spark, sf, "none"), _bounds(spark, sf), "model_name", "ts")
+    plan = Scratch(spark, "plan").table(_run_plan(spark, sf, "none"))
+    return loads.chunked_backfill(X.facts(spark, sf), plan, _bounds(spark, sf), "model_name", "ts")
 
 
 @query(_BACKFILL + " SELECT chunk_id, count(*) AS n, sum(l_orderkey) AS keys FROM loaded GROUP BY chunk_id")

@@ -486,6 +486,17 @@ def reload_days(spark, sf):
     return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
 
 
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
+def reset_table(spark, sf):
+    """A table loaded, emptied before a full refresh, and loaded with what the refresh brings; the first scan finds no table."""
+    path = Scratch(spark, "reset").path()
+    events = X.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    ledger_store.scan_or_empty(spark, path, events.schema).unionByName(events).write.parquet(path)
+    chunks.reset_table(spark, path, events.schema)
+    fresh = ledger_store.scan_or_empty(spark, path, events.schema)
+    return fresh.unionByName(events.filter(F.col("ts") >= F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")))
+
+
 @query("SELECT event_id, ts FROM events WHERE FALSE")
 def dry_run(spark, sf):
     return chunks.dry_run(X.read(spark, sf, "events").select("event_id", "ts"))
@@ -518,6 +529,17 @@ def defer_success(spark, sf):
     return R.defer_success(rows, tests).select("model_name", F.when(F.col("status") == "succeeded", "success").otherwise(F.col("status")).alias("status"))
 
 
+@query(f"WITH {X.BUILDS} SELECT model_name, bool_or(status IN ('fail', 'error')) AS failing, bool_or(status <> 'skipped') AS ran FROM tests GROUP BY model_name")
+def tests_by_model(spark, sf):
+    return R.tests_by_model(X.tests(spark, sf))
+
+
+@query(f"WITH {X.BUILDS} SELECT model_name, status, key FROM builds WHERE EXISTS (SELECT 1 FROM tests WHERE tests.model_name = builds.model_name AND n > 5)")
+def models_with_tests(spark, sf):
+    tests = X.read(spark, sf, "lineitem").filter("l_linenumber > 5").select(F.array(F.col("l_orderkey").cast("string")).alias("parents"))
+    return R.models_with_tests(X.builds(spark, sf), tests)
+
+
 @query(f"WITH {X.TASKS} SELECT run_id, task_id, state, changed_at, event_id, previous_state, model_name, role FROM tasks WHERE previous_state IS DISTINCT FROM 'running' AND previous_state IS DISTINCT FROM state")
 def manual_transitions(spark, sf):
     return R.parse_task_ids(R.manual_transitions(X.task_states(spark, sf)))
@@ -615,6 +637,15 @@ def promote_chunked(spark, sf):
     return K.promote_chunked(models, config).select("model_name", "kind", "chunk_months", "reason")
 
 
+@query(f"WITH {X.TEXTS} SELECT model_name, k FROM texts WHERE k % 3 = 1 AND k % 4 <> 0")
+def select_models(spark, sf):
+    """Plannable models among those selected; a selection may name a model twice or one that does not exist."""
+    texts = X.texts(spark, sf)
+    models = texts.select("model_name", "k", F.lit("chunked").alias("kind"), F.when(F.col("k") % 4 != 0, F.lit(date(2020, 1, 1))).alias("first_timestamp"), F.lit(3).alias("chunk_months"))
+    names = texts.filter("k % 3 = 1").select(F.explode(F.array("model_name", "model_name", F.concat("model_name", F.lit("_gone")))).alias("model_name"))
+    return windows.plannable_models(K.select_models(models, names)).select("model_name", "k")
+
+
 @query(f"WITH {X.TEXTS} SELECT model_name FROM texts WHERE size % 5 = 2 AND k % 7 IN (1, 4) AND k % 3 <> 0")
 def blocked_models(spark, sf):
     texts = X.texts(spark, sf)

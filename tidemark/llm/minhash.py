@@ -20,6 +20,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Texts compared with one pivot in one group.
 TOGETHER = 128
+#: How many times more pivots a bucket has in each round.
+GROWTH = 8
 # Poisson(1): a cell's uniform hash is compared with these to get its number of darts.
 _CDF = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(17)])
 
@@ -115,6 +117,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))).alias("key"), F.col("text"))
 
 
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """(key, lone): how many shingles of each text no other of ``texts`` has."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, some in blocks(batch, "text", 1 << 19):
+                sets = [np.unique(x) for x in shingles(some, SHINGLE)]
+                keys = np.repeat(part.column(part.schema.get_field_index("key")).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(sets).view(np.int64))], names=["key", "shingle"])
+
+    held = texts.select("key", "text").mapInArrow(run, "key long, shingle long")
+    once = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
+    return once.groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def compare(frame: pd.DataFrame, threshold: float) -> Iterator[tuple[int, int, float]]:
     """Links of one group, whose first row is the pivot."""
     frame = frame.sort_values("pivotal", ascending=False, kind="stable")
@@ -152,10 +171,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Each row's ``doc_id`` and ``key`` with ``class_id``, ``class_size``, ``n_links`` and ``kept``.
 
     Documents with one shingle set are a unit, represented by its smallest key.  Units that share a band value meet in a
-    bucket.  In each round every bucket compares all its members with a few pivots, those in other components only; pivots
-    leave, having met everyone, and a bucket whose members are all in one component is settled.  Rounds take four
-    times as many pivots as the last until no bucket is left: no bucket is capped, and a large group of copies is settled by its
-    first pivot instead of by all its pairs.  Sizes that rule out the threshold are skipped.
+    bucket.  A unit's shingles that no other unit in any bucket has cannot be shared, which bounds its similarity to all
+    others: units and pairs that cannot reach the threshold are left out, without loss.  In each round every bucket
+    compares all its members with a few pivots, those with the largest share of shared shingles, as far as they are in other components.
+    Pivots leave, having met everyone, and a bucket whose members are all in one component is settled.  Rounds take eight times as many
+    pivots as the last until no bucket is left: no bucket is capped, and a large group of copies is settled by its most
+    central member instead of by all its pairs.
 
     Links are checked exactly, classes are their connected components and ``class_id`` is the smallest key in one.  ``n_links`` counts
     the links found from a unit to other units.  A null text is empty; texts without words are one unit; a text of fewer than
@@ -171,42 +192,50 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowded = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
     members = scratch.table(members.join(crowded, ["band", "value"]), "members")
     texts = scratch.table(rows.select("key", "text").join(members.select("key").distinct(), "key"), "texts")
+    # ``room``: shingles that others may share.
+    room = F.col("size") - F.coalesce("lone", F.lit(0))
+    members = members.join(lone_shingles(texts), "key", "left").withColumn("room", room).drop("lone")
+    members = scratch.table(members.filter(F.col("room") >= F.lit(threshold) * F.col("size")), "roomy")
     links = tested = classes = None
     pivots_each = 1
-    while members.limit(1).count():
-        grouped = members if classes is None else members.join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        if classes is None:
-            grouped = grouped.withColumn("component", F.col("key"))
-        open_buckets = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b")).filter("__a <> __b").drop("__a", "__b")
-        grouped = scratch.table(grouped.join(open_buckets, ["band", "value"]), "open")
+    while True:
+        grouped = members.withColumn("component", F.col("key")) if classes is None else members.join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        buckets = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b"), F.max("room").alias("__room"), F.min("size").alias("__size"))
+        # Whom not even the roomiest and smallest member of the bucket could match is done there.
+        least = F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("size") + F.col("__size"))
+        grouped = grouped.join(buckets.filter("__a <> __b"), ["band", "value"]).filter(F.least("room", "__room") >= least).drop("__a", "__b", "__room", "__size")
+        grouped = scratch.table(grouped, "open")
+        if grouped.isEmpty():
+            break
         pivots = grouped.groupBy("band", "value", F.pmod(F.xxhash64("key"), F.lit(pivots_each)).alias("salt")).agg(
-            F.min_by(F.struct(F.col("key").alias("pivot"), F.col("size").alias("p_size"), F.col("component").alias("p_component")), "key").alias("p")
+            F.max(F.struct((F.col("room") / F.col("size")).alias("share"), (-F.col("key")).alias("back"), F.col("size").alias("p_size"), F.col("room").alias("p_room"), F.col("component").alias("p_component"))).alias("p")
         )
-        pivots = scratch.table(pivots.select("band", "value", "p.*"), "pivots")
+        pivots = scratch.table(pivots.select("band", "value", (-F.col("p.back")).alias("pivot"), "p.p_size", "p.p_room", "p.p_component").withColumnsRenamed({"band": "p_band", "value": "p_value"}), "pivots")
+        shared = F.least("room", "p_room")
+        reachable = (F.col("component") != F.col("p_component")) & (shared >= F.lit(threshold) * (F.col("size") + F.col("p_size") - shared))
         pairs = (
-            grouped.join(pivots, ["band", "value"])
-            .filter(F.col("component") != F.col("p_component"))
-            .filter(F.least("size", "p_size") >= F.lit(threshold) * F.greatest("size", "p_size"))
-            .select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key"))
+            grouped.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("value") == F.col("p_value")) & reachable)
+            .select("pivot", "key", F.least("pivot", "key").alias("low"), F.greatest("pivot", "key").alias("high"))
             .distinct()
         )
         if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "key"], "left_anti")
+            pairs = pairs.join(tested, ["low", "high"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
-        found = scratch.table(checked(pairs, texts, threshold), "links").select("a", "b")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        members = grouped.drop("component").join(pivots.select(F.col("p_band").alias("band"), F.col("p_value").alias("value"), F.col("pivot").alias("key")), ["band", "value", "key"], "left_anti")
+        pivots_each *= GROWTH
+        if pairs.isEmpty():
+            continue
+        found = scratch.table(checked(pairs.select("pivot", "key"), texts, threshold), "links").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = pairs.select("low", "high")
+        tested = met if tested is None else tested.unionByName(met)
         links = found if links is None else links.unionByName(found)
         joined = found if classes is None else found.unionByName(classes.select(F.col("key").alias("a"), F.col("component").alias("b")))
         classes = components(scratch, joined).withColumnRenamed("node", "key")
-        members = scratch.table(
-            grouped.drop("component").join(pivots.select("band", "value", F.col("pivot").alias("key")), ["band", "value", "key"], "left_anti"), "members"
-        )
-        pivots_each *= 4
     named = units.select("d1", "d2", "unit")
     if links is None:
         named = named.withColumns({"class_id": F.col("unit"), "n_links": F.lit(0).cast("long")})
     else:
-        ends = links.select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"))
+        ends = links.distinct().select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"))
         named = (
             named.join(classes.select(F.col("key").alias("unit"), F.col("component").alias("class_id")), "unit", "left")
             .join(ends, "unit", "left")

@@ -63,7 +63,7 @@ def shingles(texts: list[str], size: int = 5) -> list[np.ndarray]:
     """Hashes of each text's word n-grams, in order; a text of fewer words has one, of all its words, and a text without words has none."""
     hashes, firsts = words(texts)[:2]
     run = np.zeros(len(hashes), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(hashes))):
         run[: len(hashes) - k] += hashes[k:] * np.uint64(2 * k + 3)
     run = mix(run)
     out = []

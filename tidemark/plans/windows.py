@@ -107,7 +107,7 @@ def run_plan(models: DataFrame, watermarks: DataFrame, mode: str, execution=None
 
 def chunk_units(plan: DataFrame) -> DataFrame:
     """(model_name, chunk_id, chunk_start, chunk_end): a unit of work for each window of chunked models."""
-    units = plan.filter(F.col("disposition") == "chunked").select("model_name", F.explode("chunks").alias("c"))
+    units = plan.filter(F.col("disposition") == "chunked").select("model_name", F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")  # a plain explode would have the grid computed again for a filter on its size
     return units.select("model_name", "c.chunk_id", F.col("c.start").alias("chunk_start"), F.col("c.end").alias("chunk_end"))
 
 

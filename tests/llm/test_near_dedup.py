@@ -140,3 +140,39 @@ def test_odd_vectors(spark):
     got = sorted((x.vec_id or 0, x.n_links) for x in E.near_vectors(frame).collect())
     assert got == [(0, 3), (0, 3), (3, 3), (3, 3), (4, 0)]
     assert E.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_dense_clouds(spark):
+    """Links between clouds whose vectors all have more than a full list of nearer neighbours."""
+    r = np.random.default_rng(12)
+    dim, size = 32, 120
+    a, b = np.linalg.qr(r.standard_normal((dim, 2)))[0].T
+    centres = [a, 0.9305 * a + np.sqrt(1 - 0.9305**2) * b]
+    vectors = [c + r.standard_normal(dim) * 0.012 for c in centres for _ in range(size)]
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(vectors)]
+    rows += [(1000 + i, rows[i % 3][1], 1) for i in range(300)]  # copies, which hide what is missing
+    links = brute_vectors(rows)
+    across = [(i, j) for i, j in links if (i % 1000 < size or i >= 2 * size) != (j < size or j >= 2 * size)]
+    assert 0 < len(across) < len(links)
+    degree = dict.fromkeys((x[0] for x in rows), 0)
+    for i, j in links:
+        degree[rows[i][0]] += 1
+        degree[rows[j][0]] += 1
+    got = {x.vec_id: x for x in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert {k: x.n_links for k, x in got.items()} == degree
+    assert {x.component_id for x in got.values()} == {0}
+
+
+def test_audit_leaves_out_own_copies(spark):
+    units = spark.createDataFrame([(1, "a", 2, [1.0, 0.0], 5), (2, "a", 2, [1.0, 0.1], 1)], "unit long, grp string, dim int, embedding array<float>, copies long")
+    found = spark.createDataFrame([(1, 4), (2, 0)], "unit long, links long")
+    assert E.audit(units, found, 0.93, 100) == 0
+
+
+def test_missed_recall_compares_all(spark, monkeypatch):
+    """Where the graph has no links at all and no pass may repair it, all vectors are compared."""
+    monkeypatch.setattr(E, "FLOOR", 2.0)
+    rows = [(i, [1.0, 0.01 * (i % 7)], 1) for i in range(14)] + [(20, [-1.0, 0.0], 1), (21, [0.0, 1.0], 1)]
+    got = {x.vec_id: x for x in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), max_passes=1).collect()}
+    assert {k: (x.component_id, x.n_links) for k, x in got.items()} == {**{i: (0, 13) for i in range(14)}, 20: (20, 0), 21: (21, 0)}
+    assert all(x.audited_recall == 1 for x in got.values())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ ORDERS, REFINEMENTS, RECALL, AUDITED = 8, 2, 0.99, 1000
 HALF, JOINED, BLOCK = 128, 64, 512
 BITS = 40
 EDGE = "v long, u long, cosine double"
+PIECE = "grp string, dim int, block long, first long, last long, saturated boolean, components array<long>, vectors binary, centre array<double>, radius double"
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -108,8 +111,7 @@ def refined(graph: DataFrame, units: DataFrame, k: int, floor: float) -> DataFra
 def counted(members: DataFrame, threshold: float) -> DataFrame:
     """(unit, links): vectors at or over ``threshold`` from each in its component, every copy counted.
 
-    This is where saturated neighbour lists are enlarged: to all of the component, compared in blocks of bounded size whose
-    counts alone leave the task.
+    Components are compared in blocks of bounded size whose counts alone leave the task.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
@@ -131,8 +133,92 @@ def counted(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("component", "i", "j").applyInPandas(count, "unit long, links long").groupBy("unit").agg(F.sum("links").alias("links"))
 
 
+def pieces(placed: DataFrame) -> DataFrame:
+    """``placed`` (grp, dim, unit, embedding, component, saturated) in blocks of at most BLOCK vectors of one group, each with the ball around it.
+
+    Vectors are sorted by range on the signs of their component's first member, so that blocks hold what lies together.
+    """
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, part in frame.groupby("dim"):
+                planes = np.random.default_rng([0, 0, int(dim)]).standard_normal((int(dim), BITS))
+                yield pd.DataFrame({"head": part["unit"], "code": (unit_rows(part["embedding"]) @ planes > 0) @ (1 << np.arange(BITS, dtype=np.int64))})
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 40
+        kept: pd.DataFrame | None = None
+
+        def piece(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal number
+            number += 1
+            x, component = unit_rows(rows["embedding"]), rows["component"]
+            mean = x.mean(0)
+            size = np.linalg.norm(mean)
+            centre = mean / size if size > 1e-9 else x[0]
+            radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+            one = [rows["grp"].iloc[0], int(rows["dim"].iloc[0]), number, int(component.min()), int(component.max()), bool(rows["saturated"].any()), component.tolist(), x.tobytes(), centre.tolist(), radius]
+            return pd.DataFrame([one], columns=[c.split()[0] for c in PIECE.split(", ")])
+
+        for frame in frames:
+            if kept is not None:
+                frame = pd.concat([kept, frame], ignore_index=True)
+            kept = None
+            groups = [g for _, g in frame.groupby(["saturated", "grp", "dim"], sort=False)]
+            for n, group in enumerate(groups):
+                whole = len(group) if n < len(groups) - 1 else len(group) // BLOCK * BLOCK
+                for at in range(0, whole, BLOCK):
+                    yield piece(group.iloc[at : min(at + BLOCK, whole)])
+                if whole < len(group):
+                    kept = group.iloc[whole:]
+        if kept is not None and len(kept):
+            yield piece(kept)
+
+    heads = placed.filter("unit = component").select("dim", "unit", "embedding").mapInPandas(sign, "head long, code long").dropDuplicates(["head"])
+    order = ["saturated", "grp", "dim", "code", "component", "unit"]
+    coded = placed.join(heads, F.col("component") == F.col("head")).select(*order, "embedding")
+    return coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(cut, PIECE)
+
+
+def bridges(scratch: Scratch, placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of components of ``placed`` with a link between them of which an end is saturated; all such links are found.
+
+    Every block with a saturated vector meets every other block of its group, but for those that its ball rules out exactly.
+    """
+    blocks = scratch.table(pieces(placed), "pieces")
+    shape = ["grp", "dim", "block", "first", "last", "saturated", "centre", "radius"]
+    i, j = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in shape]) for side in "ij")
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("i_centre", "j_centre", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))))
+    several = F.least("i_first", "j_first") < F.greatest("i_last", "j_last")
+    # A pair with a saturated end has it in i; where both are, one order is enough.
+    once = ~F.col("j_saturated") | (F.col("i_block") <= F.col("j_block"))
+    pairs = i.filter("i_saturated").join(j, (F.col("i_grp") == F.col("j_grp")) & (F.col("i_dim") == F.col("j_dim")) & once & several)
+    pairs = pairs.filter(between <= F.col("i_radius") + F.col("j_radius") + math.acos(threshold) + 1e-6).select(F.col("i_block").alias("i"), F.col("j_block").alias("j"))
+    dealt = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(blocks.select("block", "dim", "components", "vectors"), "block")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        ends = [frame.iloc[0], frame.iloc[-1]]
+        (a, x), (b, y) = ((np.asarray(e["components"]), np.frombuffer(e["vectors"]).reshape(-1, int(e["dim"]))) for e in ends)
+        at, to = np.nonzero((x @ y.T >= threshold) & (a[:, None] != b[None, :]))
+        return pd.DataFrame({"a": np.minimum(a[at], b[to]), "b": np.maximum(a[at], b[to])}).drop_duplicates()
+
+    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def enlarged(scratch: Scratch, units: DataFrame, parts: DataFrame, full: DataFrame | None, threshold: float) -> DataFrame:
+    """``parts`` (node, component) after all links of the vectors of ``full`` (unit), or of all vectors if it is None."""
+    placed = units.join(parts.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    placed = placed.withColumn("saturated", F.lit(True)) if full is None else placed.join(full.withColumn("saturated", F.lit(True)), "unit", "left").fillna(False, ["saturated"])
+    placed = scratch.table(placed.select("grp", "dim", "unit", "embedding", "component", "saturated"), "placed")
+    joined = components(scratch, scratch.table(bridges(scratch, placed, threshold), "bridges")).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    after = placed.select("unit", "component").join(joined, "component", "left").join(parts.select(F.col("node").alias("unit"), F.lit(True).alias("had")), "unit", "left")
+    return scratch.table(after.filter("had OR wider IS NOT NULL").select(F.col("unit").alias("node"), F.coalesce("wider", "component").alias("component")).distinct(), "parts")
+
+
 def audit(units: DataFrame, found: DataFrame, threshold: float, wanted: int) -> float:
-    """The share of all links of about ``wanted`` vectors that ``found`` (unit, links) has, by comparing these with every vector.
+    """The share of all links of about ``wanted`` vectors with others that ``found`` (unit, links) has, by comparing these with every vector.
+
+    A vector's own copies are always found and count on neither side.
 
     The vectors are drawn by a hash; ``wanted`` bounds what is broadcast, and the work grows with the rows alone.
     """
@@ -157,7 +243,8 @@ def audit(units: DataFrame, found: DataFrame, threshold: float, wanted: int) ->
                     yield pd.DataFrame({"unit": ids, "links": linked @ part["copies"].to_numpy()})
 
     truth = units.select("unit", "grp", "dim", "embedding", "copies").mapInPandas(compare, "unit long, links long").groupBy("unit").agg(F.sum("links").alias("truth"))
-    both = truth.filter("truth > 0").join(found, "unit", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("f")).first()
+    others = found.join(units.select("unit", "copies"), "unit").select("unit", (F.col("links") - F.col("copies") + 1).alias("links"))
+    both = truth.filter("truth > 0").join(others, "unit", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("f")).first()
     return 1.0 if not both["t"] else both["f"] / both["t"]
 
 
@@ -165,8 +252,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     """Each row's ``vec_id`` with ``n_links``, ``component_id``, ``kept`` and ``audited_recall``.
 
     Vectors are compared within equal labels (and lengths).  Equal vectors are one unit.  Random orders begin a graph of neighbours, joins of
-    neighbours of neighbours refine it, links at or over ``threshold`` make components, and components are compared in full.  If an
-    audit finds less than ``recall`` of the links of sampled vectors, more orders are added, up to ``max_passes`` times.
+    neighbours of neighbours refine it, and links at or over ``threshold`` make components.  A vector whose list is full of links may have more:
+    these vectors are compared with all of their label that their balls do not rule out.  Components are then compared in full.  If an
+    audit finds less than ``recall`` of the links of sampled vectors, more orders are added, up to ``max_passes`` times; after these, all vectors
+    are compared in this way.
 
     A row whose label or vector is null, or whose vector is zero, empty or holds a null, NaN or infinity, has no links and is its own component.
     A null vec_id is named by its values, with a negative number; rows that share a vec_id are one vector, and each of their copies counts as a
@@ -179,8 +268,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     good = rows.filter(usable(F.col("embedding"), F.col("grp")))
     units = good.groupBy("grp", "embedding").agg(F.min("key").alias("unit"), F.count(F.lit(1)).alias("copies"))
     units = scratch.table(units.withColumn("dim", F.size("embedding")), "units")
+
+    def audited() -> tuple[DataFrame, float]:
+        members = units.join(parts.withColumnRenamed("node", "unit"), "unit")
+        found = scratch.table(counted(members, threshold), "links")
+        return found, audit(units, found, threshold, AUDITED)
+
     graph = None
-    found_recall = 0.0
     for turn in range(max_passes):
         edges = ordered_neighbours(units, ORDERS, turn, NEIGHBOURS, FLOOR)
         graph = scratch.table(nearest(edges if graph is None else edges.unionByName(graph), NEIGHBOURS), "graph")
@@ -188,11 +282,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             graph = scratch.table(nearest(graph.unionByName(refined(graph, units, NEIGHBOURS, FLOOR)), NEIGHBOURS), "graph")
         links = graph.filter(F.col("cosine") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
         parts = scratch.table(components(scratch, links), "parts")
-        members = units.join(parts.withColumnRenamed("node", "unit"), "unit")
-        found = scratch.table(counted(members, threshold), "links")
-        found_recall = audit(units, found, threshold, AUDITED)
+        full = scratch.table(links.groupBy("a").count().filter(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("unit")), "full")
+        if full.limit(1).count():
+            parts = enlarged(scratch, units, parts, full, threshold)
+        found, found_recall = audited()
         if found_recall >= recall:
             break
+    else:
+        parts = enlarged(scratch, units, parts, None, threshold)
+        found, found_recall = audited()
     named = (
         units.select("grp", "embedding", "unit", "copies")
         .join(parts.withColumnRenamed("node", "unit"), "unit", "left")

@@ -129,3 +129,21 @@ def test_query(spark, small):
         check(group)
         if len(source[i]) <= 6:
             assert cost_of(group) == cheapest([C.ROLES.get(x.role or "", 0) for x in source[i]])
+
+
+def test_blocks_over_several_splits(spark):
+    """A block whose rows lie in several row groups and are read in several splits."""
+    r = random.Random(3)
+    rows = [(1, t, r.choice(["system", "user", "assistant", None]), "".join(r.choices("abcdefghij", k=2000))) for t in range(900)]
+    small = {"spark.sql.files.maxPartitionBytes": "100000", "spark.sql.files.openCostInBytes": "0", "parquet.block.size": "100000", "parquet.page.size.row.check.min": "10", "parquet.page.size.row.check.max": "10"}
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = C.repair(frame).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    check(got)
+    assert sorted(x.text for x in got if x.action != "insert") == sorted(x[3] for x in rows)

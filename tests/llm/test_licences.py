@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,26 @@ def test_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     files = {d.doc_id: (f"{d.source}/{d.doc_id // 4096}/{d.doc_id // 64}/{d.doc_id}.txt", d.text) for d in docs}
     compare({r.doc_id: r for r in L.op5_licence_scan(spark, small).collect()}, brute(files, lambda _, own: own[2] == 0))
+
+
+def test_headers_and_whole_files(spark):
+    folder = Path(L.__file__).parent / "licence_texts"
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n"
+    files = {
+        "MIT": "Copyright (c) 2020 Foo\n\n" + (folder / "MIT.txt").read_text(),
+        "ISC": (folder / "ISC.txt").read_text(),
+        "BSD-3-Clause": "code here\n" * 5 + (folder / "BSD-3-Clause.txt").read_text().replace("\n", " "),
+        "Apache-2.0": (folder / "Apache-2.0.txt").read_text(),
+        "GPL-3.0": gnu,
+    }
+    short = {"The MIT License (MIT)": "MIT", "Mozilla Public License Version 2.0": "MPL-2.0", "SPDX-License-Identifier: MIT": "MIT", "Copyright (c) 2020 Foo. All rights reserved.": "Proprietary"}
+    rows = [*files.items(), *[(v, f"a b c\n{k}\ncode") for k, v in short.items()], ("none", "the rest of this work is in the house")]
+    both = [("MIT", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.")]
+    prose = [("none", f"some words of prose {i} and the like") for i in range(60)]
+    got = L.scan(spark.createDataFrame(rows + both + prose, "name string, text string")).collect()
+    for r in got:
+        if r.text != both[0][1]:
+            assert (r.own_licence or "none") == r.name, (r.name, r.own_licence, r.licences, r.text[:60])
+            assert r.name == "none" or r.name in r.licences
+        else:
+            assert {"MIT", "CC-BY-NC-4.0"} <= set(r.licences)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,41 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
     "Proprietary": "All rights reserved.",
 }
+#: Names, tags and headers that files carry, beside the notices.
+_GNU = """{it} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by
+the Free Software Foundation, either version {n} of the License, or (at your option) any later version. {it} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details."""
+HEADERS = [
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License.""",
+    ),
+    *[(spdx, _GNU.format(it="This program", name=name, n=n)) for spdx, name, n in [("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-3.0", "Lesser", 3), ("AGPL-3.0", "Affero", 3)]],
+    *[(spdx, f"GNU {name} General Public License Version {n}") for spdx, name, n in [("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-3.0", "Lesser", 3), ("AGPL-3.0", "Affero", 3)]],
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+    ("ISC", "ISC License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    *[(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in TEMPLATES if spdx != "Proprietary"],
+]
+#: Full texts with more terms than this are compared with whole files, and their opening of so many terms with windows; shorter ones with windows.
+LONG, OPENING = 400, 120
+_SENTENCE = r"(?<=[.!?:;])\s+"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.\w+)?$"
 _SEPARATOR = "[^a-z0-9]+"
 
@@ -63,6 +101,58 @@ def vectors(idf: dict[str, float], templates: dict[str, str]) -> dict[str, dict[
     return out
 
 
+@cache
+def texts() -> tuple[tuple[str, str, bool], ...]:
+    """(licence, text, whole): what windows (or whole files, if ``whole``) are compared with besides single lines with TEMPLATES."""
+    out = [(name, text, False) for name, text in [*TEMPLATES.items(), *HEADERS]]
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text()
+        words = terms(text)
+        out += [(path.stem, " ".join(words[:OPENING]), False), (path.stem, text, True)] if len(words) > LONG else [(path.stem, text, False)]
+    return tuple(out)
+
+
+def block_matches(text: Column, present: Column, idf: dict[str, float], threshold: float) -> Column:
+    """array of struct(score, back, licence): every window of consecutive lines or sentences that reaches ``threshold`` with a text, and the whole text with a full one.
+
+    A window begins with a line or sentence and has as many terms as the text it is compared with, so its own norm decides, not that of what surrounds it.
+    Texts of which the file's terms (``present``) have too little for any window to reach the threshold are left out (an exact bound).
+    """
+    of = vectors(idf, {str(k): t for k, (_, t, _) in enumerate(texts())})
+    rows = [{"licence": name, "m": len(terms(t)), "whole": whole, "u": of[str(k)]} for k, (name, t, whole) in enumerate(texts())]
+    every = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,m:int,whole:boolean,u:map<string,double>>>")
+    weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
+    other = sum(idf.values()) / max(1, len(idf))
+    reach = lambda t: F.aggregate(present, F.lit(0.0), lambda s, x: s + F.pow(F.coalesce(t["u"][x], F.lit(0.0)), F.lit(2.0)))
+    wanted = F.filter(every, lambda t: reach(t) >= threshold**2 - 1e-9)
+    weighed = lambda s: F.transform(tokens(s), lambda t: F.struct(t.alias("t"), F.coalesce(weight[t], F.lit(other)).alias("w")))
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.split(line, _SENTENCE), lambda s: F.struct((-i).alias("back"), weighed(s).alias("t"))))
+    units = F.filter(F.flatten(lines), lambda x: F.size(x["t"]) > 0)
+
+    def cosine(window: Column, t: Column) -> Column:
+        def measured(v: Column) -> Column:
+            total = F.aggregate(v["x"], F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+            norm = F.sqrt(F.aggregate(v["x"], F.lit(0.0), lambda s, x: s + x["w"] * x["w"] * F.size(F.filter(v["x"], lambda y: y["t"] == x["t"]))))
+            # Repeated terms only lengthen a window, so most are told by the shorter length.
+            return F.when((v["dot"] > 0) & (v["dot"] >= (threshold - 1e-9) * F.sqrt(total)), F.round(v["dot"] / norm, 9)).otherwise(F.lit(0.0))
+
+        dot = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y["w"] * F.coalesce(t["u"][y["t"]], F.lit(0.0)))
+        return F.element_at(F.transform(F.transform(F.array(window), lambda x: F.struct(x.alias("x"), dot(x).alias("dot"))), measured), 1)
+
+    def matches(pair: Column) -> Column:
+        stretch = lambda k, m: F.slice(F.flatten(F.transform(F.slice(pair["units"], k, m), lambda x: x["t"])), 1, m)
+
+        def of_one(t: Column) -> Column:
+            windows = F.transform(pair["units"], lambda x, k: F.struct(cosine(stretch(k + 1, t["m"]), t).alias("score"), x["back"].alias("back"), t["licence"].alias("licence")))
+            whole = F.array(F.struct(cosine(F.flatten(F.transform(pair["units"], lambda x: x["t"])), t).alias("score"), F.lit(0).alias("back"), t["licence"].alias("licence")))
+            return F.filter(F.when(t["whole"], whole).otherwise(windows), lambda x: x["score"] >= threshold)
+
+        return F.flatten(F.transform(pair["wanted"], of_one))
+
+    held = F.transform(F.array(wanted), lambda w: F.struct(w.alias("wanted"), F.when(F.size(w) > 0, units).alias("units")))
+    return F.flatten(F.transform(F.filter(held, lambda h: F.size(h["wanted"]) > 0), matches))
+
+
 def telling(units: dict[str, dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
     """Terms of which a line needs one at least to reach ``threshold``.
 
@@ -92,15 +182,20 @@ def best_match(line: Column, idf: dict[str, float], units: dict[str, dict[str, f
 
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``files`` with ``own_licence``, its ``score`` and ``line`` (from 0): the best matching line of the whole text.
+    """``files`` with ``own_licence``, its ``score`` and ``line`` (from 0), and ``licences``, all that pass, the best first.
+
+    The own licence is that of the best line near a notice of ``templates``, or else of the best window or whole text near one of ``texts()``.
 
     The counts take one pass and the scan another; neither shuffles texts, and a line is only scored if it has a term without which it cannot match.
     Of equal scores the first line wins, then the last name in alphabetical order.  Null and empty texts have no licence; columns with these names are replaced.
     """
-    idf = weights(files, templates)
+    wide = weights(files, templates | {f"{k} of texts": t for k, (_, t, _) in enumerate(texts())})
+    of_texts = {t: wide[t] for _, text, _ in texts() for t in terms(text)}
+    idf = {t: wide[t] for t in sorted({t for text in templates.values() for t in terms(text)})}
     units = vectors(idf, templates)
+    longer = telling(vectors(of_texts, {str(k): t for k, (_, t, _) in enumerate(texts())}), of_texts, threshold)
     needed = F.array(*map(F.lit, telling(units, idf, threshold)))
-    files = files.drop("own_licence", "score", "line")
+    files = files.drop("own_licence", "score", "line", "licences")
     text = F.coalesce("text", F.lit(""))
     split = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), tokens(line).alias("t")))
     marked = F.filter(split, lambda x: F.arrays_overlap(x["t"], needed))
@@ -108,9 +203,19 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     best = F.array_max(F.transform(scored, lambda x: F.struct(x["m"]["score"].alias("score"), x["back"].alias("back"), x["m"]["licence"].alias("licence"))))
     # Only files with such a term anywhere are taken apart.
     hit = F.when(F.arrays_overlap(tokens(text), needed), best)
-    passed = F.col("__hit.score") >= threshold
+    words = lambda of: F.split(F.lit(" ".join(sorted(of))), " ")
+    present = F.when(F.arrays_overlap(tokens(text), words(longer)), F.array_intersect(tokens(text), words(of_texts)))
+    blocks = F.when(F.col("__present").isNotNull(), block_matches(text, F.col("__present"), of_texts, threshold))
+    line = F.when(F.col("__line.score") >= threshold, F.col("__line"))
+    ranked = F.reverse(F.array_sort(F.concat(F.array_compact(F.array("__line")), F.coalesce("__blocks", F.array().cast("array<struct<score:double,back:int,licence:string>>")))))
+    passed = F.col("__hit").isNotNull()
     return (
-        files.withColumn("__hit", hit)
+        files.withColumn("__line", hit)
+        .withColumn("__line", line)
+        .withColumn("__present", present)
+        .withColumn("__blocks", blocks)
+        .withColumns({"__hit": F.coalesce("__line", F.array_max("__blocks")), "licences": F.array_distinct(F.transform(ranked, lambda x: x["licence"]))})
+        .drop("__line", "__present", "__blocks")
         .withColumns({"own_licence": F.when(passed, F.col("__hit.licence")), "score": F.when(passed, F.col("__hit.score")), "line": F.when(passed, -F.col("__hit.back"))})
         .drop("__hit")
     )

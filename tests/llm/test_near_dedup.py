@@ -1,5 +1,6 @@
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from tidemark.llm import embedding_dedup as E
 from tidemark.llm import minhash as M
 from tidemark.llm.components import components
 from tidemark.scratch import Scratch
+from tests.conftest import DATA
 
 
 def classes(nodes, links):
@@ -26,15 +28,16 @@ def classes(nodes, links):
 
 def shingled(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
 
 
 def brute(texts, threshold=0.8):
     sets = {k: shingled(t) for k, t in texts.items()}
+    size = {k: x.total() for k, x in sets.items()}
     links = []
     for a, b in itertools.combinations(sets, 2):
         x, y = sets[a], sets[b]
-        if x == y or (min(len(x), len(y)) >= threshold * max(len(x), len(y)) and len(x & y) >= threshold * len(x | y)):
+        if x == y or (min(size[a], size[b]) >= threshold * max(size[a], size[b]) and (x & y).total() >= threshold * (x | y).total()):
             links.append((a, b))
     return classes(list(texts), links)
 
@@ -81,6 +84,69 @@ def test_documents(spark, small):
     assert all(x.class_size == sizes[x.class_id] and x.kept == (x.doc_id == x.class_id) for x in got)
 
 
+def test_weights_count(spark):
+    """Texts with one set of shingles, of which one repeats a passage many times, are far apart."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:30] * 20 + words[30:])), (3, " ".join([*words, "more"])), (4, " ".join(words[:30] * 20 + words[30:] + ["more"]))]
+    got = {r.doc_id: r.class_id for r in M.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(dict(rows)) == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_one_id_for_several_texts(spark):
+    """Rows that repeat a doc_id with another text are documents of their own, and each text finds its links."""
+    a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (7, " ".join(b)), (8, " ".join([*b, "end"])), (9, " ".join([*a, "end"])), (7, " ".join([*a, "last"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.near_groups(docs).collect()
+    sizes = Counter((r.class_size, r.kept) for r in got)
+    assert sizes == {(3, True): 3, (3, False): 3}
+    texts = [r.text.split()[0] for r in M.near_dedup(docs).collect()]
+    assert Counter(texts) == Counter(a0=1, b0=2)
+
+
+def test_loose_group(spark):
+    """A group whose members are alike, but mostly not alike enough: classes are those of all pairs, and few pairs are compared."""
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for n in range(220):
+        words = list(base)
+        for at in r.choice(150, r.integers(1, 8), replace=False):
+            words[at] = f"x{r.integers(40)}"
+        texts[n] = " ".join(words)
+    got = {x.doc_id: x.class_id for x in M.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+
+
+def test_bitmaps_bound_what_sets_do_not_share(spark):
+    r = np.random.default_rng(3)
+    rows, truth = [], []
+    for _ in range(200):
+        a = r.integers(1, 2**63, r.integers(1, 400)).astype(np.uint64)
+        keep = r.random(len(a)) < r.random()
+        b = np.concatenate([a[keep], r.integers(1, 2**63, len(a) - keep.sum()).astype(np.uint64)])[: max(1, int(len(a) * r.uniform(0.8, 1)))]
+        truth.append(len(np.setxor1d(a, b)))
+        rows.append((M.parity(a).tolist(), M.parity(b).tolist()))
+    got = [x.n for x in spark.createDataFrame(rows, "a array<long>, b array<long>").select(M.apart(M.F.col("a"), M.F.col("b")).alias("n")).collect()]
+    assert all(g <= t for g, t in zip(got, truth, strict=True)) and sum(got) > 0.6 * sum(truth)
+
+
+def test_recall_against_all_rows(spark):
+    """Documents whose id is divisible by 50, compared with every row."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {x.doc_id: shingled(x.text) for x in docs.collect()}
+    size = {k: x.total() for k, x in sets.items()}
+    got = {x.doc_id: x.class_id for x in M.near_groups(docs).collect()}
+    links = [
+        (a, b)
+        for a in sets
+        if a % 50 == 0
+        for b in sets
+        if a != b and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total()
+    ]
+    assert links and sum(got[a] == got[b] for a, b in links) == len(links)
+
+
 def test_odd_documents(spark, odd):
     got = M.near_groups(odd).collect()
     by = {}

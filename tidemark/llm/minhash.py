@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import blocks
 from tidemark.llm.components import components
-from tidemark.llm.textvec import mix, shingles
+from tidemark.llm.textvec import mix, multiset, shingles
 from tidemark.scratch import Scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -83,178 +83,184 @@ def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int) ->
     return out
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits an element: each bit is the parity of how many elements fall on it.
+
+    The bits in which two bitmaps differ are at most as many as the elements that only one of the two sets has.  A bitmap is folded to half its length by an exclusive or of its halves.
+    """
+    bits = max(64, 1 << (2 * len(elements) - 1).bit_length()) if len(elements) else 64
+    odd = np.bincount((mix(elements ^ np.uint64(0x94D049BB133111EB)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(a: Column, b: Column) -> Column:
+    """A lower bound on the elements that only one of two sets has, from their bitmaps, whose lengths differ by a factor of two at most."""
+    short = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) > short, F.zip_with(F.slice(x, 1, short), F.slice(x, short + 1, short), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, x: n + x)
+
+
+SKETCH = "doc_id long, key long, hash long, d1 long, d2 long, size long, parity array<long>, bands array<long>"
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, d1, d2, size, bands) of each document: 128 bits that name its shingle set, the size of the set, and band values."""
+    """SKETCH of each document: 128 bits that name its weighted shingle set, the set's weight, a bitmap, and band values.
+
+    A shingle weighs as many times as the text has it.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part, texts in blocks(batch, "text", 1 << 19):
-                sets = [np.unique(x) for x in shingles(texts, SHINGLE)]
-                signed = signatures(sets, [np.ones(len(x)) for x in sets], bands * rows)
+                found = shingles(texts, SHINGLE)
+                counted = [np.unique(x, return_counts=True) for x in found]
+                sets = [multiset(x) for x in found]
+                signed = signatures([x for x, _ in counted], [n for _, n in counted], bands * rows)
                 value = np.zeros((len(texts), bands), np.uint64)
                 for r in range(rows):
                     value = mix(value + signed[:, r::rows][:, :bands])
                 name = np.array([[mix(x).sum(), mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum()] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                maps = [parity(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(part.schema.get_field_index("doc_id")),
-                        part.column(part.schema.get_field_index("key")),
+                        *[part.column(part.schema.get_field_index(c)) for c in ("doc_id", "key", "hash")],
                         pa.array(name[:, 0]),
                         pa.array(name[:, 1]),
                         pa.array([len(x) for x in sets], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(m) for m in maps])]), pa.int32()), pa.array(np.concatenate(maps))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(value.view(np.int64).reshape(-1))),
                     ],
-                    names=["doc_id", "key", "d1", "d2", "size", "bands"],
+                    names=[c.split()[0] for c in SKETCH.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "key", "text").mapInArrow(run, "doc_id long, key long, d1 long, d2 long, size long, bands array<long>")
+    return docs.select("doc_id", "key", "hash", "text").mapInArrow(run, SKETCH)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``key``: doc_id; a row without one is named by its text, with a negative number."""
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))).alias("key"), F.col("text"))
+    """(doc_id, key, hash, text); ``hash`` is the text's, ``key`` is doc_id, and a row without one is named by its text, with a negative number."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), key_of(docs).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def lone_shingles(texts: DataFrame) -> DataFrame:
-    """(key, lone): how many shingles of each text no other of ``texts`` has."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for part, some in blocks(batch, "text", 1 << 19):
-                sets = [np.unique(x) for x in shingles(some, SHINGLE)]
-                keys = np.repeat(part.column(part.schema.get_field_index("key")).to_numpy(), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(sets).view(np.int64))], names=["key", "shingle"])
-
-    held = texts.select("key", "text").mapInArrow(run, "key long, shingle long")
-    once = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
-    return once.groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
+def key_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).bitwiseOR(F.lit(-(2**63))))
 
 
 def compare(frame: pd.DataFrame, threshold: float) -> Iterator[tuple[int, int, float]]:
-    """Links of one group, whose first row is the pivot."""
+    """Links of one group, whose pivotal row is compared with the others."""
     frame = frame.sort_values("pivotal", ascending=False, kind="stable")
-    sets = [np.unique(x) for x in shingles([t or "" for t in frame["text"]], SHINGLE)]
-    keys = frame["key"].tolist()
+    sets = [multiset(x) for x in shingles(frame["text"].tolist(), SHINGLE)]
+    units = frame["unit"].tolist()
     base = sets[0]
-    for key, other in zip(keys[1:], sets[1:], strict=True):
-        if key == keys[0]:
-            continue
+    for unit, other in zip(units[1:], sets[1:], strict=True):
         both = len(np.intersect1d(base, other, assume_unique=True))
         similarity = both / max(1, len(base) + len(other) - both)
         if similarity >= threshold:
-            yield keys[0], key, similarity
+            yield units[0], unit, similarity
 
 
 def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (pivot, key) whose shingle sets have Jaccard similarity of ``threshold`` or more.
+    """The pairs (pivot, unit) whose weighted shingle sets have a Jaccard similarity of ``threshold`` or more.
 
     A pivot's partners are dealt into groups of about ``TOGETHER``; a group holds their texts and the pivot's, so
     that a pivot with very many partners is compared in many tasks and its text is sent once a group.
     """
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
-    dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    asked = dealt.select("key", "pivot", "part", F.lit(False).alias("pivotal")).unionByName(
-        dealt.select(F.col("pivot").alias("key"), "pivot", "part", F.lit(True).alias("pivotal")).distinct()
+    dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("unit"), F.col("parts")))
+    asked = dealt.select("unit", "pivot", "part", F.lit(False).alias("pivotal")).unionByName(
+        dealt.select(F.col("pivot").alias("unit"), "pivot", "part", F.lit(True).alias("pivotal")).distinct()
     )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(compare(frame, threshold)), columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
-    return asked.join(texts, "key").groupBy("pivot", "part").applyInPandas(run, "a long, b long, similarity double")
+    return asked.join(texts, "unit").groupBy("pivot", "part").applyInPandas(run, "a long, b long, similarity double")
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Each row's ``doc_id`` and ``key`` with ``class_id``, ``class_size``, ``n_links`` and ``kept``.
-
-    Documents with one shingle set are a unit, represented by its smallest key.  Units that share a band value meet in a
-    bucket.  A unit's shingles that no other unit in any bucket has cannot be shared, which bounds its similarity to all
-    others: units and pairs that cannot reach the threshold are left out, without loss.  In each round every bucket
-    compares all its members with a few pivots, those with the largest share of shared shingles, as far as they are in other components.
-    Pivots leave, having met everyone, and a bucket whose members are all in one component is settled.  Rounds take eight times as many
-    pivots as the last until no bucket is left: no bucket is capped, and a large group of copies is settled by its most
-    central member instead of by all its pairs.
-
-    Links are checked exactly, classes are their connected components and ``class_id`` is the smallest key in one.  ``n_links`` counts
-    the links found from a unit to other units.  A null text is empty; texts without words are one unit; a text of fewer than
-    five words has one shingle, the text.  A null doc_id is named by its text; rows that share a doc_id are one document.  ``kept``
-    is true where the key is the class_id.  An empty table gives an empty table.
+    """Each row's ``doc_id`` and ``key`` with ``hash``, ``class_id``, ``class_size`` and ``kept``.
+
+    Rows with one weighted shingle set are a unit.  Units that share a band value meet in a bucket.  A bucket's pivot is the member that meets most others over all
+    its buckets.  At first every unit is compared with one pivot, that of most of its buckets, which joins large groups at the cost of one comparison a unit.  In each
+    round after that, every bucket whose members are in several components compares all its members with its pivots, as far as they are in other components.
+    Pivots leave, having met everyone; rounds take eight times as many pivots as the last until no bucket is left.  A pair whose bitmaps differ in more
+    bits than two sets as alike as the threshold can differ in elements leaves the join no more: an exact bound, so what is compared by text is nearly all links.
+
+    Links are checked exactly, classes are their connected components and ``class_id`` is the smallest key in one.  A null text is empty; texts without words
+    are one unit; a text of fewer than five words has one shingle, the text.  A null doc_id is named by its text.  Rows that repeat a doc_id with another text are
+    documents of their own.  Of a class, ``kept`` is true for the row with the smallest key, then the smallest ``hash``; rows that repeat both are one document and
+    stay or go together.  An empty table gives an empty table; other columns are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = keyed(docs)
     sketches = scratch.table(sketch(rows), "sketch")
-    units = scratch.table(sketches.groupBy("d1", "d2").agg(F.min("key").alias("unit"), F.min("size").alias("size"), F.min_by("bands", "key").alias("bands")), "units")
-    members = units.select(F.col("unit").alias("key"), "size", F.posexplode("bands").alias("band", "value")).filter("size > 0")
-    crowded = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    members = scratch.table(members.join(crowded, ["band", "value"]), "members")
-    texts = scratch.table(rows.select("key", "text").join(members.select("key").distinct(), "key"), "texts")
-    # ``room``: shingles that others may share.
-    room = F.col("size") - F.coalesce("lone", F.lit(0))
-    members = members.join(lone_shingles(texts), "key", "left").withColumn("room", room).drop("lone")
-    members = scratch.table(members.filter(F.col("room") >= F.lit(threshold) * F.col("size")), "roomy")
-    links = tested = classes = None
-    pivots_each = 1
+    first = [F.first(c).alias(c) for c in ("size", "parity", "bands")]
+    # Written once, so the numbers stay.
+    units = scratch.table(sketches.groupBy("d1", "d2").agg(*first, F.min(F.struct("key", "hash")).alias("of")).withColumn("unit", F.monotonically_increasing_id()), "units")
+    members = units.filter("size > 0").select("unit", "size", F.posexplode("bands").alias("band", "value"))
+    crowded = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = scratch.table(members.join(crowded, ["band", "value"]), "crowded")
+    meets = members.groupBy("unit").agg(F.sum("n").alias("meets"))
+    members = scratch.table(members.drop("n").join(meets, "unit"), "members")
+    texts = rows.select(F.struct("key", "hash").alias("of"), "text").join(units.select("unit", "of").join(meets.select("unit"), "unit"), "of").dropDuplicates(["of"])
+    texts = scratch.table(texts.select("unit", "text"), "texts")
+    wide = (1 - threshold) / (1 + threshold) * (1 + 1e-9)
+    tested = classes = None
+    opening, pivots_each = True, 1
     while True:
-        grouped = members.withColumn("component", F.col("key")) if classes is None else members.join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        buckets = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b"), F.max("room").alias("__room"), F.min("size").alias("__size"))
-        # Whom not even the roomiest and smallest member of the bucket could match is done there.
-        least = F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("size") + F.col("__size"))
-        grouped = grouped.join(buckets.filter("__a <> __b"), ["band", "value"]).filter(F.least("room", "__room") >= least).drop("__a", "__b", "__room", "__size")
-        grouped = scratch.table(grouped, "open")
+        grouped = members.withColumn("component", F.col("unit")) if classes is None else members.join(classes, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+        several = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b")).filter("__a <> __b").drop("__a", "__b")
+        grouped = scratch.table(grouped.join(several, ["band", "value"]), "open")
         if grouped.isEmpty():
             break
-        pivots = grouped.groupBy("band", "value", F.pmod(F.xxhash64("key"), F.lit(pivots_each)).alias("salt")).agg(
-            F.max(F.struct((F.col("room") / F.col("size")).alias("share"), (-F.col("key")).alias("back"), F.col("size").alias("p_size"), F.col("room").alias("p_room"), F.col("component").alias("p_component"))).alias("p")
-        )
-        pivots = scratch.table(pivots.select("band", "value", (-F.col("p.back")).alias("pivot"), "p.p_size", "p.p_room", "p.p_component").withColumnsRenamed({"band": "p_band", "value": "p_value"}), "pivots")
-        shared = F.least("room", "p_room")
-        reachable = (F.col("component") != F.col("p_component")) & (shared >= F.lit(threshold) * (F.col("size") + F.col("p_size") - shared))
-        pairs = (
-            grouped.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("value") == F.col("p_value")) & reachable)
-            .select("pivot", "key", F.least("pivot", "key").alias("low"), F.greatest("pivot", "key").alias("high"))
-            .distinct()
-        )
+        told = ["size", "component"] + ([] if opening else ["parity"])
+        pivots = grouped.groupBy("band", "value", F.pmod(F.xxhash64("unit"), F.lit(pivots_each)).alias("salt")).agg(F.max(F.struct("meets", (-F.col("unit")).alias("back"), *told)).alias("p"))
+        pivots = scratch.table(pivots.select(F.col("band").alias("p_band"), F.col("value").alias("p_value"), (-F.col("p.back")).alias("pivot"), F.col("p.meets").alias("p_meets"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in told]), "pivots")
+        # Sets as alike as the threshold have sizes as alike.
+        reachable = (F.col("component") != F.col("p_component")) & (F.least("size", "p_size") >= F.lit(threshold * (1 - 1e-9)) * F.greatest("size", "p_size"))
+        if not opening:
+            reachable &= apart(F.col("parity"), F.col("p_parity")) <= F.lit(wide) * (F.col("size") + F.col("p_size"))
+        met = grouped.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("value") == F.col("p_value")) & reachable)
+        if opening:
+            shared = met.groupBy("unit", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.max("p_meets").alias("p_meets"))
+            pairs = shared.groupBy("unit").agg(F.max(F.struct("bands", "p_meets", "pivot")).alias("b")).select(F.col("b.pivot").alias("pivot"), "unit")
+        else:
+            pairs = met.select("pivot", "unit")
+        pairs = pairs.withColumns({"low": F.least("pivot", "unit"), "high": F.greatest("pivot", "unit")}).dropDuplicates(["low", "high"])
         if tested is not None:
             pairs = pairs.join(tested, ["low", "high"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
-        members = grouped.drop("component").join(pivots.select(F.col("p_band").alias("band"), F.col("p_value").alias("value"), F.col("pivot").alias("key")), ["band", "value", "key"], "left_anti")
-        pivots_each *= GROWTH
+        if opening:
+            members = grouped.drop("component").join(units.select("unit", "parity"), "unit")
+        else:
+            members = grouped.drop("component").join(pivots.select(F.col("p_band").alias("band"), F.col("p_value").alias("value"), F.col("pivot").alias("unit")), ["band", "value", "unit"], "left_anti")
+            pivots_each *= GROWTH
+        opening = False
         if pairs.isEmpty():
             continue
-        found = scratch.table(checked(pairs.select("pivot", "key"), texts, threshold), "links").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        met = pairs.select("low", "high")
-        tested = met if tested is None else tested.unionByName(met)
-        links = found if links is None else links.unionByName(found)
-        joined = found if classes is None else found.unionByName(classes.select(F.col("key").alias("a"), F.col("component").alias("b")))
-        classes = components(scratch, joined).withColumnRenamed("node", "key")
+        found = scratch.table(checked(pairs.select("pivot", "unit"), texts, threshold), "links").select("a", "b")
+        now = pairs.select("low", "high")
+        tested = now if tested is None else tested.unionByName(now)
+        joined = found if classes is None else found.unionByName(classes.select(F.col("unit").alias("a"), F.col("component").alias("b")))
+        classes = components(scratch, joined).withColumnRenamed("node", "unit")
     named = units.select("d1", "d2", "unit")
-    if links is None:
-        named = named.withColumns({"class_id": F.col("unit"), "n_links": F.lit(0).cast("long")})
-    else:
-        ends = links.distinct().select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"))
-        named = (
-            named.join(classes.select(F.col("key").alias("unit"), F.col("component").alias("class_id")), "unit", "left")
-            .join(ends, "unit", "left")
-            .select("d1", "d2", "unit", F.coalesce("class_id", "unit").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        )
-    placed = sketches.select("doc_id", "key", "d1", "d2").join(named, ["d1", "d2"])
-    sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return placed.join(sizes, "class_id").select(
-        "doc_id", "key", "class_id", "class_size", "n_links", (F.col("key") == F.col("class_id")).alias("kept")
-    )
+    named = named.withColumn("component", F.col("unit")) if classes is None else named.join(classes, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    placed = scratch.table(sketches.select("doc_id", "key", "hash", "d1", "d2").join(named.drop("unit"), ["d1", "d2"]).drop("d1", "d2"), "placed")
+    whole = placed.groupBy("component").agg(F.min(F.struct("key", "hash")).alias("of"), F.count(F.lit(1)).alias("class_size"))
+    kept = (F.col("key") == F.col("of.key")) & (F.col("hash") == F.col("of.hash"))
+    return placed.join(whole, "component").select("doc_id", "key", "hash", F.col("of.key").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents that represent their near-duplicate class, with the columns they came with; see :func:`near_groups`."""
-    kept = near_groups(docs).filter("kept").select(F.col("key").alias("__key")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63))))
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(*docs.columns)
+    kept = near_groups(docs).filter("kept").select(F.col("key").alias("__key"), F.col("hash").alias("__hash")).distinct()
+    named = docs.withColumns({"__key": key_of(docs), "__hash": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    return named.join(kept, ["__key", "__hash"], "left_semi").select(*docs.columns)
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_groups(docs).drop("key")
+    return near_groups(docs).drop("key", "hash")

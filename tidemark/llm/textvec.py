@@ -76,3 +76,13 @@ def shingles(texts: list[str], size: int = 5) -> list[np.ndarray]:
         else:
             out.append(hashes[:0])
     return out
+
+
+def multiset(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes of (element, how many times it has come before): two of these share as many values as the multisets share elements."""
+    x = np.sort(hashes)
+    if len(x) and (x[1:] == x[:-1]).any():
+        begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        nth = np.arange(len(x)) - np.repeat(begins, np.diff(np.append(begins, len(x))))
+        x = np.sort(np.where(nth > 0, mix(x + nth.astype(np.uint64) * _BASE), x))
+    return x

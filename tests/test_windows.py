@@ -90,3 +90,23 @@ def test_literals(spark):
     df = spark.createDataFrame([("2024-05-01",), (" 2024-05-01T10:11:12.5Z ",), ("",)], "t string")
     assert [r.n for r in df.select(D.as_timestamp_literal("t").alias("n")).collect()] == ["2024-05-01T00:00:00", "2024-05-01T10:11:12", ""]
     assert [r.n for r in df.select(D.parse_watermark(F.trim("t")).alias("n")).collect()] == [datetime(2024, 5, 1), datetime(2024, 5, 1, 10, 11, 12), None]
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    """The literals of a load's bounds are pushed into the scan of the facts, which is read once."""
+    from datetime import datetime
+
+    from tidemark.plans import loads
+
+    path = f"{tmp_path}/facts"
+    rows = [(str(i % 3), datetime(2024, 1, 1 + i % 28), i) for i in range(200)]
+    spark.createDataFrame(rows, "model_name string, ts timestamp_ntz, n int").write.parquet(path)
+    facts = spark.read.parquet(path)
+    bounds = spark.createDataFrame([("1", datetime(2024, 1, 9, 6), datetime(2024, 1, 10, 6)), ("2", None, None)], "model_name string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    plan = spark.createDataFrame([("1", "single", [])], "model_name string, disposition string, chunks array<struct<chunk_id:string,start:timestamp_ntz,end:timestamp_ntz>>")
+    for load in (loads.incremental_load(facts, bounds, "model_name", "ts"), loads.chunked_backfill(facts, plan, bounds, "model_name", "ts")):
+        text = load._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in text.splitlines() if "FileScan" in line and "facts" in line]
+        assert len(scans) == 1 and "GreaterThanOrEqual(ts,2024-01-08T06:00" in scans[0] and "LessThanOrEqual(ts,2024-01-11T06:00" in scans[0]
+        assert sorted(r.n for r in load.collect()) == [i for i in range(200) if i % 3 == 1 and i % 28 == 9]
+    assert loads.incremental_load(facts, bounds.limit(0), "model_name", "ts").count() == 0

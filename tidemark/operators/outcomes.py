@@ -11,26 +11,33 @@ from tidemark.operators.ledger import upsert_status
 FAILED = ("failed", "upstream_failed")
 
 
+def _run_keys(df: DataFrame) -> list[str]:
+    """Models of one run are told by name; of many runs, by run group and name."""
+    return [c for c in ("run_group_id", "model_name") if c in df.columns or c == "model_name"]
+
+
 def tests_by_model(tests: DataFrame) -> DataFrame:
-    """(model_name, failing, ran) of tests (parents, status), a test counting for each of its parents.
+    """([run_group_id,] model_name, failing, ran) of tests ([run_group_id,] parents, status), a test counting for each of its parents.
 
     A failing test failed or broke; skipped tests did not run; warnings pass.
     """
-    each = tests.select(F.explode("parents").alias("model_name"), "status")
-    return each.groupBy("model_name").agg(F.max(F.coalesce(F.col("status").isin("fail", "error"), F.lit(False))).alias("failing"), F.max(F.coalesce(F.col("status") != "skipped", F.lit(True))).alias("ran"))
+    keys = _run_keys(tests)
+    each = tests.select(*keys[:-1], F.explode("parents").alias("model_name"), "status")
+    return each.groupBy(*keys).agg(F.max(F.coalesce(F.col("status").isin("fail", "error"), F.lit(False))).alias("failing"), F.max(F.coalesce(F.col("status") != "skipped", F.lit(True))).alias("ran"))
 
 
 def run_outcomes(builds: DataFrame, tests: DataFrame, locked: DataFrame | None = None) -> DataFrame:
-    """(model_name, status) of each model built (model_name, status) or tested.
+    """([run_group_id,] model_name, status) of each model built ([run_group_id,] model_name, status) or tested.
 
     A skipped build gives no row.  A failed build or failing test makes it failed; a good build, or tests that ran where there was no build, succeeded.
-    Models in ``locked`` backed off and give no row.
+    Models in ``locked`` ([run_group_id,] model_name) backed off in that run and give no row; a ledger's locked-out rows serve as ``locked``.
     """
-    joined = builds.select("model_name", F.col("status").alias("build")).join(tests_by_model(tests), "model_name", "full_outer")
+    keys = _run_keys(builds)
+    joined = builds.select(*keys, F.col("status").alias("build")).join(tests_by_model(tests), keys, "full_outer")
     failing, ran = F.coalesce("failing", F.lit(False)), F.coalesce("ran", F.lit(False))
     status = F.when(F.col("build") == "skipped", None).when(failing | (F.col("build") != "success"), "failed").when((F.col("build") == "success") | ran, "succeeded")
-    out = joined.select("model_name", status.alias("status")).filter(F.col("status").isNotNull())
-    return out if locked is None else out.join(locked.select("model_name").distinct(), "model_name", "left_anti")
+    out = joined.select(*keys, status.alias("status")).filter(F.col("status").isNotNull())
+    return out if locked is None else out.join(locked.select(*keys).distinct(), keys, "left_anti")
 
 
 def models_with_tests(models: DataFrame, tests: DataFrame) -> DataFrame:
@@ -45,9 +52,14 @@ def defer_success(transitions: DataFrame, tests: DataFrame) -> DataFrame:
     return transitions.filter(~good).unionByName(transitions.filter(good).join(tested, "model_name", "left_anti"))
 
 
+def set_by_hand() -> Column:
+    """Whether a task state (previous_state, state) was set by hand: neither the end of a running task nor no change; an unknown previous state counts."""
+    return ~F.col("previous_state").eqNullSafe("running") & ~F.col("previous_state").eqNullSafe(F.col("state"))
+
+
 def manual_transitions(states: DataFrame) -> DataFrame:
-    """Task states (previous_state, state) set by hand: neither the end of a running task nor no change; an unknown previous state counts."""
-    return states.filter(~F.col("previous_state").eqNullSafe("running") & ~F.col("previous_state").eqNullSafe(F.col("state")))
+    """The task states set by hand."""
+    return states.filter(set_by_hand())
 
 
 def parse_task_ids(states: DataFrame) -> DataFrame:
@@ -64,11 +76,11 @@ def parse_task_ids(states: DataFrame) -> DataFrame:
     return states.withColumns({"model_name": model, "role": role})
 
 
-def states_by_model(states: DataFrame) -> DataFrame:
-    """(run_id, model_name, run_state, test_state): the latest state of each role, ties to the larger state."""
+def states_by_model(states: DataFrame, *more: Column) -> DataFrame:
+    """(run_id, model_name, run_state, test_state, and aggregates in ``more``): the latest state of each role, ties to the larger state."""
     known = parse_task_ids(states).filter(F.col("role").isNotNull())
     latest = lambda role: F.max_by(F.when(F.col("role") == role, F.col("state")), F.when(F.col("role") == role, F.struct("changed_at", "state")))
-    return known.groupBy("run_id", "model_name").agg(latest("run").alias("run_state"), latest("test").alias("test_state"))
+    return known.groupBy("run_id", "model_name").agg(latest("run").alias("run_state"), latest("test").alias("test_state"), *more)
 
 
 def manual_status(run_state: str = "run_state", test_state: str = "test_state") -> Column:
@@ -79,14 +91,13 @@ def manual_status(run_state: str = "run_state", test_state: str = "test_state")
     return F.when(failed, "failed").when(run_good & (test.isNull() | test_good), "succeeded").when(test_good & (run.isNull() | run.eqNullSafe("skipped")), "succeeded")
 
 
-def manual_outcomes(states: DataFrame) -> DataFrame:
-    return states_by_model(states).withColumn("status", manual_status()).filter(F.col("status").isNotNull())
+def manual_outcomes(states: DataFrame, *more: Column) -> DataFrame:
+    return states_by_model(states, *more).withColumn("status", manual_status()).filter(F.col("status").isNotNull())
 
 
 def reconcile(states: DataFrame, ledger: DataFrame, now) -> DataFrame:
     """The ledger after the outcomes of models whose tasks were set by hand; the run's id is the run group, the chunk 'full'."""
-    touched = parse_task_ids(manual_transitions(states)).filter(F.col("role").isNotNull()).select("run_id", "model_name").distinct()
-    found = manual_outcomes(states).join(touched, ["run_id", "model_name"], "left_semi")
+    found = manual_outcomes(states, F.max(set_by_hand()).alias("touched")).filter("touched")
     rows = found.select("model_name", datestr(now).alias("execution_ts"), "status", F.col("run_id").alias("run_group_id"), F.lit("full").alias("chunk_key"), as_column(now).alias("updated_at"))
     return upsert_status(ledger, rows)
 

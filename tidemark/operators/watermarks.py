@@ -26,12 +26,12 @@ def read_watermark(ledger: DataFrame) -> DataFrame:
 
     A run group is complete if each of its started chunks has succeeded.  A null run group matches nothing, so its ends count.
     """
-    started = ledger.filter(F.col("status") == "started")
-    succeeded = ledger.filter(F.col("status") == "succeeded").select("model_name", "run_group_id", "chunk_key")
-    lacking = started.select("model_name", "run_group_id", "chunk_key").join(succeeded, ["model_name", "run_group_id", "chunk_key"], "left_anti").select("model_name", "run_group_id").distinct()
-    complete = started.filter(F.col("end_ts").isNotNull()).join(lacking, ["model_name", "run_group_id"], "left_anti")
-    ends = complete.groupBy("model_name").agg(F.max("end_ts").alias("watermark"))
-    return started.select("model_name").distinct().join(ends, "model_name", "left")
+    keys = ["model_name", "run_group_id", "chunk_key"]
+    is_started, whole = F.col("status") == "started", reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+    chunks = ledger.groupBy(*keys).agg(F.max(is_started).alias("started"), F.max((F.col("status") == "succeeded") & whole).alias("done"), F.max(F.when(is_started, F.col("end_ts"))).alias("end_ts"))
+    runs = chunks.filter("started").groupBy("model_name", "run_group_id").agg(F.min("done").alias("complete"), F.max("end_ts").alias("end_ts"))
+    counts = F.col("model_name").isNotNull() & (F.col("complete") | F.col("run_group_id").isNull())
+    return runs.groupBy("model_name").agg(F.max(F.when(counts, F.col("end_ts"))).alias("watermark"))
 
 
 def planning_watermark(models: DataFrame, watermarks: DataFrame, maxima: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import NTZ
 from tidemark.operators.ledger import record_window_end, record_window_start, upsert_started
 from tidemark.plans.windows import chunk_units
 from tidemark.scratch import Scratch
-from tidemark.sources.chunks import write_chunks
+from tidemark.sources.chunks import replace_partitions, write_chunks
 
 #: Units up to this many are sent to every executor; more are joined by shuffle.
 BROADCAST_UNITS = 100_000
@@ -24,22 +27,46 @@ def sized(units: DataFrame, most: int = BROADCAST_UNITS) -> DataFrame:
     return F.broadcast(units) if units.limit(most + 1).count() <= most else units
 
 
-def _before(end, half_open: bool, ts):
-    # With windows that end a second before the next boundary, rows in that last second's fraction belong nowhere; half-open windows take them in.
-    return ts < end + F.make_dt_interval(secs=F.lit(1)) if half_open else ts <= end
+def cells_of(units: DataFrame, upto) -> DataFrame:
+    """``units`` (model_name, chunk_id, chunk_start, chunk_end) by month: (__model, chunk_id, __from, __upto, __month), the upper bound excluded."""
+    month = lambda c: F.trunc(F.col(c).cast("date"), "MM")
+    months = F.when(F.col("chunk_start") <= F.col("chunk_end"), F.sequence(month("chunk_start"), month("chunk_end"), F.expr("interval 1 month")))
+    return units.select(F.col("model_name").alias("__model"), "chunk_id", F.col("chunk_start").alias("__from"), upto.alias("__upto"), F.explode(months).alias("__month"))
 
 
-def assign_chunks(facts: DataFrame, units: DataFrame, model: str, ts: str, half_open: bool = False) -> DataFrame:
-    """``facts`` of many models with the ``chunk_id`` of the window they fall in; rows in no window are left out.
+def upper_bound(half_open: bool = False):
+    """Where a window that ends a second before the next boundary ends: with it, or, half-open, at the boundary, so that rows of that last second are taken in."""
+    return F.col("chunk_end").cast(NTZ) + (F.make_dt_interval(secs=F.lit(1)) if half_open else F.expr("interval '0.000001' second"))
+
+
+def between_bounds(facts: DataFrame, ts: str, windows: DataFrame, start: str, end: str) -> DataFrame:
+    """``facts`` from the earliest start to the latest end of ``windows``, as literals that reach the scan: files and row groups outside are not read.
+
+    A day is allowed on either side for what a cast of ``ts`` may shift; the windows themselves decide later.
+    """
+    low, high = windows.agg(F.min(F.col(start).cast(NTZ)), F.max(F.col(end).cast(NTZ))).first()
+    if low is None or high is None:
+        return facts.limit(0)
+    kind, day = facts.schema[ts].dataType, timedelta(days=1)
+    literal = lambda at: F.lit(at.date()) if kind == T.DateType() else F.lit(at).cast(NTZ).cast(kind)
+    return facts.filter((F.col(ts) >= literal(low - day)) & (F.col(ts) <= literal(high + day)))
+
+
+def in_cells(facts: DataFrame, cells: DataFrame, model: str, ts: str) -> DataFrame:
+    """``facts`` in the windows of ``cells``, with their ``chunk_id``.
 
     An interval join by hash: equality on model and month narrows it to a window or two a row, then the bounds decide.
     """
-    months = F.sequence(F.trunc(F.col("chunk_start").cast("date"), "MM"), F.trunc(F.col("chunk_end").cast("date"), "MM"), F.expr("interval 1 month"))
-    cells = units.select(F.col("model_name").alias("__model"), "chunk_id", "chunk_start", "chunk_end", F.explode(months).alias("__month"))
+    cells = sized(cells)
     at = F.col(ts).cast(NTZ)
     hit = (F.col(model) == F.col("__model")) & (F.trunc(F.col(ts).cast("date"), "MM") == F.col("__month"))
-    inside = (at >= F.col("chunk_start")) & _before(F.col("chunk_end"), half_open, at)
-    return facts.join(sized(cells), hit).filter(inside).select(*facts.columns, "chunk_id")
+    inside = (at >= F.col("__from")) & (at < F.col("__upto"))
+    return between_bounds(facts, ts, cells, "__from", "__upto").join(cells, hit).filter(inside).select(*facts.columns, "chunk_id")
+
+
+def assign_chunks(facts: DataFrame, units: DataFrame, model: str, ts: str, half_open: bool = False) -> DataFrame:
+    """``facts`` of many models with the ``chunk_id`` of the window they fall in; rows in no window are left out."""
+    return in_cells(facts, cells_of(units, upper_bound(half_open)), model, ts)
 
 
 def assign_model_chunks(facts: DataFrame, units: DataFrame, ts: str, half_open: bool = False) -> DataFrame:
@@ -49,10 +76,9 @@ def assign_model_chunks(facts: DataFrame, units: DataFrame, ts: str, half_open:
 
 def incremental_load(facts: DataFrame, bounds: DataFrame, model: str, ts: str) -> DataFrame:
     """Rows of each model inside its (start_ts, end_ts), both included."""
-    windows = bounds.select(F.col("model_name").alias("__model"), F.col("start_ts").alias("__start"), F.col("end_ts").alias("__end"))
-    at = F.col(ts).cast(NTZ)
-    joined = facts.join(sized(windows), F.col(model) == F.col("__model"))
-    return joined.filter(at.between(F.col("__start"), F.col("__end"))).select(*facts.columns)
+    windows = sized(bounds.select(F.col("model_name").alias("__model"), F.col("start_ts").alias("__start"), F.col("end_ts").alias("__end")))
+    joined = between_bounds(facts, ts, windows, "__start", "__end").join(windows, F.col(model) == F.col("__model"))
+    return joined.filter(F.col(ts).cast(NTZ).between(F.col("__start"), F.col("__end"))).select(*facts.columns)
 
 
 def record_bounds(ledger: DataFrame, bounds: DataFrame, execution_ts: str, run_group_id: str, now, chunk_key: str = "full") -> DataFrame:
@@ -65,23 +91,41 @@ def record_bounds(ledger: DataFrame, bounds: DataFrame, execution_ts: str, run_g
 def reload_days(facts: DataFrame, bounds: DataFrame, model: str, ts: str, path: str) -> None:
     """Writes the rows inside each model's window by model and day, replacing the days it reads again.
 
-    The lookback makes windows overlap, so days are replaced and not appended: late rows come in and nothing doubles.  A window is widened to whole days
-    on its lower side, since a day is replaced as a whole.
+    The lookback makes windows overlap, so days are replaced and not appended: late rows come in and nothing doubles.  A day is replaced as a whole, so a
+    window is widened to whole days on both sides; days of it that have no rows any more come out empty.
     """
-    whole = bounds.withColumn("start_ts", F.col("start_ts").cast("date").cast(NTZ))
+    day = lambda c: F.col(c).cast("date").cast(NTZ)
+    whole = Scratch(facts.sparkSession, "whole").table(bounds.select("model_name", day("start_ts").alias("start_ts"), (day("end_ts") + F.expr("interval '86399.999999' second")).alias("end_ts")))
     rows = incremental_load(facts, whole, model, ts).withColumns({"load_model": F.col(model).cast("string"), "load_day": F.col(ts).cast("date")})
-    rows.repartition("load_model", "load_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_model", "load_day").parquet(path)
+
+    def touched(files: DataFrame) -> DataFrame:
+        spans = whole.select(F.col("model_name").cast("string").alias("load_model"), F.col("start_ts").cast("date").alias("__a"), F.col("end_ts").cast("date").alias("__b"))
+        return files.join(spans, "load_model").filter(F.col("load_day").cast("date").between(F.col("__a"), F.col("__b"))).select("file").distinct()
+
+    replace_partitions(rows, path, ["load_model", "load_day"], touched)
+
+
+def single_bounds(plan: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``bounds`` of the models that ``plan`` loads in one window."""
+    return bounds.join(plan.filter(F.col("disposition") == "single").select("model_name"), "model_name", "left_semi")
 
 
 def chunked_backfill(facts: DataFrame, plan: DataFrame, bounds: DataFrame, model: str, ts: str, half_open: bool = False) -> DataFrame:
     """All rows that a plan loads, with their ``chunk_id``: windows of chunked models, and the incremental window ('full') of the others.
 
-    One job for all models and windows; :func:`tidemark.sources.chunks.write_chunks` puts each chunk in place of its last version.
+    One join of ``facts``, read once, for all models and windows.
     """
-    chunked = assign_chunks(facts, chunk_units(plan), model, ts, half_open)
-    once = bounds.join(plan.filter(F.col("disposition") == "single").select("model_name"), "model_name", "left_semi")
-    return chunked.unionByName(incremental_load(facts, once, model, ts).withColumn("chunk_id", F.lit("full")))
+    chunks = cells_of(chunk_units(plan), upper_bound(half_open))
+    single = single_bounds(plan, bounds).select("model_name", F.lit("full").alias("chunk_id"), F.col("start_ts").alias("chunk_start"), F.col("end_ts").alias("chunk_end"))
+    return in_cells(facts, chunks.unionByName(cells_of(single, upper_bound())), model, ts)
 
 
-def write_backfill(rows: DataFrame, path: str) -> None:
-    write_chunks(rows, path)
+def write_backfill(facts: DataFrame, plan: DataFrame, bounds: DataFrame, model: str, ts: str, chunks: str, days: str, half_open: bool = False) -> None:
+    """Loads a plan: chunks in place of their last version under ``chunks``, and the windows of the other models by day under ``days``.
+
+    Windows with lookback overlap from run to run, so they replace days and not a chunk, which would lose what earlier runs have loaded.
+    """
+    units = Scratch(facts.sparkSession, "units").table(chunk_units(plan))
+    ran = units.select(F.col("model_name").alias(model), "chunk_id")
+    write_chunks(assign_chunks(facts, units, model, ts, half_open), chunks, model, ran=ran)
+    reload_days(facts, single_bounds(plan, bounds), model, ts, days)

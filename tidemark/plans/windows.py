@@ -118,6 +118,14 @@ def plan_json(plan: DataFrame) -> DataFrame:
     return plan.select("model_name", F.to_json(F.struct("disposition", chunks.alias("chunks"))).alias("plan"))
 
 
+def plan_from_json(plans: DataFrame) -> DataFrame:
+    """(model_name, disposition, chunks) of what :func:`plan_json` wrote, so that a plan kept as text gives units of work again."""
+    read = F.from_json("plan", "disposition string, chunks array<struct<chunk_id:string,start:string,end:string>>")
+    at = lambda t: to_naive_utc(t)
+    chunks = F.transform("p.chunks", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), at(c["start"]).alias("start"), at(c["end"]).alias("end"))).cast(WINDOWS)
+    return plans.select("model_name", read.alias("p")).select("model_name", "p.disposition", chunks.alias("chunks"))
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     """One row: models, chunked and single ones, and chunks."""
     chunked = F.col("disposition") == "chunked"

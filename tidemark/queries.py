@@ -84,7 +84,7 @@ def upsert_days(spark, sf):
     path = Scratch(spark, "days").path("ledger")
     ledger_store.upsert_days(spark, path, old, lambda held, rows: held.unionByName(rows))
     ledger_store.upsert_days(spark, path, new, L.upsert_status)
-    return ledger_store.as_ledger(spark.read.parquet(path))
+    return ledger_store.read_days(spark, path)
 
 
 @query(f"WITH {X.LEDGER} SELECT {COLUMNS} FROM ledger")
@@ -107,7 +107,7 @@ def stream_upserts(spark, sf):
     ledger_store.append_transitions(X.transitions(spark, sf), log)
     stream = spark.readStream.schema(ledger_store.LEDGER).option("maxFilesPerTrigger", 2).parquet(log)
     stream_upsert_status(spark, stream, path, scratch.path("checkpoint")).awaitTermination()
-    return ledger_store.read_ledger(spark, path).select("model_name", "execution_ts", "status", "updated_at", "run_group_id", "chunk_key")
+    return ledger_store.read_days(spark, path).select("model_name", "execution_ts", "status", "updated_at", "run_group_id", "chunk_key")
 
 
 @query(
@@ -199,13 +199,12 @@ def live_rows(spark, sf):
 
 
 @query(
-    f"""WITH {X.LEDGER}, live AS (SELECT * FROM ledger WHERE status NOT IN ('locked_out', 'crashed') AND execution_ts >= '2024-01-01'),
-ranked AS (SELECT model_name, execution_ts, run_group_id, row_number() OVER (PARTITION BY model_name, execution_ts ORDER BY max(updated_at) DESC, run_group_id DESC) AS r FROM live GROUP BY model_name, execution_ts, run_group_id),
-won AS (SELECT l.* FROM live l JOIN ranked k ON k.r = 1 AND k.model_name = l.model_name AND k.execution_ts = l.execution_ts AND k.run_group_id = l.run_group_id),
-final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, execution_ts, chunk_key ORDER BY updated_at DESC, status DESC) AS c FROM won) WHERE c = 1),
-st AS (SELECT model_name, execution_ts, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'started') THEN 'started' ELSE 'succeeded' END AS status FROM final GROUP BY ALL),
-agg AS (SELECT model_name, execution_ts, max(run_group_id) AS run_group_id, CASE WHEN count(DISTINCT chunk_key) = 1 THEN max(chunk_key) ELSE '__all__' END AS chunk_key, min(start_ts) AS start_ts, max(end_ts) AS end_ts, max(updated_at) AS updated_at FROM won GROUP BY model_name, execution_ts)
-SELECT a.model_name, a.execution_ts, s.status, a.run_group_id, a.chunk_key, a.start_ts, a.end_ts, a.updated_at FROM agg a JOIN st s ON a.model_name = s.model_name AND a.execution_ts = s.execution_ts"""
+    f"""WITH {X.LEDGER}, states AS (SELECT model_name, execution_ts, run_group_id, chunk_key, arg_max(status, (updated_at, status)) AS s, max(updated_at) AS u, min(start_ts) AS a, max(end_ts) AS b
+  FROM ledger WHERE status NOT IN ('locked_out', 'crashed') AND execution_ts >= '2024-01-01' GROUP BY ALL)
+SELECT model_name, execution_ts, ['succeeded', 'started', 'failed'][max(list_position(['succeeded', 'started', 'failed'], s))] AS status, any_value(run_group_id) AS run_group_id,
+  CASE count(*) WHEN 1 THEN any_value(chunk_key) ELSE '__all__' END AS chunk_key, min(a) AS start_ts, max(b) AS end_ts, max(u) AS updated_at
+FROM states c WHERE run_group_id = (SELECT arg_max(o.run_group_id, (o.u, o.run_group_id)) FROM states o WHERE o.model_name = c.model_name AND o.execution_ts = c.execution_ts)
+GROUP BY model_name, execution_ts"""
 )
 def completions_view(spark, sf):
     return L.completions_view(X.ledger(spark, sf), date(2024, 1, 31))
@@ -486,6 +485,119 @@ def reload_days(spark, sf):
     return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
 
 
+def _daily(spark, sf):
+    return X.read(spark, sf, "events").select(F.col("event_type").alias("model_name"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def _spans(facts, start, end):
+    return facts.groupBy("model_name").agg(F.lit(start).cast("timestamp_ntz").alias("start_ts"), F.lit(end).cast("timestamp_ntz").alias("end_ts"))
+
+
+@query("SELECT event_type AS model_name, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-30'")
+def reload_days_midday(spark, sf):
+    """A second load that begins and ends within days keeps the rest of these days."""
+    path, facts = Scratch(spark, "midday").path(), _daily(spark, sf)
+    for start, end in ((datetime(2024, 1, 8, 5), datetime(2024, 1, 29, 23, 59, 59)), (datetime(2024, 1, 20, 6), datetime(2024, 1, 25, 12))):
+        loads.reload_days(facts, _spans(facts, start, end), "model_name", "ts", path)
+    return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
+
+
+@query("SELECT event_type AS model_name, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-30' AND NOT (event_type = 'view' AND CAST(ts AS DATE) = DATE '2024-01-22')")
+def reload_days_emptied(spark, sf):
+    """A day whose rows are gone at the source comes out empty; the same day of other models and other days stay."""
+    path, facts = Scratch(spark, "emptied").path(), _daily(spark, sf)
+    gone = (F.col("model_name") == "view") & (F.col("ts").cast("date") == F.lit(date(2024, 1, 22)))
+    loads.reload_days(facts, _spans(facts, datetime(2024, 1, 8), datetime(2024, 1, 29, 23)), "model_name", "ts", path)
+    loads.reload_days(facts.filter(~gone), _spans(facts, datetime(2024, 1, 20), datetime(2024, 1, 25)), "model_name", "ts", path)
+    return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
+
+
+_LOADED = f"""{_plan('full')}, loaded AS ({_ASSIGN})"""
+
+
+@query(
+    _LOADED + """ SELECT model_name, chunk_id, count(*) AS n, sum(l_orderkey) AS keys FROM loaded
+WHERE CAST(model_name AS INT) % 2 = 1 OR (l_linenumber > 1 AND NOT ends_with(chunk_id, '-01')) GROUP BY model_name, chunk_id"""
+)
+def rerun_chunks(spark, sf):
+    """Chunks of every second model run again, with other rows and for some chunks none: the other models keep theirs."""
+    path = Scratch(spark, "rerun").path()
+    units = Scratch(spark, "units").table(windows.chunk_units(_run_plan(spark, sf, "full")))
+    rows = loads.assign_chunks(X.facts(spark, sf), units, "model_name", "ts")
+    chunks.write_chunks(rows, path)
+    even = F.col("model_name").cast("int") % 2 == 0
+    again = rows.filter(even & (F.col("l_linenumber") > 1) & ~F.endswith("chunk_id", F.lit("-01")))
+    chunks.write_chunks(again, path, ran=units.filter(even))
+    return spark.read.schema(rows.schema).parquet(path).groupBy("model_name", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query(
+    f"""{_plan('none')}, {_BOUNDS} SELECT model_name, 'chunk' AS kind, count(*) AS n, sum(l_orderkey) AS keys FROM ({_ASSIGN}) GROUP BY model_name UNION ALL
+SELECT f.model_name, 'day', count(*), sum(l_orderkey) FROM facts f JOIN bounds b ON b.model_name = f.model_name AND CAST(f.ts AS DATE) BETWEEN CAST(b.start_ts AS DATE) - 40 AND CAST(b.end_ts AS DATE)
+  JOIN disp d ON d.model_name = f.model_name AND d.disposition = 'single' GROUP BY f.model_name"""
+)
+def write_backfill(spark, sf):
+    """A plan loaded twice, the first time from 40 days earlier: later windows keep what earlier ones have loaded."""
+    scratch = Scratch(spark, "backfill")
+    plan, bounds, facts = scratch.table(_run_plan(spark, sf, "none")), scratch.table(_bounds(spark, sf)), X.facts(spark, sf)
+    at = scratch.path("chunks"), scratch.path("days")
+    for back in (40, 0):
+        loads.write_backfill(facts, plan, bounds.withColumn("start_ts", D.shift_days("start_ts", -back)), "model_name", "ts", *at)
+    read = lambda path, kind, schema: spark.read.schema(schema).parquet(path).groupBy("model_name").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+    return read(at[0], "chunk", facts.schema).unionByName(read(at[1], "day", facts.schema))
+
+
+@query(_plan("full") + _ASSIGN.replace("f.ts <= u.chunk_end", "f.ts < u.chunk_end + INTERVAL 1 SECOND"))
+def assign_chunks_half_open(spark, sf):
+    return loads.assign_chunks(X.facts(spark, sf), windows.chunk_units(_run_plan(spark, sf, "full")), "model_name", "ts", half_open=True)
+
+
+@query(_plan("none") + _UNITS)
+def plan_from_json(spark, sf):
+    """A plan written as JSON and read back."""
+    return windows.chunk_units(windows.plan_from_json(windows.plan_json(_run_plan(spark, sf, "none"))))
+
+
+@query(f"WITH {X.MODELS} SELECT model_name, TIMESTAMP '1997-03-15 06:00:00' AS start_ts, TIMESTAMP '1998-09-10 18:30:00' AS end_ts FROM models")
+def window_bounds_backfill(spark, sf):
+    models = X.models(spark, sf)
+    start, end = (datetime.fromisoformat(x) for x in PARTIAL)
+    return W.window_bounds(models, None, None, EXEC, backfill_start=start, backfill_end=end).select("model_name", "start_ts", "end_ts")
+
+
+@query(f"WITH {X.MODELS} SELECT model_name, CAST(first_timestamp AS TIMESTAMP) AS start_ts, TIMESTAMP '{X.EXECUTION}' - to_days(lag) - INTERVAL 1 SECOND AS end_ts FROM models")
+def window_bounds_full(spark, sf):
+    return W.window_bounds(X.models(spark, sf), None, None, EXEC, incremental=False).select("model_name", "start_ts", "end_ts")
+
+
+@query(
+    f"""WITH {X.MODELS}, {_BOUNDS} SELECT model_name, '2001-12-01' AS execution_ts, 'started' AS status, CASE WHEN CAST(model_name AS INT) % 2 = 0 THEN TIMESTAMP '2024-01-29 12:00:00' ELSE {_NOW} END AS updated_at,
+'r1' AS run_group_id, 'full' AS chunk_key, {_NOW} AS heartbeat_at, start_ts, end_ts FROM bounds"""
+)
+def record_bounds(spark, sf):
+    """Windows of a load on a ledger in which every second model has started."""
+    bounds = _bounds(spark, sf)
+    early = bounds.filter(F.col("model_name").cast("int") % 2 == 0).select("model_name", F.lit(X.EXECUTION).alias("execution_ts"), F.lit("r1").alias("run_group_id"), F.lit("full").alias("chunk_key"))
+    started = L.upsert_started(spark.createDataFrame([], ledger_store.LEDGER), early, datetime(2024, 1, 29, 12))
+    return loads.record_bounds(started, bounds, X.EXECUTION, "r1", NOW)
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('day', ts) WHEN 1 THEN date_trunc('second', ts) END AS at FROM events"""
+)
+def cast_ts(spark, sf):
+    """Dates, timestamps and texts that are neither."""
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(F.lit("soon "), "event_type"))
+    return X.read(spark, sf, "events").select("event_id", D.cast_ts(text).alias("at"))
+
+
+@query("SELECT event_id, ts AS zoned, date_trunc('day', ts) AS dated FROM events")
+def naive_timestamps(spark, sf):
+    """Zoned timestamps and dates as zone-less ones."""
+    zoned = F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return X.read(spark, sf, "events").select("event_id", F.when(F.current_timezone() == "UTC", D.to_naive_utc(zoned, "timestamp")).otherwise(F.col("ts").cast("timestamp_ntz")).alias("zoned"), D.to_naive_utc(F.col("ts").cast("date"), "date").alias("dated"))
+
+
 @query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
 def reset_table(spark, sf):
     """A table loaded, emptied before a full refresh, and loaded with what the refresh brings; the first scan finds no table."""
@@ -522,6 +634,20 @@ def run_outcomes_tests_only(spark, sf):
     return R.run_outcomes(X.builds(spark, sf).filter("key % 10 <> 0").drop("key"), X.tests(spark, sf, True))
 
 
+@query(
+    f"""WITH {X.BUILDS}, b AS (SELECT 'g' || (key % 3) AS run_group_id, * FROM builds), t AS (SELECT 'g' || (CAST(model_name AS BIGINT) % 3) AS run_group_id, * FROM tests)
+SELECT run_group_id, model_name, CASE WHEN b.status = 'error' OR EXISTS (SELECT 1 FROM t WHERE t.model_name = b.model_name AND t.status = 'fail') THEN 'failed' ELSE 'succeeded' END AS status
+FROM b WHERE status <> 'skipped' AND key % 7 <> 0"""
+)
+def run_outcomes_locked(spark, sf):
+    """Models locked out of this run give no row; those locked out of another run do."""
+    group = lambda k: F.concat(F.lit("g"), (k % 3).cast("string"))
+    builds = X.builds(spark, sf).withColumn("run_group_id", group(F.col("key")))
+    tests = X.tests(spark, sf).withColumn("run_group_id", group(F.col("parents")[0].cast("long")))
+    locked = builds.filter("key % 7 = 0").unionByName(builds.filter("key % 7 = 1").withColumn("run_group_id", F.lit("g9")))
+    return R.run_outcomes(builds, tests, locked.withColumn("status", F.lit("locked_out")))
+
+
 @query(f"WITH {X.BUILDS} SELECT model_name, status FROM builds WHERE status <> 'success' OR model_name NOT IN (SELECT model_name FROM tests WHERE n > 3)")
 def defer_success(spark, sf):
     tests = X.read(spark, sf, "lineitem").filter("l_linenumber > 3").select(F.array(F.col("l_orderkey").cast("string")).alias("parents"))
@@ -637,6 +763,21 @@ def promote_chunked(spark, sf):
     return K.promote_chunked(models, config).select("model_name", "kind", "chunk_months", "reason")
 
 
+@query(
+    f"""WITH {X.TEXTS} SELECT CAST(1 AS INT) AS idx, model_name, k % 5 = 1 AS chunking_enabled, CAST(CASE WHEN k % 6 = 0 THEN 1 + k % 12 END AS INT) AS chunk_size
+FROM texts WHERE k % 5 IN (1, 2) AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0"""
+)
+def config_entries(spark, sf):
+    """Chunk settings as JSON, with items, flags, sizes and names that are not what they should be."""
+    k = F.col("k")
+    flag = F.when(k % 5 == 1, "true").when(k % 5 == 2, "false").when(k % 5 == 3, '"true"').when(k % 5 == 4, "1").otherwise("null")
+    size = F.when(k % 6 == 0, (1 + k % 12).cast("string")).when(k % 6 == 1, "true").when(k % 6 == 2, "2.5").when(k % 6 == 3, "-3").when(k % 6 == 4, '"4"').otherwise("null")
+    name = F.when(k % 13 == 0, F.lit('""')).otherwise(F.concat(F.lit('"'), "model_name", F.lit('"')))
+    item = F.concat(F.lit('{"model_name": '), name, F.lit(', "chunking_enabled": '), flag, F.lit(', "chunk_size": '), size, F.lit("}"))
+    text = F.when(k % 7 == 0, item).when(k % 11 == 0, F.concat(F.lit("["), item)).otherwise(F.concat(F.lit("[7, "), item, F.lit("]")))
+    return K.config_entries(X.texts(spark, sf).select(text.alias("config")))
+
+
 @query(f"WITH {X.TEXTS} SELECT model_name, k FROM texts WHERE k % 3 = 1 AND k % 4 <> 0")
 def select_models(spark, sf):
     """Plannable models among those selected; a selection may name a model twice or one that does not exist."""

@@ -37,6 +37,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def delete_file(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, False)
+
+
 def scan_or_empty(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
     """A table or parquet path; if there is none, an empty frame of ``schema``: the first run is no error."""
     if "/" in source:
@@ -74,7 +79,7 @@ def read_ledger(spark: SparkSession, path: str, missing: str = "fill") -> DataFr
 def write_ledger(ledger: DataFrame, path: str) -> int:
     """Writes the next snapshot, partitioned by execution_ts, and returns its number; readers keep the snapshot they have."""
     number = max(versions(ledger.sparkSession, path), default=-1) + 1
-    ledger.repartition("execution_ts").write.mode("overwrite").partitionBy("execution_ts").parquet(f"{path}/v={number}")
+    ledger.hint("rebalance", "execution_ts").write.mode("overwrite").partitionBy("execution_ts").parquet(f"{path}/v={number}")
     return number
 
 
@@ -86,16 +91,21 @@ def upsert_days(spark: SparkSession, path: str, incoming: DataFrame, upsert: Cal
     """
     days = incoming.select(F.col("execution_ts").alias("__day")).distinct()
     if path_exists(spark, path):
-        held = spark.read.schema(LEDGER).parquet(path).select(*LEDGER.names)
+        held = read_days(spark, path)
         held = held.join(days, F.col("execution_ts") == F.col("__day"), "left_semi").unionByName(held.filter(F.col("execution_ts").isNull()))
     else:
         held = spark.createDataFrame([], LEDGER)
     scratch = Scratch(spark, "days")
     merged = scratch.table(upsert(held, incoming))
-    merged.repartition("execution_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("execution_ts").parquet(path)
+    merged.hint("rebalance", "execution_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("execution_ts").parquet(path)
     scratch.drop(merged)
 
 
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept by day at ``path``, or an empty one."""
+    return spark.read.schema(LEDGER).parquet(path).select(*LEDGER.names) if path_exists(spark, path) else spark.createDataFrame([], LEDGER)
+
+
 def append_transitions(transitions: DataFrame, path: str) -> None:
     """Adds transitions to an append-only log: no read, no shuffle."""
     as_ledger(transitions).write.mode("append").parquet(path)

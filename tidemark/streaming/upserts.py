@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.ledger import upsert_status
-from tidemark.sources.ledger_store import read_ledger, write_ledger
+from tidemark.sources.ledger_store import upsert_days
 
 
 def stream_upsert_status(spark: SparkSession, transitions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Folds a stream of transitions into snapshots of the ledger at ``path``.
+    """Folds a stream of transitions into the ledger kept by day at ``path``.
 
-    Each micro-batch is one upsert and one new snapshot.  An upsert is idempotent, so a batch that is replayed after a failure changes nothing.
+    Each micro-batch is one upsert that reads and replaces only the days it has transitions of.  An upsert is idempotent, so a batch that is replayed after a failure changes nothing.
     """
 
     def fold(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            write_ledger(upsert_status(read_ledger(batch.sparkSession, path), batch), path)
+            upsert_days(batch.sparkSession, path, batch, upsert_status)
 
     return transitions.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

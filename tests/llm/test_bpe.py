@@ -52,6 +52,24 @@ def test_lower_rank_after_a_merge():
     check()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcdetnis ", min_size=1, max_size=24), min_size=1, max_size=20), st.integers(0, 3))
+def test_waves_replay_as_the_index(words, seed):
+    """Waves and the inverted index give the same tokens, for a vocabulary of any ranks."""
+    import random
+
+    r = random.Random(seed)
+    pieces = sorted({w[i : i + n] for w in words for i in range(len(w)) for n in (2, 3, 4) if len(w[i : i + n]) == n})
+    r.shuffle(pieces)
+    ranks = {bytes([b]): 10_000 + b for b in range(256)} | {p.encode(): k for k, p in enumerate(pieces)}
+    mine = bpe.Encoder(ranks, r"\S+|\s+")
+    raw = [w.encode() for w in words]
+    flat, count = mine.tokens(raw)
+    ends = count.cumsum()
+    expected = [[ranks[w]] if w in ranks else bpe.replay([w], ranks, mine.spelled, {})[0] for w in raw]
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, count, strict=True)] == expected
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     mine = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
@@ -68,6 +86,11 @@ def test_round_trip_of_odd_rows(spark, odd, library):
     assert bpe.decode(bpe.encode(odd.limit(0), PATH, P.PATTERN), PATH).count() == 0
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [bytes(r.decoded) for r in bpe.decode(nulls, PATH).collect()] == [b"", b""]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    told = bpe.digests(odd, PATH, P.PATTERN).collect()
+    expected = [(r.doc_id, len(r.ids), sha(" ".join(map(str, r.ids)).encode()), sha(bytes(r.decoded))) for r in coded]
+    assert sorted(map(tuple, told), key=str) == sorted(expected, key=str)
+    assert bpe.digests(odd.limit(0), PATH, P.PATTERN).count() == 0
 
 
 def test_query(spark, small, library):

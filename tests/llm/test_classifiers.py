@@ -45,6 +45,48 @@ def test_forward_backward_is_exact():
             at += 1
 
 
+def test_network_against_plain_loops():
+    """The forward pass, word by word and filter by filter."""
+    r = np.random.default_rng(4)
+    texts = ["der Hund und die Katze", "", "one two", "abcdefgh abcdefxy Abcd the of and", "x"]
+    names = np.unique(np.concatenate([k for k in X.hashed(texts)[0]]))
+    names = np.concatenate([np.zeros(1, np.uint64), r.permutation(names)[: len(names) * 2 // 3]])
+    many = len(X.WIDTHS) * X.FILTERS
+    normal = lambda *shape: r.standard_normal(shape).astype(np.float32)
+    model = X.Model(*X.table(names), normal(len(names), X.DIM), [normal(w, X.DIM, X.FILTERS) for w in X.WIDTHS], normal(many), normal(many), 0.3, normal(4))
+    model.embedding[0] = 0
+    row = {int(h): i for i, h in enumerate(names) if i}
+    expected = []
+    for text in texts:
+        kinds, _ = X.hashed([text])
+        words = [sum((model.embedding[row[int(k[i])]] for k in kinds if int(k[i]) in row), np.zeros(X.DIM)) for i in range(len(kinds[0]))]
+        z = model.out_bias
+        for k, width in enumerate(X.WIDTHS):
+            for f in range(X.FILTERS):
+                at = [sum(words[i + j] @ model.filters[k][j, :, f] for j in range(width) if i + j < len(words)) + model.bias[k * X.FILTERS + f] for i in range(len(words))]
+                z += max([0, *at]) * model.out[k * X.FILTERS + f]
+        counts = [sum(w in of.split() for w in text.lower().split()) for of in X.FUNCTION_WORDS.values()]
+        z += np.log(X.CUT / (1 - X.CUT)) - model.cuts[int(np.argmax(counts))]
+        expected.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(model.scores(texts), expected, atol=1e-4)
+
+
+def test_words_that_share_a_slot():
+    names = np.array([0, 5, (7 << 42) + 1, (7 << 42) + 2, (7 << 42) + 9, (9 << 42)], np.uint64)
+    model = X.Model(*X.table(names), *[None] * 5, None)
+    assert model.rows(np.append(names[1:], np.uint64((7 << 42) + 3))).tolist() == [1, 2, 3, 4, 5, 0]
+
+
+def test_sample_is_bounded_and_unambiguous(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "x" * 90) for i in range(40)] + [(1, "a second text"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (3, 1), (3, 1), (None, 1)], "doc_id long, toxic int")
+    texts, y = X.sample(docs, labels, "toxic", {1: 100, 0: 100}, 2, 9)
+    assert len(texts) == 39 and "a second text" in texts and y.sum() == 20
+    assert not any(t.startswith("text 2 ") for t in texts)
+    few, y = X.sample(docs, labels, "toxic", {1: 7, 0: 100}, 2, 9, chars=1000)
+    assert y.sum() == 7 and all(len(t) >= 13 for t in few) and sum(len(t) for t, v in zip(few, y, strict=True) if not v) <= 1000
+
+
 def test_scores_do_not_depend_on_blocks():
     texts = ["", "one", "The quick brown fox.\nJumps over!!", "\n\n", "x " * 5000, "a b c\n" * 50]
     labels = np.array([0, 1, 1, 0, 0, 1])

@@ -31,3 +31,10 @@ def test_hot_text_in_many_runs(spark):
         assert set(got.loc[group, "__keep"]) == {max(group)} and set(got.loc[group, "__size"]) == {len(group)}
         assert got.loc[group, "__kept"].sum() == 1
         assert bytes(got.loc[group[0], "__sha"]) == hashlib.sha256(got.loc[group[0], "text"].translate(LOW).encode()).digest()
+
+
+def test_runs_are_sorted_and_merged_in_every_round(spark, small):
+    prints = X.fingerprint(spark.read.parquet(f"{small}/documents.parquet"), X.ascii_lower(X.F.col("text")), "doc_id", 3)
+    plan = X.merge_runs(prints, "doc_id", 3)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    merges = [line for line in plan.splitlines() if " Sort [" in line and "__run" in line and "__h64" in line and "__sha" in line]
+    assert len(merges) >= 3

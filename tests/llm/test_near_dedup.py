@@ -208,6 +208,28 @@ def test_odd_vectors(spark):
     assert E.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_doubles(spark):
+    """Vectors of doubles whose components are beyond single precision's range, or differ below its precision."""
+    rows = [(1, [1e200, 2e200], 1), (2, [1e200, 2e200], 1), (3, [1e-200, 2e-200], 1), (4, [1.0, 2.0], 1), (5, [-1.0, 2.0], 1), (6, [1.0, float("inf")], 1)]
+    # Two vectors just above and just below the threshold from (1, 0), by less than single precision tells.
+    rows += [(7, [1.0, 0.0], 2), (8, [0.93, (1 - 0.93**2) ** 0.5 * (1 - 1e-9)], 2), (9, [0.93, -((1 - 0.93**2) ** 0.5) * (1 + 1e-9)], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+def test_counts_over_several_blocks(spark, monkeypatch):
+    """A component of many blocks: links within and across blocks, every copy counted."""
+    monkeypatch.setattr(E, "COUNTED", 16)
+    monkeypatch.setattr(E, "ROWS", 5)
+    r = np.random.default_rng(1)
+    x = (np.array([1.0, 0, 0, 0]) + r.standard_normal((150, 4)) * 0.2).round(3)
+    copies = r.integers(1, 4, 150)
+    members = spark.createDataFrame([(i, 0, int(n), v.tolist()) for i, (n, v) in enumerate(zip(copies, x, strict=True))], "unit long, component long, copies long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) | np.eye(150, dtype=bool)
+    assert {a.unit: a.links for a in E.counted(members, 0.93).collect()} == dict(enumerate((linked @ copies - 1).tolist()))
+
+
 def test_dense_clouds(spark):
     """Links between clouds whose vectors all have more than a full list of nearer neighbours."""
     r = np.random.default_rng(12)

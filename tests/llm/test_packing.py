@@ -46,7 +46,6 @@ def test_sweep_is_best_fit(sizes):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -76,6 +75,14 @@ def test_odd_rows(spark, odd, library):
     assert packing.pack(odd.limit(0), PATH).count() == 0
 
 
+def test_added_tokens(library):
+    """A text that spells an added token gets its id, as the library's plain call gives it."""
+    ids = packing.token_function(PATH)
+    assert len(ids("a <|endoftext|> b")) == 4
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "<|endoftext|>\u4e2d", "plain"):
+        assert ids(text).tolist() == library(text)[:-1].tolist()
+
+
 def test_query(spark, small, library):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     pieces = packing.op8_best_fit_packing(spark, small).collect()

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,16 +285,17 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with about ``most`` characters of text each (a longer text stands alone), nulls as empty."""
-    texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+    """Slices of a batch with about ``most`` characters of text each (a longer text stands alone), nulls as empty; only a slice's texts are Python strings at once."""
+    texts = batch.column(batch.schema.get_field_index(column))
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > most:
-            yield batch.slice(first, i - first), texts[first:i]
+    for i, n in enumerate(pc.utf8_length(texts).fill_null(0).to_pylist()):
+        if i > first and size + n > most:
+            part = batch.slice(first, i - first)
+            yield part, [t or "" for t in texts.slice(first, i - first).to_pylist()]
             first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield batch.slice(first), texts[first:]
+        size += n
+    if first < batch.num_rows:
+        yield batch.slice(first), [t or "" for t in texts.slice(first).to_pylist()]
 
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

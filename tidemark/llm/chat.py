@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.scratch import Scratch
+from tidemark.scratch import Scratch, parallelism
 
 #: States of the automaton: before the first turn, and after a turn of each role.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -215,7 +215,8 @@ def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = scratch.table(ordered.mapInPandas(lambda frames: blocked(frames, block), schema), "blocks")
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv")
     ends = blocks.filter(F.col("cost").isNotNull()).select(conv, "block", "cost", "turns")
-    states = ends.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(settled, "block long, entry int, leave int, first long, last boolean")
+    # A row here stands for a whole block, so the number of tasks is set and not left to the bytes of these rows.
+    states = ends.repartition(parallelism(spark), "conv").sortWithinPartitions("conv", "block").mapInPandas(settled, "block long, entry int, leave int, first long, last boolean")
     joined = blocks.drop("cost", "turns").join(states, "block")
     # A block is read in several splits, and a skewed join is split too.  Dealt by another expression than the join's key, so that the exchange is not left out.
     return joined.repartition(F.xxhash64("block")).sortWithinPartitions("block", "pos").mapInPandas(repaired, OUT)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.components import components
 from tidemark.scratch import Scratch
@@ -18,9 +19,13 @@ THRESHOLD = 0.93
 #: Neighbours kept of each vector; farther ones than FLOOR are of no use in finding links and are not kept.
 NEIGHBOURS, FLOOR = 10, 0.7
 #: Random orders that begin the graph, refinements of it, and what an audit asks for.
-ORDERS, REFINEMENTS, RECALL, AUDITED = 8, 2, 0.99, 1000
+ORDERS, RECALL, AUDITED = 8, 0.99, 1000
+#: A graph is refined until a round changes less than this share of it, or so many times.
+SETTLED, REFINEMENTS = 0.01, 8
 #: Vectors compared at once: half a window of an order, members of a local join, a block of a component.
 HALF, JOINED, BLOCK = 128, 64, 512
+#: Vectors of a block where a component is counted: each vector is sent once for every block of its component.
+COUNTED, ROWS = 2048, 256
 BITS = 40
 EDGE = "v long, u long, cosine double"
 PIECE = "grp string, dim int, block long, first long, last long, saturated boolean, components array<long>, vectors binary, centre array<double>, radius double"
@@ -52,6 +57,11 @@ def best_neighbours(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> pd.
     return pd.DataFrame({"v": np.repeat(ids, k)[good.ravel()], "u": ids[near][good], "cosine": value[good]})
 
 
+def embedding_type(df: DataFrame) -> str:
+    """Vectors of single precision stay so on the way; all others are doubles.  Cosines are of double precision in any case."""
+    return "array<float>" if df.schema["embedding"].dataType == T.ArrayType(T.FloatType(), df.schema["embedding"].dataType.containsNull) else "array<double>"
+
+
 def ordered_neighbours(units: DataFrame, orders: int, seed: int, k: int, floor: float) -> DataFrame:
     """Edges between vectors that stand close in one of ``orders`` random orders of their group.
 
@@ -83,7 +93,7 @@ def ordered_neighbours(units: DataFrame, orders: int, seed: int, k: int, floor:
                     yield best_neighbours(ids[first : first + 2 * HALF], x[first : first + 2 * HALF], k, floor)
                 kept = part.iloc[-HALF:]
 
-    coded = units.select("grp", "dim", "unit", "embedding").mapInPandas(code, "grp string, dim int, unit long, embedding array<float>, turn int, code long")
+    coded = units.select("grp", "dim", "unit", "embedding").mapInPandas(code, f"grp string, dim int, unit long, embedding {embedding_type(units)}, turn int, code long")
     return coded.repartitionByRange("turn", "grp", "dim", "code", "unit").sortWithinPartitions("turn", "grp", "dim", "code", "unit").mapInPandas(near, EDGE)
 
 
@@ -113,7 +123,7 @@ def counted(members: DataFrame, threshold: float) -> DataFrame:
 
     Components are compared in blocks of bounded size whose counts alone leave the task.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / COUNTED).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
     dealt = (
         members.join(sizes, "component")
@@ -124,11 +134,19 @@ def counted(members: DataFrame, threshold: float) -> DataFrame:
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         ids, copies, x = frame["unit"].to_numpy(), frame["copies"].to_numpy(), unit_rows(frame["embedding"])
-        if frame["i"].iloc[0] == frame["j"].iloc[0]:
-            return pd.DataFrame({"unit": ids, "links": ((x @ x.T >= threshold) | np.eye(len(x), dtype=bool)) @ copies - 1})
-        left = (frame["block"] == frame["i"]).to_numpy()
-        linked = x[left] @ x[~left].T >= threshold
-        return pd.DataFrame({"unit": np.concatenate([ids[left], ids[~left]]), "links": np.concatenate([linked @ copies[~left], linked.T @ copies[left]])})
+        one = frame["i"].iloc[0] == frame["j"].iloc[0]
+        left = np.ones(len(x), bool) if one else (frame["block"] == frame["i"]).to_numpy()
+        right = left if one else ~left
+        links, back = np.zeros(len(x), np.int64), np.zeros(right.sum(), np.int64)
+        for at in np.split(np.flatnonzero(left), range(ROWS, int(left.sum()), ROWS)):
+            linked = x[at] @ x[right].T >= threshold
+            if one:
+                linked[np.arange(len(at)), at] = True
+            links[at] = linked @ copies[right] - one
+            back += linked.T @ copies[at]
+        if not one:
+            links[right] = back
+        return pd.DataFrame({"unit": ids, "links": links})
 
     return dealt.groupBy("component", "i", "j").applyInPandas(count, "unit long, links long").groupBy("unit").agg(F.sum("links").alias("links"))
 
@@ -252,7 +270,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     """Each row's ``vec_id`` with ``n_links``, ``component_id``, ``kept`` and ``audited_recall``.
 
     Vectors are compared within equal labels (and lengths).  Equal vectors are one unit.  Random orders begin a graph of neighbours, joins of
-    neighbours of neighbours refine it, and links at or over ``threshold`` make components.  A vector whose list is full of links may have more:
+    neighbours of neighbours refine it until it hardly changes, and links at or over ``threshold`` make components.  A vector whose list is full of links may have more:
     these vectors are compared with all of their label that their balls do not rule out.  Components are then compared in full.  If an
     audit finds less than ``recall`` of the links of sampled vectors, more orders are added, up to ``max_passes`` times; after these, all vectors
     are compared in this way.
@@ -263,7 +281,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("grp"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(embedding_type(vectors)).alias("embedding"), F.col("label").cast("string").alias("grp"))
     rows = rows.withColumn("key", F.coalesce("vec_id", F.xxhash64("embedding", "grp").bitwiseOR(F.lit(-(2**63)))))
     good = rows.filter(usable(F.col("embedding"), F.col("grp")))
     units = good.groupBy("grp", "embedding").agg(F.min("key").alias("unit"), F.count(F.lit(1)).alias("copies"))
@@ -279,7 +297,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         edges = ordered_neighbours(units, ORDERS, turn, NEIGHBOURS, FLOOR)
         graph = scratch.table(nearest(edges if graph is None else edges.unionByName(graph), NEIGHBOURS), "graph")
         for _ in range(REFINEMENTS):
-            graph = scratch.table(nearest(graph.unionByName(refined(graph, units, NEIGHBOURS, FLOOR)), NEIGHBOURS), "graph")
+            before, graph = graph, scratch.table(nearest(graph.unionByName(refined(graph, units, NEIGHBOURS, FLOOR)), NEIGHBOURS), "graph")
+            if graph.join(before, ["v", "u"], "left_anti").count() <= SETTLED * graph.count():
+                break
         links = graph.filter(F.col("cosine") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
         parts = scratch.table(components(scratch, links), "parts")
         full = scratch.table(links.groupBy("a").count().filter(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("unit")), "full")

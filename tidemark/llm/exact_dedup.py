@@ -49,22 +49,18 @@ def fingerprint(df: DataFrame, payload: Column, id_col: str, rounds: int) -> Dat
 def merge_runs(prints: DataFrame, id_col: str, rounds: int, keep: str = "largest") -> DataFrame:
     """One row per (run, text) with what the whole table holds of that text: ``keep_id`` and ``group_size``.
 
-    Round k brings ``FAN`` runs together under ``run // FAN``: their entries are exchanged by
-    (parent run, digest), sorted, and merged to one entry a text.  Entries meet by a 64-bit digest
-    and are told apart by SHA-256 and length at every level, so no two texts are taken for one.  A run holds a text at
-    most once after the first round, so a text with a third of all rows never makes a large group.
+    Round k brings ``FAN`` runs together under ``run // FAN``: their entries are exchanged by (parent run, digest) and sorted, which puts the entries of one text side by side,
+    and of these the best stays with the sum of their sizes.  Entries meet by a 64-bit digest and are told apart by SHA-256 and length at every level, so no two texts are taken
+    for one.  A run holds a text at most once after the leaves are made, so of a text with a third of all rows no more than ``FAN`` entries ever meet.
     """
-    best = F.max if keep == "largest" else F.min
+    best, first = (F.max, F.desc_nulls_last) if keep == "largest" else (F.min, F.asc_nulls_last)
     leaves = prints.groupBy(*KEYS).agg(best(id_col).alias("__best"), F.count(F.lit(1)).alias("__n"))
     level = leaves
+    side_by_side = Window.partitionBy(*KEYS)
     for _ in range(rounds):
-        level = (
-            level.withColumn("__run", F.floor(F.col("__run") / FAN))
-            .repartition("__run", "__h64")
-            .sortWithinPartitions("__run", "__h64", "__sha")
-            .groupBy(*KEYS)
-            .agg(best("__best").alias("__best"), F.sum("__n").alias("__n"))
-        )
+        merged = level.withColumn("__run", F.floor(F.col("__run") / FAN)).repartition("__run", "__h64")
+        merged = merged.withColumns({"__n": F.sum("__n").over(side_by_side), "__nth": F.row_number().over(side_by_side.orderBy(first("__best")))})
+        level = merged.filter("__nth = 1").drop("__nth")
     root = level.select("__h64", "__sha", "__len", F.col("__best").alias("__keep"), F.col("__n").alias("__size"))
     return leaves.select(*KEYS).join(root, ["__h64", "__sha", "__len"])
 

@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scratch import Scratch
+
 #: A line is a licence notice from this cosine on.
 THRESHOLD = 0.6
 #: Notices as their licences ask for them or as files commonly carry them, by SPDX identifier.
@@ -227,6 +229,8 @@ def inherit(scanned: DataFrame, licence_file: Column) -> DataFrame:
     A file without a licence of its own takes that of the nearest directory above it that holds a licence file.  Of several licence files in a
     directory the best score decides, then the name.  Directories are resolved once each: their ancestors are joined to the licensed
     ones, and files then meet their own directory, so a root with very many files below it is joined as one row.  A null path inherits nothing.
+    Rows that repeat a path are files of their own; an empty table gives an empty table; other columns stay, but for three with the new names, which are replaced.
+    ``scanned`` is used three times, so it should be a written table.
     """
     scanned = scanned.drop("licence", "inherited_from", "kind")
     parts = F.split("path", "/")
@@ -257,4 +261,6 @@ def op5_licence_scan(spark, sf_dir: str) -> DataFrame:
     folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), folder(4096), folder(64), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = docs.select("doc_id", path.alias("path"), "text")
-    return inherit(scan(files).drop("text"), F.col("line") == 0)
+    # Written, as the three joins of the inheritance would scan every text three times.
+    scanned = Scratch(spark, "licences").table(scan(files).drop("text"))
+    return inherit(scanned, F.col("line") == 0)

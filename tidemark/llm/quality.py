@@ -172,10 +172,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float =
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier of ``labels.quality``, from documents outside the held-out fold; see :func:`tidemark.llm.toxicity.sample` for nulls, repeats and bounds.
+
+    Without labels every line is as likely good as bad.
+    """
     return train(*sample(docs, labels, "quality", MOST_OF_CLASS, 5, 0))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """A score for every document; see :func:`tidemark.llm.toxicity.score` and :func:`learn` for nulls, empty and repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(

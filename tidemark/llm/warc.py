@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import mark_copies
-from tidemark.scratch import Scratch
+from tidemark.scratch import Scratch, parallelism
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a split, and of one read.
 SPLIT = 8 << 20
 CHUNK = 1 << 18
+#: Reading tasks are as many as splits, up to so many for each shuffle partition.
+TASKS = 32
 WRITTEN = "path string, bytes long, records long"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -171,10 +173,14 @@ def parse(raw: bytes) -> tuple:
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT, with_payload: bool = True) -> DataFrame:
     """The records of ``archives`` (path, bytes), read in splits of ``split_bytes``; an archive may be of any size.
 
-    Payload digests of responses are checked; a record that is cut off or differs from its digest is an error.
+    Payload digests of responses are checked; a record that is cut off or differs from its digest is an error.  A null page_id or refers_to is read as null, a null html comes back as
+    the empty payload it was written as, and a url as it was written; an archive that is listed twice is read twice; an empty list gives no records; other columns are not used.
+    A row here stands for a whole split, so the number of tasks follows the splits and not the bytes of these rows.
     """
-    last = F.greatest(F.ceil(F.col("bytes") / split_bytes) - 1, F.lit(0))
-    splits = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("split")).repartition("path", "split")
+    last = F.greatest(F.ceil(F.col("bytes") / split_bytes) - 1, F.lit(0)).cast("long")
+    total = archives.agg(F.sum(last + 1)).first()[0] or 1
+    tasks = min(total, TASKS * parallelism(archives.sparkSession))
+    splits = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("split")).repartition(tasks, "path", "split")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in READ.split(", ")]

@@ -594,8 +594,8 @@ def cast_ts(spark, sf):
 @query("SELECT event_id, ts AS zoned, date_trunc('day', ts) AS dated FROM events")
 def naive_timestamps(spark, sf):
     """Zoned timestamps and dates as zone-less ones."""
-    zoned = F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-    return X.read(spark, sf, "events").select("event_id", F.when(F.current_timezone() == "UTC", D.to_naive_utc(zoned, "timestamp")).otherwise(F.col("ts").cast("timestamp_ntz")).alias("zoned"), D.to_naive_utc(F.col("ts").cast("date"), "date").alias("dated"))
+    zoned = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).cast("timestamp")
+    return X.read(spark, sf, "events").select("event_id", D.to_naive_utc(zoned, "timestamp").alias("zoned"), D.to_naive_utc(F.col("ts").cast("date"), "date").alias("dated"))
 
 
 @query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")

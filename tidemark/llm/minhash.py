@@ -20,8 +20,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Texts compared with one pivot in one group.
 TOGETHER = 128
-#: How many times more pivots a bucket has in each round.
-GROWTH = 8
+#: Pivots of a bucket in the rounds before it compares all that are outside its largest component.
+PIVOTS = (8, 64)
 # Poisson(1): a cell's uniform hash is compared with these to get its number of darts.
 _CDF = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(17)])
 
@@ -113,7 +113,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part, texts in blocks(batch, "text", 1 << 19):
+            for part, texts in blocks(batch, "text", 1 << 18):
                 found = shingles(texts, SHINGLE)
                 counted = [np.unique(x, return_counts=True) for x in found]
                 sets = [multiset(x) for x in found]
@@ -183,10 +183,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Each row's ``doc_id`` and ``key`` with ``hash``, ``class_id``, ``class_size`` and ``kept``.
 
     Rows with one weighted shingle set are a unit.  Units that share a band value meet in a bucket.  A bucket's pivot is the member that meets most others over all
-    its buckets.  At first every unit is compared with one pivot, that of most of its buckets, which joins large groups at the cost of one comparison a unit.  In each
-    round after that, every bucket whose members are in several components compares all its members with its pivots, as far as they are in other components.
-    Pivots leave, having met everyone; rounds take eight times as many pivots as the last until no bucket is left.  A pair whose bitmaps differ in more
-    bits than two sets as alike as the threshold can differ in elements leaves the join no more: an exact bound, so what is compared by text is nearly all links.
+    its buckets.  At first every unit is compared with one pivot, that of most of its buckets, which joins large groups at the cost of one comparison a unit.  Then
+    buckets whose members are in several components compare all members with ``PIVOTS`` pivots each, as far as they are in other components; and at last with all members outside the
+    bucket's largest component, after which no pair of a bucket is left that is neither compared nor in one component.  A pair whose bitmaps differ in more
+    bits than two sets as alike as the threshold can differ in elements does not leave the join: an exact bound, so what is compared by text is nearly all links.
 
     Links are checked exactly, classes are their connected components and ``class_id`` is the smallest key in one.  A null text is empty; texts without words
     are one unit; a text of fewer than five words has one shingle, the text.  A null doc_id is named by its text.  Rows that repeat a doc_id with another text are
@@ -209,36 +209,38 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = scratch.table(texts.select("unit", "text"), "texts")
     wide = (1 - threshold) / (1 + threshold) * (1 + 1e-9)
     tested = classes = None
-    opening, pivots_each = True, 1
-    while True:
+    for turn, pivots_each in enumerate([1, *PIVOTS, None]):
         grouped = members.withColumn("component", F.col("unit")) if classes is None else members.join(classes, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
         several = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b")).filter("__a <> __b").drop("__a", "__b")
         grouped = scratch.table(grouped.join(several, ["band", "value"]), "open")
         if grouped.isEmpty():
             break
-        told = ["size", "component"] + ([] if opening else ["parity"])
-        pivots = grouped.groupBy("band", "value", F.pmod(F.xxhash64("unit"), F.lit(pivots_each)).alias("salt")).agg(F.max(F.struct("meets", (-F.col("unit")).alias("back"), *told)).alias("p"))
-        pivots = scratch.table(pivots.select(F.col("band").alias("p_band"), F.col("value").alias("p_value"), (-F.col("p.back")).alias("pivot"), F.col("p.meets").alias("p_meets"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in told]), "pivots")
+        told = ["size", "component"] + ["parity"] * (turn > 0)
+        if pivots_each:
+            best = F.max(F.struct("meets", (-F.col("unit")).alias("back"), *told)).alias("p")
+            pivots = grouped.groupBy("band", "value", F.pmod(F.xxhash64("unit"), F.lit(pivots_each)).alias("salt")).agg(best).select("band", "value", (-F.col("p.back")).alias("unit"), "p.*")
+        else:
+            counts = grouped.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
+            largest = counts.groupBy("band", "value").agg(F.max(F.struct("n", "component")).alias("l")).select("band", "value", F.col("l.component").alias("most"))
+            pivots = grouped.join(largest, ["band", "value"]).filter("component <> most")
+        pivots = pivots.select(F.col("band").alias("p_band"), F.col("value").alias("p_value"), F.col("unit").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in ["meets", *told]])
+        pivots = scratch.table(pivots, "pivots")
         # Sets as alike as the threshold have sizes as alike.
         reachable = (F.col("component") != F.col("p_component")) & (F.least("size", "p_size") >= F.lit(threshold * (1 - 1e-9)) * F.greatest("size", "p_size"))
-        if not opening:
+        if turn:
             reachable &= apart(F.col("parity"), F.col("p_parity")) <= F.lit(wide) * (F.col("size") + F.col("p_size"))
         met = grouped.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("value") == F.col("p_value")) & reachable)
-        if opening:
+        members = grouped.drop("component")
+        if turn:
+            pairs = met.select("pivot", "unit")
+        else:
             shared = met.groupBy("unit", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.max("p_meets").alias("p_meets"))
             pairs = shared.groupBy("unit").agg(F.max(F.struct("bands", "p_meets", "pivot")).alias("b")).select(F.col("b.pivot").alias("pivot"), "unit")
-        else:
-            pairs = met.select("pivot", "unit")
+            members = members.join(units.select("unit", "parity"), "unit")
         pairs = pairs.withColumns({"low": F.least("pivot", "unit"), "high": F.greatest("pivot", "unit")}).dropDuplicates(["low", "high"])
         if tested is not None:
             pairs = pairs.join(tested, ["low", "high"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
-        if opening:
-            members = grouped.drop("component").join(units.select("unit", "parity"), "unit")
-        else:
-            members = grouped.drop("component").join(pivots.select(F.col("p_band").alias("band"), F.col("p_value").alias("value"), F.col("pivot").alias("unit")), ["band", "value", "unit"], "left_anti")
-            pivots_each *= GROWTH
-        opening = False
         if pairs.isEmpty():
             continue
         found = scratch.table(checked(pairs.select("pivot", "unit"), texts, threshold), "links").select("a", "b")

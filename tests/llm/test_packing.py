@@ -4,11 +4,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing
+from tidemark.scratch import Scratch
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -25,22 +24,26 @@ def best_fit(sizes, capacity):
     return sorted(gaps)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=80))
-def test_sweep_is_best_fit(sizes):
+@pytest.mark.parametrize("seed", range(4))
+def test_sweeps_are_nearly_best_fit(spark, monkeypatch, seed):
+    """Every piece has one place, places do not overlap and leave no gap between them, and hardly more sequences are used than one by one."""
+    monkeypatch.setattr(packing, "FINE", 4)
+    r = np.random.default_rng(seed)
+    sizes = [r.integers(1, 41, 400), r.integers(6, 18, 400), np.minimum(1 + r.exponential(6, 600).astype(int), 40), np.array([], int)][seed].tolist()
+    counts = spark.createDataFrame(list(Counter(sizes).items()), "length int, n long")
     used, spans, ranks = Counter(), {}, {}
-    for size, rank, n, first, offset in packing.sweep(Counter(sizes), 40):
-        for k in range(n):
-            assert rank + k not in ranks.setdefault(size, set())
-            ranks[size].add(rank + k)
-            used[first + k] += size
-            spans.setdefault(first + k, []).append((offset, offset + size))
+    for x in packing.placed(Scratch(spark, "test"), counts, 40).collect():
+        for k in range(x.n):
+            assert x.first + k not in ranks.setdefault(x.size, set())
+            ranks[x.size].add(x.first + k)
+            used[x.seq + k] += x.size
+            spans.setdefault(x.seq + k, []).append((x.off, x.off + x.size))
     assert {s: len(r) for s, r in ranks.items()} == Counter(sizes)
     assert all(sorted(r) == list(range(len(r))) for r in ranks.values())
     for s in spans.values():
         s.sort()
         assert s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:], strict=False)) and s[-1][1] <= 40
-    assert sorted(40 - u for u in used.values()) == best_fit(sizes, 40)
+    assert len(used) <= len(best_fit(sizes, 40)) * 1.02 + 1
 
 
 @pytest.fixture(scope="module")
@@ -87,4 +90,4 @@ def test_query(spark, small, library):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     pieces = packing.op8_best_fit_packing(spark, small).collect()
     check(pieces, docs, library, 2048)
-    assert len({r.sequence_id for r in pieces}) == len(best_fit([r.length for r in pieces], 2048))
+    assert len({r.sequence_id for r in pieces}) <= len(best_fit([r.length for r in pieces], 2048)) * 1.01

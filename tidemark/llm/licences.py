@@ -156,17 +156,19 @@ def block_matches(text: Column, present: Column, idf: dict[str, float], threshol
 
 
 def telling(units: dict[str, dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
-    """Terms of which a line needs one at least to reach ``threshold``.
+    """Terms of which a line, window or file needs one at least to reach ``threshold`` with any template.
 
-    A line that shares only the other terms with a template has a cosine of at most the norm of these terms in the template, and that stays below.
+    From each template the commonest terms are left out as long as their norm in it stays below: with these terms alone a cosine is at most that norm.
     """
-    left_out: set[str] = set()
-    for t in sorted(idf, key=lambda t: (idf[t], t)):
-        trial = left_out | {t}
-        if any(math.sqrt(sum(v * v for u, v in unit.items() if u in trial)) >= threshold for unit in units.values()):
-            break
-        left_out = trial
-    return sorted(set(idf) - left_out)
+    needed: set[str] = set()
+    for unit in units.values():
+        left_out = 0.0
+        for t in sorted(unit, key=lambda t: (idf[t], t)):
+            if left_out + unit[t] ** 2 < threshold**2 - 1e-9:
+                left_out += unit[t] ** 2
+            else:
+                needed.add(t)
+    return sorted(needed)
 
 
 def best_match(line: Column, idf: dict[str, float], units: dict[str, dict[str, float]]) -> Column:
@@ -196,7 +198,9 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     idf = {t: wide[t] for t in sorted({t for text in templates.values() for t in terms(text)})}
     units = vectors(idf, templates)
     longer = telling(vectors(of_texts, {str(k): t for k, (_, t, _) in enumerate(texts())}), of_texts, threshold)
-    needed = F.array(*map(F.lit, telling(units, idf, threshold)))
+    words = lambda of: F.split(F.lit(" ".join(sorted(of))), " ")
+    told = telling(units, idf, threshold)
+    needed = words(told)
     files = files.drop("own_licence", "score", "line", "licences")
     text = F.coalesce("text", F.lit(""))
     split = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), tokens(line).alias("t")))
@@ -204,20 +208,20 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     scored = F.transform(marked, lambda x: F.struct(best_match(x["t"], idf, units).alias("m"), (-x["i"]).alias("back")))
     best = F.array_max(F.transform(scored, lambda x: F.struct(x["m"]["score"].alias("score"), x["back"].alias("back"), x["m"]["licence"].alias("licence"))))
     # Only files with such a term anywhere are taken apart.
-    hit = F.when(F.arrays_overlap(tokens(text), needed), best)
-    words = lambda of: F.split(F.lit(" ".join(sorted(of))), " ")
-    present = F.when(F.arrays_overlap(tokens(text), words(longer)), F.array_intersect(tokens(text), words(of_texts)))
+    hit = F.when(F.arrays_overlap("__marks", needed), best)
+    present = F.when(F.arrays_overlap("__marks", words(longer)), F.array_intersect(tokens(text), words(of_texts)))
     blocks = F.when(F.col("__present").isNotNull(), block_matches(text, F.col("__present"), of_texts, threshold))
     line = F.when(F.col("__line.score") >= threshold, F.col("__line"))
     ranked = F.reverse(F.array_sort(F.concat(F.array_compact(F.array("__line")), F.coalesce("__blocks", F.array().cast("array<struct<score:double,back:int,licence:string>>")))))
     passed = F.col("__hit").isNotNull()
     return (
-        files.withColumn("__line", hit)
+        files.withColumn("__marks", F.array_intersect(tokens(text), words({*told, *longer})))
+        .withColumn("__line", hit)
         .withColumn("__line", line)
         .withColumn("__present", present)
         .withColumn("__blocks", blocks)
         .withColumns({"__hit": F.coalesce("__line", F.array_max("__blocks")), "licences": F.array_distinct(F.transform(ranked, lambda x: x["licence"]))})
-        .drop("__line", "__present", "__blocks")
+        .drop("__marks", "__line", "__present", "__blocks")
         .withColumns({"own_licence": F.when(passed, F.col("__hit.licence")), "score": F.when(passed, F.col("__hit.score")), "line": F.when(passed, -F.col("__hit.back"))})
         .drop("__hit")
     )

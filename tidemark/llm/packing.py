@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,6 @@ from pyspark.sql import types as T
 from tidemark.llm.bpe import _OTHER, blocks
 from tidemark.scratch import Scratch, parallelism
 
-#: Lengths up to this are swept together.
-FINE = 64
 PIECE_FIELDS = [
     T.StructField("doc_id", T.LongType()),
     T.StructField("piece", T.IntegerType()),
@@ -80,98 +77,45 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, with_ids: bool = Fa
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-STATE = "kind string, size int, first long, n long, seq long, off int"
-
-
-def batches(capacity: int) -> list[tuple[int, int]]:
-    """Ranges of lengths (low excluded, high included), the longest first: each halves the last, and those up to FINE are one."""
-    highs = [capacity]
-    while highs[-1] > FINE:
-        highs.append(highs[-1] // 2)
-    return [(low, high) for high, low in pairwise([*highs, 0])]
-
-
-def _row(kind: str, *values: str) -> str:
-    fields = [f"CAST({v} AS {t.upper()}) AS {c}" for v, (c, t) in zip([*values, *["NULL"] * (5 - len(values))], [x.split() for x in STATE.split(", ")[1:]], strict=True)]
-    return f"struct('{kind}' AS kind, {', '.join(fields)})"
-
-
-_DOWN, _UP, _ALONG = "ORDER BY size DESC, gap DESC", "ORDER BY size, gap", "ORDER BY pos, turn"
-_UNTIL, _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-SWEEP = f"""
-WITH gaps AS (SELECT size, first, n, coalesce(sum(n) OVER (ORDER BY size, first {_BEFORE}), 0) AS at FROM {{state}} WHERE kind = 'gap'),
-both AS (SELECT /*+ COALESCE(1) */ * FROM (
-  SELECT size, 1 AS gap, sum(n) AS units, NULL AS first, NULL AS n FROM {{state}} WHERE kind = 'gap' GROUP BY size
-  UNION ALL SELECT size, 0, NULL, first, n FROM {{state}} WHERE kind = 'todo' AND size > {{low}} AND size <= {{high}})),
-fitted AS (SELECT *, last(CASE WHEN gap = 1 THEN size END, true) OVER ({_DOWN} {_UNTIL}) DIV size AS each FROM both),
-asking AS (SELECT *, CASE WHEN gap = 0 AND each > 0 THEN (n + each - 1) DIV each ELSE 0 END AS asks FROM fitted),
-balanced AS (SELECT *, sum(coalesce(units, 0) - asks) OVER ({_DOWN} {_UNTIL}) AS balance FROM asking),
-lacked AS (SELECT *, least(0, min(balance) OVER ({_DOWN} {_UNTIL})) AS lacking FROM balanced),
-taking AS (SELECT *, asks - coalesce(lag(lacking) OVER ({_DOWN}), 0) + lacking AS takes FROM lacked),
-ranked AS (SELECT *, coalesce(sum(units) OVER ({_UP} {_BEFORE}), 0) AS smaller, coalesce(sum(takes) OVER ({_UP} {_BEFORE}), 0) AS earlier FROM taking),
-begun AS (SELECT *, earlier + max(CASE WHEN takes > 0 THEN smaller - earlier END) OVER ({_UP} {_UNTIL}) AS start FROM ranked),
-points AS (SELECT /*+ COALESCE(1) */ * FROM (
-  SELECT at AS pos, 2 AS turn, struct(size, first, n, at) AS run, NULL AS taker, NULL AS own FROM gaps
-  UNION ALL SELECT p.pos, p.turn, NULL, p.taker, p.own FROM begun LATERAL VIEW inline(array(
-    struct(CASE WHEN takes > 0 THEN start ELSE 0 END AS pos, 1 AS turn, CASE WHEN takes > 0 THEN struct(true AS on, size, first, n, each, start) END AS taker, struct(size, first, n, takes * coalesce(each, 0) AS done) AS own),
-    struct(CASE WHEN takes > 0 THEN start + takes END AS pos, 0 AS turn, struct(false AS on, size, first, n, each, start) AS taker, NULL AS own))) p
-  WHERE gap = 0 AND p.pos IS NOT NULL)),
-held AS (SELECT last(run, true) OVER ({_ALONG} {_UNTIL}) AS run, last(taker, true) OVER ({_ALONG} {_UNTIL}) AS taker, own, pos, lead(pos) OVER ({_ALONG}) AS next FROM points),
-stretch AS (SELECT run.size AS gap, run.first + pos - run.at AS seq, coalesce(next, run.at + run.n) - pos AS units, coalesce(taker.on, false) AS taken,
-  taker.size AS size, taker.each AS each, taker.n AS n, taker.first AS first, (pos - taker.start) * taker.each AS skipped, own FROM held),
-filled AS (SELECT *, CASE WHEN taken AND units > 0 THEN least(n - skipped, units * each) ELSE 0 END AS pieces FROM stretch),
-cut AS (SELECT *, coalesce(pieces DIV each, 0) AS full, coalesce(pieces % each, 0) AS rest FROM filled)
-SELECT r.* FROM cut LATERAL VIEW explode(flatten(array_compact(array(
-  CASE WHEN full > 0 AND gap > each * size THEN array({_row("gap", "gap - each * size", "seq", "full")}) END,
-  CASE WHEN rest > 0 AND gap > rest * size THEN array({_row("gap", "gap - rest * size", "seq + full", "1")}) END,
-  CASE WHEN NOT taken AND units > 0 THEN array({_row("gap", "gap", "seq", "units")}) END,
-  CASE WHEN full > 0 THEN transform(sequence(0, each - 1), k -> {_row("put", "size", "first + skipped + k * full", "full", "seq", "{capacity} - gap + k * size")}) END,
-  CASE WHEN rest > 0 THEN transform(sequence(0, rest - 1), k -> {_row("put", "size", "first + skipped + full * each + k", "1", "seq + full", "{capacity} - gap + k * size")}) END,
-  CASE WHEN own.n > own.done THEN array({_row("todo", "own.size", "own.first + own.done", "own.n - own.done")}) END)))) e AS r
-UNION ALL SELECT * FROM {{state}} WHERE kind = 'todo' AND (size <= {{low}} OR size > {{high}})"""
-
-
-def superstep(state: DataFrame, low: int, high: int, capacity: int) -> DataFrame:
-    """One sweep of the lengths in (low, high] over the gaps.
-
-    ``state`` (STATE) has classes and not rows, so it is bounded by the capacity: 'todo' has the pieces of a length whose ranks are ``first`` to ``first + n``, 'gap' the sequences
-    ``first`` to ``first + n`` with ``size`` tokens free.  The result is the next state, with 'put' rows: pieces of length ``size`` and ranks from ``first`` that begin at ``off`` of the sequences from ``seq``.
-
-    Lengths and gaps are sorted together.  Going down, each length finds its successor, the smallest gap it fits, and how many of it that gap holds; a running balance
-    of gaps against what lengths ask for tells how many gaps each length gets if longer ones go first.  Going up, those that get one take the gaps by rank from their
-    successor on, each length behind the last (a running maximum resolves the conflicts), and gaps shrink by what they took.
-    """
-    return state.sparkSession.sql(SWEEP.replace("{capacity}", str(capacity)), state=state, low=low, high=high)
-
+def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing over size classes: rows (length, first rank, ranks, first sequence, offset).
 
-def placed(scratch: Scratch, counts: DataFrame, capacity: int) -> DataFrame:
-    """The 'put' rows of all pieces, from ``counts`` (length, n).
-
-    The longest pieces go first; a range of lengths is swept again until all of it is placed, and where the widest gap is too small for any of it, sequences are opened.  Every state is a
-    written table; the driver holds a few sums of it.  Supersteps follow the capacity and the kinds of lengths, not the rows: about 60 for 2,048.
+    A superstep matches all pieces of one length.  Its sweep finds the successor gap class (the smallest gap they fit), and
+    conflicts for it are resolved by rank: consecutive ranks take consecutive sequences of the class, each as many
+    as it holds; then those gaps shrink and the sweep goes on with the ranks left over.  Pieces of equal length are interchangeable, so this is
+    best-fit over all rows, with work and output bounded by the capacity and not by the rows.
     """
-    spark, root = counts.sparkSession, scratch.path("steps")
-    none = F.lit(None)
-    state = counts.select(F.lit("todo").alias("kind"), F.col("length").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), "n", none.cast("long").alias("seq"), none.cast("int").alias("off"))
-    ranges = batches(capacity)
-    which = F.coalesce(*[F.when(F.col("size") > low, n) for n, (low, _) in enumerate(ranges)])
-    opened = step = 0
-    while True:
-        path = f"{root}/step={step:05d}"
-        state.coalesce(1).write.parquet(path)
-        # One partition of bounded size, so a superstep has no shuffle.
-        state = spark.read.schema(STATE).parquet(path).filter("kind <> 'put'").coalesce(1)
-        sums = state.groupBy("kind", which.alias("range")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("tokens")).collect()
-        todo = min((r for r in sums if r["kind"] == "todo"), key=lambda r: r["range"], default=None)
-        if todo is None:
-            return spark.read.schema(STATE).parquet(root).filter("kind = 'put'")
-        if max((r["most"] for r in sums if r["kind"] == "gap"), default=0) < todo["least"]:
-            # Two pieces longer than half a sequence never share one.
-            more = todo["n"] if todo["range"] == 0 else -(-todo["tokens"] // capacity)
-            state = state.unionByName(spark.createDataFrame([("gap", capacity, opened, more, None, None)], STATE)).coalesce(1)
-            opened += more
-        state = superstep(state, *ranges[todo["range"]], capacity)
-        step += 1
+    gaps: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
+    open_gaps = 0
+    out: list[tuple[int, int, int, int, int]] = []
+    sequences = 0
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            fitting = open_gaps >> size
+            if fitting:
+                gap = size + (fitting & -fitting).bit_length() - 1
+                first, n = gaps[gap].pop()
+                if not gaps[gap]:
+                    open_gaps &= ~(1 << gap)
+            else:
+                gap, first, n = capacity, sequences, -(-left // (capacity // size))
+                sequences += n
+            each = gap // size
+            full = min(n, left // each)
+            for used, fill in ((full, each), (1, left - full * each)) if full < n and left - full * each < each else ((full, each),):
+                if not used or not fill:
+                    continue
+                out += [(size, rank + k * used, used, first, capacity - gap + k * size) for k in range(fill)]
+                rank, left = rank + used * fill, left - used * fill
+                if rest := gap - fill * size:
+                    gaps[rest].append([first, used])
+                    open_gaps |= 1 << rest
+                first, n = first + used, n - used
+            if n:
+                gaps[gap].append([first, n])
+                open_gaps |= 1 << gap
+    return out
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
@@ -191,22 +135,20 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``; sorted by both, ``ids`` fill each sequence without gaps.
 
-    Pieces of one length are interchangeable, so the sweeps place counted lengths, and each piece then finds its place by its rank within its length.
-
     A null text is empty and gives one piece, the closing id; empty and repeated rows are pieces like any other; pieces of equal length are
     placed in order of doc_id (nulls first), and full pieces stand alone; an empty table gives no rows; other columns are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     pieces = scratch.table(cut(docs, tokenizer_path, capacity, with_ids), "pieces")
-    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    # Bounded by the capacity and not by the rows.
-    plan = placed(scratch, counts, capacity).select(F.col("size").alias("__len"), F.col("first").alias("__from"), F.col("n").alias("__n"), F.col("seq").alias("__seq"), F.col("off").alias("__off"))
+    # At most one row a length: bounded by the capacity.
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = spark.createDataFrame(sweep(counts, capacity), "__len long, __from long, __n long, __seq long, __off long")
     fits = (F.col("length") == F.col("__len")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__from") + F.col("__n"))
     return (
         ranked(pieces)
         .join(F.broadcast(plan), fits)
-        .withColumns({"sequence_id": F.col("__seq") + F.col("__rank") - F.col("__from"), "offset": F.col("__off").cast("long")})
+        .withColumns({"sequence_id": F.col("__seq") + F.col("__rank") - F.col("__from"), "offset": F.col("__off")})
         .select(*pieces.columns, "sequence_id", "offset")
     )
 

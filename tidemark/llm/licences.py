@@ -114,22 +114,34 @@ def texts() -> tuple[tuple[str, str, bool], ...]:
     return tuple(out)
 
 
-def block_matches(text: Column, present: Column, idf: dict[str, float], threshold: float) -> Column:
+def block_matches(text: Column, marks: Column, present: Column, idf: dict[str, float], threshold: float) -> Column:
     """array of struct(score, back, licence): every window of consecutive lines or sentences that reaches ``threshold`` with a text, and the whole text with a full one.
 
     A window begins with a line or sentence and has as many terms as the text it is compared with, so its own norm decides, not that of what surrounds it.
-    Texts of which the file's terms (``present``) have too little for any window to reach the threshold are left out (an exact bound).
+    Texts of which the file has no telling term (``marks``), or of which its terms (``present``) have too little for any window to reach the threshold, are left out (exact bounds).
     """
     of = vectors(idf, {str(k): t for k, (_, t, _) in enumerate(texts())})
     rows = [{"licence": name, "m": len(terms(t)), "whole": whole, "u": of[str(k)]} for k, (name, t, whole) in enumerate(texts())]
     every = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,m:int,whole:boolean,u:map<string,double>>>")
     weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
     other = sum(idf.values()) / max(1, len(idf))
+    of_term: dict[str, list[int]] = {}
+    for k in range(len(rows)):
+        for t in telling({"": of[str(k)]}, idf, threshold):
+            of_term.setdefault(t, []).append(k)
+    told = F.from_json(F.lit(json.dumps([{"t": t, "of": of} for t, of in sorted(of_term.items())])), "array<struct<t:string,of:array<int>>>")
+    asked = F.array_distinct(F.flatten(F.transform(F.filter(told, lambda x: F.array_contains(marks, x["t"])), lambda x: x["of"])))
     reach = lambda t: F.aggregate(present, F.lit(0.0), lambda s, x: s + F.pow(F.coalesce(t["u"][x], F.lit(0.0)), F.lit(2.0)))
-    wanted = F.filter(every, lambda t: reach(t) >= threshold**2 - 1e-9)
-    weighed = lambda s: F.transform(tokens(s), lambda t: F.struct(t.alias("t"), F.coalesce(weight[t], F.lit(other)).alias("w")))
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.split(line, _SENTENCE), lambda s: F.struct((-i).alias("back"), weighed(s).alias("t"))))
-    units = F.filter(F.flatten(lines), lambda x: F.size(x["t"]) > 0)
+    wanted = F.filter(F.transform(asked, lambda k: F.get(every, k)), lambda t: reach(t) >= threshold**2 - 1e-9)
+
+    def weighed_units(own: Column) -> Column:
+        weighed = lambda s: F.transform(tokens(s), lambda t: F.struct(t.alias("t"), F.coalesce(own[t], F.lit(other)).alias("w")))
+        lines = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.split(line, _SENTENCE), lambda s: F.struct((-i).alias("back"), weighed(s).alias("t"))))
+        return F.filter(F.flatten(lines), lambda x: F.size(x["t"]) > 0)
+
+    # Terms are looked up among the file's own.
+    own = F.map_from_arrays(present, F.transform(present, lambda x: weight[x]))
+    units = F.element_at(F.transform(F.array(own), weighed_units), 1)
 
     def cosine(window: Column, t: Column) -> Column:
         def measured(v: Column) -> Column:
@@ -210,7 +222,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     # Only files with such a term anywhere are taken apart.
     hit = F.when(F.arrays_overlap("__marks", needed), best)
     present = F.when(F.arrays_overlap("__marks", words(longer)), F.array_intersect(tokens(text), words(of_texts)))
-    blocks = F.when(F.col("__present").isNotNull(), block_matches(text, F.col("__present"), of_texts, threshold))
+    blocks = F.when(F.col("__present").isNotNull(), block_matches(text, F.col("__marks"), F.col("__present"), of_texts, threshold))
     line = F.when(F.col("__line.score") >= threshold, F.col("__line"))
     ranked = F.reverse(F.array_sort(F.concat(F.array_compact(F.array("__line")), F.coalesce("__blocks", F.array().cast("array<struct<score:double,back:int,licence:string>>")))))
     passed = F.col("__hit").isNotNull()

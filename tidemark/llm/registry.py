@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, licences, merkle, minhash, online_packing, packing, quality, toxicity, warc
+from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, licences, merkle, minhash, online_packing, packing, quality, ranked_search, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_online_packing": online_packing.op12_online_packing,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_warc": warc.OP9_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_warc": warc.OP9_SQL, "op11_ranked_search": ranked_search.OP11_SQL, "op13_merkle_manifest": merkle.OP13_SQL}

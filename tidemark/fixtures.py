@@ -137,3 +137,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEXTS = """texts AS (SELECT 'part_' || p_partkey AS model_name, CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS size FROM part)"""
+
+
+def nested_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model text for each part whose arguments hold calls, brackets, quotes and commas of their own."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    s = lambda c: c.cast("string")
+    column = F.when(k % 4 == 0, F.lit("var('column', default=\"ts\")")).when(k % 4 == 1, F.concat(F.lit('"DATE(ts, '), s(k % 3), F.lit(')"'))).when(k % 4 == 2, F.lit("coalesce(a[1, 2], {'b': (c)})")).otherwise("'ts'")
+    start = F.concat(F.lit("start_ts(\n  "), column, F.lit(", "), s(size % 10), F.lit(" , '20"), s(10 + k % 9), F.lit("-01-01'\n)"))
+    end = F.when(k % 13 == 0, F.lit("end_ts(greatest(1, 2))")).otherwise(F.concat(F.lit("end_ts( "), s(k % 4), F.lit(" )")))
+    text = F.concat(F.lit("select (a, b) from t where ts between {{ "), start, F.lit(" }} and {{ "), end, F.lit(" }}) -- start_ts(f(x), 99, '1901-01-01')"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("part_"), s(k)).alias("model_name"), text.alias("text"))

@@ -729,6 +729,24 @@ def window_params(spark, sf):
     return _dated(K.window_params(X.texts(spark, sf)), "first_timestamp")
 
 
+_NESTED = """SELECT model_name, CASE k % 4 WHEN 1 THEN 'DATE(ts, ' || (k % 3) || ')' WHEN 3 THEN 'ts' END AS partition_column, '20' || (10 + k % 9) || '-01-01' AS first_timestamp,
+CAST(size % 10 AS INT) AS lookback, CAST(CASE WHEN k % 13 = 0 THEN 0 ELSE k % 4 END AS INT) AS lag, k % 13 = 0 AS unclear_lag FROM texts"""
+
+
+@query(f"WITH {X.TEXTS} {_NESTED}")
+def window_params_nested(spark, sf):
+    """Arguments that hold brackets, quotes and commas."""
+    return _dated(K.window_params(X.nested_texts(spark, sf)), "first_timestamp")
+
+
+@query(f"WITH {X.TEXTS} SELECT 'model.p.' || model_name AS node_key, partition_column, first_timestamp, lookback, lag, unclear_lag FROM ({_NESTED})")
+def models_from_manifest_nested(spark, sf):
+    """The same texts as models of manifests, which go through JSON."""
+    node = F.struct(F.lit("model").alias("resource_type"), F.col("model_name").alias("name"), F.col("text").alias("raw_code"))
+    manifests = X.nested_texts(spark, sf).select(F.to_json(F.struct(F.create_map(F.concat(F.lit("model.p."), "model_name"), node).alias("nodes"))).alias("manifest"))
+    return _dated(K.models_from_manifest(manifests).select("node_key", "partition_column", "first_timestamp", "lookback", "lag", "unclear_lag"), "first_timestamp")
+
+
 @query(
     f"""WITH {X.TEXTS}, p AS ({_PARAMS}) SELECT 'model.p.' || model_name AS node_key, model_name, CASE WHEN k % 2 = 0 THEN 'alias_' || k ELSE model_name END AS table_name, CASE WHEN k % 3 = 0 THEN 'model.p.part_1' ELSE '' END AS needs, first_timestamp, lookback, lag
 FROM texts JOIN p USING (model_name) WHERE k % 5 <> 0 AND k % 6 <> 1"""

@@ -12,7 +12,8 @@ from tidemark.functions.dates import NTZ
 from tidemark.operators.ledger import record_window_end, record_window_start, upsert_started
 from tidemark.plans.windows import chunk_units
 from tidemark.scratch import Scratch
-from tidemark.sources.chunks import replace_partitions, write_chunks
+from tidemark.sources.chunks import write_chunks
+from tidemark.sources.generations import replace_partitions
 
 #: Units up to this many are sent to every executor; more are joined by shuffle.
 BROADCAST_UNITS = 100_000
@@ -88,21 +89,22 @@ def record_bounds(ledger: DataFrame, bounds: DataFrame, execution_ts: str, run_g
     return record_window_end(record_window_start(ledger, rows, now), rows, now)
 
 
-def reload_days(facts: DataFrame, bounds: DataFrame, model: str, ts: str, path: str) -> None:
+def reload_days(facts: DataFrame, bounds: DataFrame, model: str, ts: str, path: str) -> int:
     """Writes the rows inside each model's window by model and day, replacing the days it reads again.
 
     The lookback makes windows overlap, so days are replaced and not appended: late rows come in and nothing doubles.  A day is replaced as a whole, so a
-    window is widened to whole days on both sides; days of it that have no rows any more come out empty.
+    window is widened to whole days on both sides; days of it that have no rows any more come out empty.  All days are swapped at once
+    (read them by ``read_partitions``); the version's number comes back.
     """
     day = lambda c: F.col(c).cast("date").cast(NTZ)
     whole = Scratch(facts.sparkSession, "whole").table(bounds.select("model_name", day("start_ts").alias("start_ts"), (day("end_ts") + F.expr("interval '86399.999999' second")).alias("end_ts")))
     rows = incremental_load(facts, whole, model, ts).withColumns({"load_model": F.col(model).cast("string"), "load_day": F.col(ts).cast("date")})
 
-    def touched(files: DataFrame) -> DataFrame:
+    def touched(parts: DataFrame) -> DataFrame:
         spans = whole.select(F.col("model_name").cast("string").alias("load_model"), F.col("start_ts").cast("date").alias("__a"), F.col("end_ts").cast("date").alias("__b"))
-        return files.join(spans, "load_model").filter(F.col("load_day").cast("date").between(F.col("__a"), F.col("__b"))).select("file").distinct()
+        return parts.join(spans, "load_model").filter(F.col("load_day").cast("date").between(F.col("__a"), F.col("__b"))).select("folder").distinct()
 
-    replace_partitions(rows, path, ["load_model", "load_day"], touched)
+    return replace_partitions(rows, path, ["load_model", "load_day"], touched)
 
 
 def single_bounds(plan: DataFrame, bounds: DataFrame) -> DataFrame:

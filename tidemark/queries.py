@@ -15,6 +15,7 @@ from tidemark.operators import watermarks as W
 from tidemark.plans import loads, windows
 from tidemark.scratch import Scratch
 from tidemark.sources import chunks, ledger_store
+from tidemark.sources.generations import expire, publish, read_partitions, stage
 from tidemark.streaming.upserts import stream_upsert_status
 
 QUERIES: dict = {}
@@ -470,8 +471,7 @@ def write_chunks(spark, sf):
     rows = chunked_backfill(spark, sf)
     chunks.write_chunks(rows, path)
     chunks.write_chunks(rows.filter(F.endswith("chunk_id", F.lit("-01"))), path)
-    back = spark.read.schema(rows.schema).parquet(path)
-    return back.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+    return read_partitions(spark, path).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
 @query("SELECT event_type AS model_name, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts <= TIMESTAMP '2024-01-29 23:59:59'")
@@ -482,7 +482,7 @@ def reload_days(spark, sf):
     bounds = facts.groupBy("model_name").agg(F.lit(datetime(2024, 1, 8, 5)).cast("timestamp_ntz").alias("start_ts"), F.lit(datetime(2024, 1, 29, 23, 59, 59)).cast("timestamp_ntz").alias("end_ts"))
     for _ in range(2):
         loads.reload_days(facts, bounds, "model_name", "ts", path)
-    return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
+    return read_partitions(spark, path).select(*facts.columns)
 
 
 def _daily(spark, sf):
@@ -499,7 +499,7 @@ def reload_days_midday(spark, sf):
     path, facts = Scratch(spark, "midday").path(), _daily(spark, sf)
     for start, end in ((datetime(2024, 1, 8, 5), datetime(2024, 1, 29, 23, 59, 59)), (datetime(2024, 1, 20, 6), datetime(2024, 1, 25, 12))):
         loads.reload_days(facts, _spans(facts, start, end), "model_name", "ts", path)
-    return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
+    return read_partitions(spark, path).select(*facts.columns)
 
 
 @query("SELECT event_type AS model_name, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-30' AND NOT (event_type = 'view' AND CAST(ts AS DATE) = DATE '2024-01-22')")
@@ -509,7 +509,7 @@ def reload_days_emptied(spark, sf):
     gone = (F.col("model_name") == "view") & (F.col("ts").cast("date") == F.lit(date(2024, 1, 22)))
     loads.reload_days(facts, _spans(facts, datetime(2024, 1, 8), datetime(2024, 1, 29, 23)), "model_name", "ts", path)
     loads.reload_days(facts.filter(~gone), _spans(facts, datetime(2024, 1, 20), datetime(2024, 1, 25)), "model_name", "ts", path)
-    return spark.read.schema(facts.schema).parquet(path).select(*facts.columns)
+    return read_partitions(spark, path).select(*facts.columns)
 
 
 _LOADED = f"""{_plan('full')}, loaded AS ({_ASSIGN})"""
@@ -528,7 +528,32 @@ def rerun_chunks(spark, sf):
     even = F.col("model_name").cast("int") % 2 == 0
     again = rows.filter(even & (F.col("l_linenumber") > 1) & ~F.endswith("chunk_id", F.lit("-01")))
     chunks.write_chunks(again, path, ran=units.filter(even))
-    return spark.read.schema(rows.schema).parquet(path).groupBy("model_name", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+    return read_partitions(spark, path).groupBy("model_name", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+_KEPT = "SELECT model_name, chunk_id, l_orderkey, l_linenumber FROM loaded"
+
+
+@query(
+    f"""{_LOADED} SELECT 'before' AS phase, * FROM ({_KEPT}) UNION ALL SELECT 'killed', * FROM ({_KEPT}) UNION ALL SELECT 'after', * FROM ({_KEPT} WHERE l_linenumber > 1 OR CAST(model_name AS INT) % 2 = 1)
+UNION ALL SELECT 'old version', * FROM ({_KEPT})"""
+)
+def killed_write(spark, sf):
+    """A write that is killed after its data and before the swap leaves the table as it was; done again, it replaces its chunks, and the version before can still be read."""
+    path = Scratch(spark, "killed").path()
+    units = Scratch(spark, "units").table(windows.chunk_units(_run_plan(spark, sf, "full")))
+    rows = loads.assign_chunks(X.facts(spark, sf), units, "model_name", "ts")
+    seen = lambda phase, version=None: read_partitions(spark, path, version=version).select(F.lit(phase).alias("phase"), "model_name", "chunk_id", "l_orderkey", "l_linenumber")
+    first = chunks.write_chunks(rows, path)
+    before = seen("before")
+    even = F.col("model_name").cast("int") % 2 == 0
+    again = rows.filter(even & (F.col("l_linenumber") > 1))
+    stage(again, path, ["model_name", "chunk_id"])
+    killed = seen("killed")
+    ran = units.filter(even).select("model_name", "chunk_id")
+    publish(spark, stage(again, path, ["model_name", "chunk_id"]), lambda parts: parts.join(ran, ["model_name", "chunk_id"], "left_semi"))
+    expire(spark, path, keep=2)
+    return before.unionByName(killed).unionByName(seen("after")).unionByName(seen("old version", first))
 
 
 @query(
@@ -543,8 +568,8 @@ def write_backfill(spark, sf):
     at = scratch.path("chunks"), scratch.path("days")
     for back in (40, 0):
         loads.write_backfill(facts, plan, bounds.withColumn("start_ts", D.shift_days("start_ts", -back)), "model_name", "ts", *at)
-    read = lambda path, kind, schema: spark.read.schema(schema).parquet(path).groupBy("model_name").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
-    return read(at[0], "chunk", facts.schema).unionByName(read(at[1], "day", facts.schema))
+    read = lambda path, kind: read_partitions(spark, path).groupBy("model_name").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+    return read(at[0], "chunk").unionByName(read(at[1], "day"))
 
 
 @query(_plan("full") + _ASSIGN.replace("f.ts <= u.chunk_end", "f.ts < u.chunk_end + INTERVAL 1 SECOND"))

@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.scratch import Scratch
-from tidemark.sources.ledger_store import delete_file, path_exists
-
-#: How a null is written in a folder's name.
-NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
-
-
-def partition_files(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """(file, *keys): the data files under ``path`` and the values of their partition, as text, read from the listing alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
-
-    def value(key: str) -> Column:
-        raw = F.regexp_extract("file", rf"/{key}=([^/]*)/", 1)
-        return F.when(raw != NULL_FOLDER, F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
-
-    return files.select("file", *[value(k).alias(k) for k in keys])
-
-
-def replace_partitions(df: DataFrame, path: str, keys: list[str], touched: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Writes ``df`` by ``keys`` in place of the partitions it holds rows of; the others stay.
-
-    ``touched`` picks, from (file, *keys), the files of all partitions that this load covers: those that it brings no rows for come out empty.
-    A partition of any size is written by several tasks.  What is removed comes to the driver as the files of emptied partitions, and nothing else does.
-    """
-    spark = df.sparkSession
-    before = None
-    if touched is not None and path_exists(spark, path):
-        before = Scratch(spark, "replaced").table(touched(partition_files(spark, path, keys)).select("file"))
-    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-    if before is not None:
-        for row in partition_files(spark, path, keys).select("file").join(before, "file", "left_semi").toLocalIterator():
-            delete_file(spark, row["file"])
+from tidemark.sources.generations import replace_partitions
 
 
-def write_chunks(df: DataFrame, path: str, model: str = "model_name", by: str = "chunk_id", ran: DataFrame | None = None) -> None:
+def write_chunks(df: DataFrame, path: str, model: str = "model_name", by: str = "chunk_id", ran: DataFrame | None = None) -> int:
     """Replaces exactly the chunks of each model that ``df`` holds rows of: running a chunk again changes no other chunk and no other model's.
 
-    Chunks of ``ran`` (``model``, ``by``) without rows in ``df`` come out empty.
+    Chunks of ``ran`` (``model``, ``by``) without rows in ``df`` come out empty.  Chunks are staged apart and swapped at once (see :mod:`tidemark.sources.generations`,
+    whose ``read_partitions`` reads them); the version's number comes back.
     """
     covered = None if ran is None else ran.select(F.col(model).cast("string").alias(model), F.col(by).cast("string").alias(by)).distinct()
-    replace_partitions(df, path, [model, by], None if covered is None else lambda files: files.join(covered, [model, by], "left_semi"))
+    return replace_partitions(df, path, [model, by], None if covered is None else lambda parts: parts.join(covered, [model, by], "left_semi"))
 
 
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:

@@ -37,9 +37,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def delete_file(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     fs, at = _files(spark, path)
-    fs.delete(at, False)
+    fs.delete(at, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names directly under a folder; none if it is not there."""
+    fs, at = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def scan_or_empty(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
@@ -62,18 +68,24 @@ def as_ledger(df: DataFrame, missing: str = "fill") -> DataFrame:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Complete snapshots under ``path``, oldest first."""
-    fs, at = _files(spark, path)
-    if not fs.exists(at):
-        return []
-    jvm = spark.sparkContext._jvm
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    return sorted(int(n[2:]) for n in names(spark, path) if n.startswith("v=") and n[2:].isdigit() and path_exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
-def read_ledger(spark: SparkSession, path: str, missing: str = "fill") -> DataFrame:
-    """The newest complete snapshot, or an empty ledger."""
+def read_ledger(spark: SparkSession, path: str, missing: str = "fill", version: int | None = None) -> DataFrame:
+    """A snapshot, by default the newest complete one, or an empty ledger if there is none."""
     found = versions(spark, path)
-    return as_ledger(spark.read.parquet(f"{path}/v={found[-1]}"), missing) if found else spark.createDataFrame([], LEDGER)
+    if version is not None and version not in found:
+        raise ValueError(f"no version {version} in {path}")
+    at = found[-1] if version is None and found else version
+    return spark.createDataFrame([], LEDGER) if at is None else as_ledger(spark.read.parquet(f"{path}/v={at}"), missing)
+
+
+def expire_ledger(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Deletes all complete snapshots but the newest ``keep``, at least one; returns their numbers."""
+    gone = versions(spark, path)[: -max(keep, 1)]
+    for number in gone:
+        delete_folder(spark, f"{path}/v={number}")
+    return gone
 
 
 def write_ledger(ledger: DataFrame, path: str) -> int:

@@ -110,3 +110,69 @@ def test_bounds_reach_the_scan(spark, tmp_path):
         assert len(scans) == 1 and "GreaterThanOrEqual(ts,2024-01-08T06:00" in scans[0] and "LessThanOrEqual(ts,2024-01-11T06:00" in scans[0]
         assert sorted(r.n for r in load.collect()) == [i for i in range(200) if i % 3 == 1 and i % 28 == 9]
     assert loads.incremental_load(facts, bounds.limit(0), "model_name", "ts").count() == 0
+
+
+def test_partitions_are_pruned_by_each_models_windows(spark, tmp_path):
+    """A window of a day for one model and of ten years for another read only their own partitions: all other files are no parquet files at all."""
+    import glob
+    import re
+
+    from tidemark.plans import loads
+
+    path = f"{tmp_path}/facts"
+    rows = [(m, datetime(year, month, 5), year) for m in "ABC" for year in range(2014, 2025) for month in (1, 6)]
+    frame, layout = spark.createDataFrame(rows, "m string, ts timestamp_ntz, n int"), loads.Layout(16)
+    loads.lay_out(frame, path, "m", "ts", layout)
+    bucket = {str(r.b): r.m for r in frame.select("m", layout.bucket_of("m").alias("b")).distinct().collect()}
+    assert len(bucket) == 3
+    schema = spark.read.parquet(path).schema
+    asked = {("A", 2020, 6)} | {("B", year, month) for year in range(2014, 2024) for month in (1, 6)}
+    for file in glob.glob(f"{path}/*/*/*.parquet"):
+        m, year, month = re.search(r"fact_bucket=(\d+)/fact_month=(\d+)-(\d+)", file).groups()
+        if (bucket[m], int(year), int(month)) not in asked:
+            with open(file, "w") as f:
+                f.write("no parquet")
+    facts = spark.read.schema(schema).parquet(path)
+    units = [("A", "day", datetime(2020, 6, 5), datetime(2020, 6, 5, 23, 59, 59)), ("B", "years", datetime(2014, 1, 1), datetime(2023, 12, 31, 23, 59, 59))]
+    units = spark.createDataFrame(units, "model_name string, chunk_id string, chunk_start timestamp_ntz, chunk_end timestamp_ntz")
+    chunked = loads.assign_chunks(facts, units, "m", "ts", layout=layout)
+    assert "dynamicpruning" in chunked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.m, r.ts.year, r.ts.month) for r in chunked.collect()) == sorted(asked)
+    bounds = units.select("model_name", units.chunk_start.alias("start_ts"), units.chunk_end.alias("end_ts"))
+    loaded = loads.incremental_load(facts, bounds, "m", "ts", layout)
+    assert loaded.columns == facts.columns and sorted((r.m, r.ts.year, r.ts.month) for r in loaded.collect()) == sorted(asked)
+    assert loads.assign_chunks(facts, units.limit(0), "m", "ts", layout=layout).count() == 0
+
+
+def test_resumed_backfill_records_failures(spark, tmp_path):
+    """A wave that fails is recorded as failed and ends the run; the next run loads that wave and the rest, and leaves what had succeeded."""
+    import itertools
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import watermarks
+    from tidemark.plans import loads
+    from tidemark.sources import generations, ledger_store
+
+    facts = spark.createDataFrame([("m", datetime(2024, month, 3), month) for month in range(1, 7)], "model_name string, ts timestamp_ntz, n int")
+    window = "struct<chunk_id:string,start:timestamp_ntz,end:timestamp_ntz>"
+    months = [(f"2024-0{i}", datetime(2024, i, 1), datetime(2024, i + 1, 1) - timedelta(seconds=1)) for i in range(1, 7)]
+    plan = spark.createDataFrame([("m", "chunked", months)], f"model_name string, disposition string, chunks array<{window}>")
+    bounds = spark.createDataFrame([], "model_name string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    at = {k: f"{tmp_path}/{k}" for k in ("chunks", "days", "ledger")}
+    minutes = itertools.count()
+    run = lambda facts: loads.resume_backfill(facts, plan, bounds, "model_name", "ts", **at, execution_ts="2024-07-01", run_group_id="g", clock=lambda: datetime(2024, 7, 1) + timedelta(minutes=next(minutes)), waves=3)
+    broken = facts.withColumn("n", F.when(F.month("ts") == 4, F.raise_error(F.lit("bad row")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="bad row"):
+        run(broken)
+    states = lambda: {(r.chunk_key, r.status) for r in ledger_store.read_days(spark, at["ledger"]).collect()}
+    mark = lambda: [r.watermark for r in watermarks.read_watermark(ledger_store.read_days(spark, at["ledger"])).collect()]
+    started = {(c[0], "started") for c in months}
+    assert states() == started | {("2024-01", "succeeded"), ("2024-02", "succeeded"), ("2024-03", "failed"), ("2024-04", "failed")} and mark() == [None]
+    first = {r.chunk_id: r.generation for r in generations.live(spark, at["chunks"], []).collect()}
+    out = run(facts).collect()
+    assert sorted((r.chunk_id, r.status, r.rows) for r in out) == [(c[0], "succeeded", 1) for c in months] and mark() == [months[-1][2]]
+    after = {r.chunk_id: r.generation for r in generations.live(spark, at["chunks"], []).collect()}
+    assert {c: g for c, g in after.items() if c in first} == first and len(after) == 6
+    assert sorted((r.chunk_id, r.rows) for r in run(facts.limit(0)).collect()) == [(c[0], 1) for c in months]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -572,6 +573,63 @@ def write_backfill(spark, sf):
     return read(at[0], "chunk").unionByName(read(at[1], "day"))
 
 
+class Stopped(Exception):
+    """Ends a backfill at a chosen moment."""
+
+
+def _clock(day: int, last: int = 99):
+    """Times of one attempt; the call after the ``last`` ends it."""
+    ticks = iter(range(99))
+
+    def now():
+        tick = next(ticks)
+        if tick >= last:
+            raise Stopped
+        return datetime(2024, 1, day, 0, tick)
+
+    return now
+
+
+_RESUMED = f"""{_plan('none')}, {_BOUNDS}, every AS (SELECT model_name, chunk_id, chunk_start, chunk_end FROM units
+  UNION ALL SELECT model_name, 'full', start_ts, end_ts FROM bounds JOIN disp USING (model_name) WHERE disposition = 'single'),
+waves AS (SELECT *, (m - min(m) OVER ()) * 3 // (max(m) OVER () - min(m) OVER () + 1) AS wave FROM (SELECT *, year(chunk_start) * 12 + month(chunk_start) AS m FROM every)),
+got AS (SELECT w.model_name, w.chunk_id, count(*) AS rows FROM waves w JOIN facts f ON f.model_name = w.model_name AND (wave = 0 OR l_linenumber > 1)
+  AND f.ts >= CASE chunk_id WHEN 'full' THEN date_trunc('day', chunk_start) ELSE chunk_start END AND f.ts <= CASE chunk_id WHEN 'full' THEN date_trunc('day', chunk_end) + INTERVAL 86399 SECOND ELSE chunk_end END GROUP BY ALL)"""
+
+
+@query(
+    f"""{_RESUMED} SELECT 'chunk' AS kind, model_name, chunk_id, 'succeeded' AS status, coalesce(rows, 0) AS rows, CASE wave WHEN 0 THEN 1 ELSE 2 END AS attempt, NULL AS watermark FROM waves LEFT JOIN got USING (model_name, chunk_id)
+UNION ALL SELECT 'mark', model_name, NULL, NULL, NULL, 1, CASE WHEN max(wave) = 0 THEN max(chunk_end) END FROM waves GROUP BY model_name
+UNION ALL SELECT 'mark', model_name, NULL, NULL, NULL, 2, max(chunk_end) FROM waves GROUP BY model_name"""
+)
+def resumed_backfill(spark, sf):
+    """A backfill in three waves that dies between the second wave's swap and its outcome, and is run again on fewer facts.
+
+    Chunks that had succeeded keep their rows; the others are loaded by the second attempt, those swapped in without an outcome once more.  A model's watermark moves only when all its
+    chunks have succeeded.
+    """
+    scratch = Scratch(spark, "resumed")
+    plan, bounds, facts = scratch.table(_run_plan(spark, sf, "none")), scratch.table(_bounds(spark, sf)), X.facts(spark, sf)
+    at = {name: scratch.path(name) for name in ("chunks", "days", "ledger")}
+    load = lambda facts, clock: loads.resume_backfill(facts, plan, bounds, "model_name", "ts", **at, execution_ts=X.EXECUTION, run_group_id="run", clock=clock, waves=3)
+    mark = lambda attempt: W.read_watermark(ledger_store.read_days(spark, at["ledger"])).withColumns({"kind": F.lit("mark"), "attempt": F.lit(attempt)})
+    with suppress(Stopped):
+        load(facts, _clock(1, 2))
+    stopped = scratch.table(mark(1))
+    out = load(facts.filter("l_linenumber > 1"), _clock(2)).withColumn("kind", F.lit("chunk"))
+    when = ledger_store.read_days(spark, at["ledger"]).filter("status = 'succeeded'").select("model_name", F.col("chunk_key").alias("chunk_id"), F.dayofmonth("updated_at").alias("attempt"))
+    return out.join(when, ["model_name", "chunk_id"], "left").unionByName(stopped.unionByName(mark(2)), allowMissingColumns=True)
+
+
+@query(_plan("full") + _ASSIGN)
+def assign_chunks_pruned(spark, sf):
+    """Facts laid out by buckets of models and month: each model's windows prune its own partitions."""
+    path, layout = Scratch(spark, "laid").path("facts"), loads.Layout(buckets=4)
+    loads.lay_out(X.facts(spark, sf), path, "model_name", "ts", layout)
+    rows = loads.assign_chunks(spark.read.parquet(path), windows.chunk_units(_run_plan(spark, sf, "full")), "model_name", "ts", layout=layout)
+    return rows.drop(layout.bucket, layout.month)
+
+
 @query(_plan("full") + _ASSIGN.replace("f.ts <= u.chunk_end", "f.ts < u.chunk_end + INTERVAL 1 SECOND"))
 def assign_chunks_half_open(spark, sf):
     return loads.assign_chunks(X.facts(spark, sf), windows.chunk_units(_run_plan(spark, sf, "full")), "model_name", "ts", half_open=True)

@@ -159,8 +159,16 @@ def completions_view(ledger: DataFrame, as_of, days: int = 30) -> DataFrame:
     failed, else a started one makes it started.  A null run group may win, and then there is no row.  Three nested
     aggregations, each with partial sums, replace windows and self-joins, so a model with very many rows is reduced before it is shuffled.
     """
+    return completions_of(live_rows(ledger, as_of, days))
+
+
+VIEW = "model_name string, execution_ts string, status string, run_group_id string, chunk_key string, start_ts timestamp_ntz, end_ts timestamp_ntz, updated_at timestamp_ntz"
+
+
+def completions_of(ledger: DataFrame) -> DataFrame:
+    """The same of all days in ``ledger``; days do not depend on each other."""
     chunk = (
-        live_rows(ledger, as_of, days)
+        ledger.filter(~F.col("status").isin("locked_out", "crashed"))
         .groupBy("model_name", "execution_ts", "run_group_id", "chunk_key")
         .agg(F.max(F.struct("updated_at", "status")).alias("last"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     )

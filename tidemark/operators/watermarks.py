@@ -26,12 +26,21 @@ def read_watermark(ledger: DataFrame) -> DataFrame:
 
     A run group is complete if each of its started chunks has succeeded.  A null run group matches nothing, so its ends count.
     """
+    return run_ends(chunk_ends(ledger))
+
+
+def chunk_ends(ledger: DataFrame) -> DataFrame:
+    """(model_name, run_group_id, chunk_key, started, done, end_ts): what a watermark needs of each chunk; maxima of parts are those of the whole."""
     keys = ["model_name", "run_group_id", "chunk_key"]
     is_started, whole = F.col("status") == "started", reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
-    chunks = ledger.groupBy(*keys).agg(F.max(is_started).alias("started"), F.max((F.col("status") == "succeeded") & whole).alias("done"), F.max(F.when(is_started, F.col("end_ts"))).alias("end_ts"))
-    runs = chunks.filter("started").groupBy("model_name", "run_group_id").agg(F.min("done").alias("complete"), F.max("end_ts").alias("end_ts"))
+    return ledger.groupBy(*keys).agg(F.max(is_started).alias("started"), F.max((F.col("status") == "succeeded") & whole).alias("done"), F.max(F.when(is_started, F.col("end_ts"))).alias("end_ts"))
+
+
+def run_ends(chunks: DataFrame, *by: str) -> DataFrame:
+    """(model_name, *by, watermark): the latest end of complete run groups among ``chunks``, which hold run groups as a whole."""
+    runs = chunks.filter("started").groupBy("model_name", "run_group_id", *by).agg(F.min("done").alias("complete"), F.max("end_ts").alias("end_ts"))
     counts = F.col("model_name").isNotNull() & (F.col("complete") | F.col("run_group_id").isNull())
-    return runs.groupBy("model_name").agg(F.max(F.when(counts, F.col("end_ts"))).alias("watermark"))
+    return runs.groupBy("model_name", *by).agg(F.max(F.when(counts, F.col("end_ts"))).alias("watermark"))
 
 
 def planning_watermark(models: DataFrame, watermarks: DataFrame, maxima: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from tidemark.operators import outcomes as R
 from tidemark.operators import watermarks as W
 from tidemark.plans import loads, windows
 from tidemark.scratch import Scratch
-from tidemark.sources import chunks, ledger_store
+from tidemark.sources import chunks, compaction, ledger_store
 from tidemark.sources.generations import expire, publish, read_partitions, stage
+from tidemark.streaming import maintained
 from tidemark.streaming.upserts import stream_upsert_status
 
 QUERIES: dict = {}
@@ -97,8 +98,8 @@ def compact_ledger(spark, sf):
     rows = X.transitions(spark, sf)
     for half in (0, 1):
         ledger_store.append_transitions(rows.filter(F.col("event_id") % 2 == half), log)
-        ledger_store.compact_ledger(spark, log, path)
-    return ledger_store.read_ledger(spark, path)
+        compaction.compact_ledger(spark, log, path)
+    return compaction.read_compacted(spark, path)
 
 
 @query(f"""WITH {X.TRANSITIONS} SELECT model_name, execution_ts, status, max(updated_at) AS updated_at, run_group_id, chunk_key FROM transitions GROUP BY ALL""")
@@ -212,6 +213,21 @@ def completions_view(spark, sf):
     return L.completions_view(X.ledger(spark, sf), date(2024, 1, 31))
 
 
+def _maintained(spark, sf):
+    """Every transition, in three batches that all touch the same days."""
+    path = Scratch(spark, "maintained").path()
+    rows = X.transitions(spark, sf)
+    for third in range(3):
+        maintained.apply_transitions(spark, path, rows.filter(F.col("event_id") % 3 == third))
+    return path
+
+
+@query(ORACLE_SQL["completions_view"])
+def completions_maintained(spark, sf):
+    """The view kept up with batches of transitions."""
+    return maintained.maintained_view(spark, _maintained(spark, sf), date(2024, 1, 31))
+
+
 # Watermarks and bounds --------------------------------------------------------------------------------------------
 
 _WM = """wm AS (SELECT model_name, max(CASE WHEN whole THEN e END) AS watermark FROM (
@@ -224,6 +240,18 @@ def read_watermark(spark, sf):
     return W.read_watermark(X.ledger(spark, sf))
 
 
+@query(f"WITH {X.LEDGER}, {_WM} SELECT * FROM wm")
+def watermark_maintained(spark, sf):
+    """The watermarks kept up with a stream of transitions."""
+    scratch = Scratch(spark, "marks")
+    log, path = scratch.path("log"), scratch.path("kept")
+    for half in (0, 1):
+        ledger_store.append_transitions(X.transitions(spark, sf).filter(F.col("event_id") % 2 == half).coalesce(1), log)
+    stream = spark.readStream.schema(ledger_store.LEDGER).option("maxFilesPerTrigger", 1).parquet(log)
+    maintained.stream_maintained(spark, stream, path, scratch.path("checkpoint")).awaitTermination()
+    return maintained.maintained_watermark(spark, path)
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS model_name, max(ts) AS partition_max FROM events GROUP BY user_id")
 def partition_max(spark, sf):
     return W.partition_max(X.read(spark, sf, "events").withColumn("m", F.col("user_id").cast("string")), "m", "ts")

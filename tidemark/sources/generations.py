@@ -7,7 +7,7 @@
 A write stages its rows in a generation of its own and then publishes a new list of live partitions, which takes over the partitions that were not touched as references.  A
 reader has a version as a whole, old or new, whenever a write is killed.  Neither lists nor changes what it does not touch; :func:`expire` deletes what no kept version refers to.
 
-One writer a table is assumed.  A reader's driver holds the folders that it asks for, as it does for any partitioned table.
+One writer a table is assumed.  An empty text in a key is read back as null, as of any partitioned table.  A reader's driver holds the folders that it asks for, as it does for any partitioned table.
 """
 
 from __future__ import annotations
@@ -105,8 +105,8 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str], touched: Calla
     return publish(df.sparkSession, stage(df, path, keys), touched, notes)
 
 
-def read_partitions(spark: SparkSession, path: str, where: Column | str | None = None, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """The rows of a version, by default the newest, in the partitions whose keys (as text) meet ``where``; only their folders are listed and read.
+def read_partitions(spark: SparkSession, path: str, where: Column | str | None = None, version: int | None = None, schema: T.StructType | None = None, among: DataFrame | None = None) -> DataFrame:
+    """The rows of a version, by default the newest, in the partitions whose keys (as text) meet ``where``, or are ``among`` given ones; only their folders are listed and read.
 
     Without any version there are no rows, of ``schema``.
     """
@@ -115,7 +115,12 @@ def read_partitions(spark: SparkSession, path: str, where: Column | str | None =
         return spark.createDataFrame([], schema)
     rows = live(spark, path, [], version)
     kind = spark.read.parquet(f"{path}/schemas/v={found[-1] if version is None else version}").schema
-    folders = [f"{path}/data/{r['folder']}" for r in (rows if where is None else rows.filter(where)).select("folder").toLocalIterator()]
+    if where is not None:
+        rows = rows.filter(where)
+    if among is not None:
+        asked = among.select(*[F.col(k).cast("string").alias(k) for k in among.columns])
+        rows = rows.alias("r").join(asked.alias("a"), [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in among.columns], "left_semi")
+    folders = [f"{path}/data/{r['folder']}" for r in rows.select("folder").toLocalIterator()]
     if not folders:
         return spark.createDataFrame([], kind)
     return spark.read.schema(kind).option("basePath", f"{path}/data").parquet(*folders).select(*kind.names)

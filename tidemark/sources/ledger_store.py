@@ -1,4 +1,4 @@
-"""The run ledger on storage: its schema, snapshots and an append-only log of transitions."""
+"""The run ledger on storage: its schema, snapshots and an append-only log of transitions (folded by :mod:`tidemark.sources.compaction`)."""
 
 from __future__ import annotations
 
@@ -132,7 +132,3 @@ def fold(transitions: DataFrame) -> DataFrame:
     keys = ["model_name", "execution_ts", "status", "run_group_id", "chunk_key"]
     return transitions.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("updated_at", "heartbeat_at", "start_ts", "end_ts")]).select(*LEDGER.names)
 
-
-def compact_ledger(spark: SparkSession, log: str, path: str) -> int:
-    """Folds the log into the next snapshot of the ledger at ``path``; what the last snapshot holds stays."""
-    return write_ledger(fold(read_ledger(spark, path).unionByName(as_ledger(read_transitions(spark, log)))), path)

@@ -109,3 +109,16 @@ def test_columns_may_change(spark, tmp_path):
     G.replace_partitions(frame(spark, A, C), path, KEYS)
     G.replace_partitions(frame(spark, B).withColumn("more", F.lit("x")), path, KEYS)
     assert sorted(((r.n, r.more) for r in G.read_partitions(spark, path).collect()), key=str) == [(1, None), (2, "x"), (3, None)]
+
+
+def test_maxima_read_the_last_day_only(spark, tmp_path):
+    from tidemark.operators import watermarks as W
+
+    path = f"{tmp_path}/t"
+    G.replace_partitions(frame(spark, A, B, C, ("c", None, 4)), path, KEYS)
+    for file in data_files(path):
+        if "model=a/day=2024-01-01" in file or "model=c" in file:
+            with open(file, "w") as f:
+                f.write("no parquet")
+    got = W.last_partition_max(spark, {"t": (path, "model", "day", "day")}).collect()
+    assert sorted((r.table, r.model_name, str(r.partition_max)) for r in got) == [("t", "a", "2024-01-02 00:00:00"), ("t", "b", "2024-01-01 00:00:00")]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import NTZ, as_column, execution_ts, resume_start, window_end
+from tidemark.sources.generations import live, read_partitions
 
 
 def partition_max(df: DataFrame, model: str, ts: str) -> DataFrame:
@@ -21,6 +22,18 @@ def partition_max_of(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def last_partition_max(spark: SparkSession, tables: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """(table, model_name, partition_max) of tables kept by model and day: {table: (path, model key, day key, time column)}.
+
+    The last day of each model that holds rows is known from the list of live partitions; only that day's rows are read, whatever the table's size.  All tables are one union.
+    """
+    parts = []
+    for name, (path, model, day, ts) in tables.items():
+        last = live(spark, path, [model, day]).filter((F.col("rows") > 0) & F.col(day).isNotNull()).groupBy(model).agg(F.max(day).alias(day))
+        parts.append(read_partitions(spark, path, among=last).groupBy(F.col(model).cast("string").alias("model_name")).agg(F.max(F.col(ts).cast(NTZ)).alias("partition_max")).select(F.lit(name).alias("table"), "model_name", "partition_max"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_watermark(ledger: DataFrame) -> DataFrame:
     """(model_name, watermark): the latest end of complete run groups, null if there is none, for every model with a started row.
 

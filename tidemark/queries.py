@@ -214,11 +214,11 @@ def completions_view(spark, sf):
 
 
 def _maintained(spark, sf):
-    """Every transition, in three batches that all touch the same days."""
+    """Every transition, in two batches that both touch the same days."""
     path = Scratch(spark, "maintained").path()
     rows = X.transitions(spark, sf)
-    for third in range(3):
-        maintained.apply_transitions(spark, path, rows.filter(F.col("event_id") % 3 == third))
+    for half in range(2):
+        maintained.apply_transitions(spark, path, rows.filter(F.col("event_id") % 2 == half))
     return path
 
 
@@ -262,6 +262,14 @@ def partition_max_of(spark, sf):
     return W.partition_max_of({t: (X.read(spark, sf, t), c) for t, c in (("events", "ts"), ("lineitem", "l_shipdate"), ("orders", "o_orderdate"))})
 
 
+@query("SELECT 'loaded' AS \"table\", event_type AS model_name, max(ts) AS partition_max FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-30' GROUP BY event_type")
+def last_partition_max(spark, sf):
+    """The maxima of a table kept by model and day, of which only the last days are read."""
+    path, facts = Scratch(spark, "last").path(), _daily(spark, sf)
+    loads.reload_days(facts, _spans(facts, datetime(2024, 1, 8), datetime(2024, 1, 29, 23)), "model_name", "ts", path)
+    return W.last_partition_max(spark, {"loaded": (path, "load_model", "load_day", "ts")})
+
+
 def _event_models(spark, sf):
     rows = X.transitions(spark, sf)
     number = F.substring("model_name", 7, 2).cast("int")
@@ -931,3 +939,28 @@ SELECT 'orders' AS source, "check", CAST(failures AS BIGINT) AS failures, CASE W
 )
 def check_sources(spark, sf):
     return K.check_sources(X.read(spark, sf, "orders"), "orders", ["o_custkey", "o_orderdate"], ["o_orderkey", "o_custkey"], {"o_orderdate": (datetime(2030, 1, 1), 30)})
+
+
+_CHECKED = {
+    "orders": [("not_null", "o_custkey"), ("unique", "o_orderkey"), ("unique", "o_custkey"), ("recent", "o_orderdate"), ("accepted", "o_orderstatus")],
+    "documents": [("not_null", "lang"), ("unique", "doc_id"), ("unique", "text"), ("unique", "source"), ("accepted", "lang")],
+}
+_SINCE, _VALUES = datetime(1997, 1, 1), ["F", "O", "en", "de"]
+_FAILURES = {
+    "not_null": "count(*) - count({c})",
+    "unique": "count({c}) - count(DISTINCT {c})",
+    "recent": f"CASE WHEN max({{c}}) >= TIMESTAMP '{_SINCE}' THEN 0 ELSE 1 END",
+    "accepted": "count(*) FILTER (WHERE {c} NOT IN ('F', 'O', 'en', 'de'))",
+}
+
+
+@query(
+    "SELECT *, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS source, '{kind}:{c}' AS check, CAST({_FAILURES[kind].format(c=c)} AS BIGINT) AS failures FROM {t}" for t, checks in _CHECKED.items() for kind, c in checks)
+    + ")"
+)
+def check_all(spark, sf):
+    """Ten checks of two sources in one job."""
+    rows = [(t, kind, c, _VALUES, _SINCE) for t, checks in _CHECKED.items() for kind, c in checks]
+    checks = spark.createDataFrame(rows, "source string, kind string, column string, values array<string>, since timestamp_ntz")
+    return K.check_all({t: X.read(spark, sf, t) for t in _CHECKED}, checks)

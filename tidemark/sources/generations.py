@@ -1,7 +1,7 @@
 """Partitioned tables that are swapped from one whole version to the next.
 
 ``data/generation=g/key=value/...``  the rows of one write, never changed afterwards
-``schemas/v=n``                      an empty table with the columns of version n
+``schemas/v=n.json``                 the columns of version n
 ``live/v=n``                         the partitions of version n: (folder, generation, rows) and the keys as text; complete, it makes the version
 
 A write stages its rows in a generation of its own and then publishes a new list of live partitions, which takes over the partitions that were not touched as references.  A
@@ -12,6 +12,7 @@ One writer a table is assumed.  An empty text in a key is read back as null, as
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.ledger_store import delete_folder, names, path_exists, versions
+from tidemark.sources.ledger_store import delete_folder, names, path_exists, read_text, versions, write_text
 
 #: How a null is written in a folder's name.
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
@@ -87,16 +88,16 @@ def publish(spark: SparkSession, staged: Staged, touched: Callable[[DataFrame],
     found = numbers(spark, staged.path)
     number = found[-1] + 1 if found else 0
     keys = list(staged.keys)
-    new = staged_partitions(spark, staged)
-    old = live(spark, staged.path, keys).select("folder", "generation", "rows", *keys)
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    kept = old.alias("o").join(new.alias("n"), same, "left_anti")
-    if touched is not None:
-        kept = kept.join(touched(old).select("folder"), "folder", "left_anti")
+    columns = ["folder", "generation", "rows", *keys]
+    old = live(spark, staged.path, keys).select(*columns)
+    if touched is not None and found:
+        old = old.join(touched(old).select("folder"), "folder", "left_anti")
+    # Of partitions with the same keys the newest generation's stays; a null key is a key.
+    both = old.unionByName(staged_partitions(spark, staged)).groupBy(*keys).agg(F.max_by(F.struct("folder", "generation", "rows"), "generation").alias("p"))
     for name, table in (notes or {}).items():
         table.write.mode("overwrite").parquet(f"{staged.path}/notes/{name}/v={number}")
-    spark.createDataFrame([], staged.schema).write.mode("overwrite").parquet(f"{staged.path}/schemas/v={number}")
-    kept.select(*new.columns).unionByName(new).hint("rebalance").write.mode("overwrite").parquet(f"{staged.path}/live/v={number}")
+    write_text(spark, f"{staged.path}/schemas/v={number}.json", staged.schema.json())
+    both.select("p.*", *keys).write.mode("overwrite").parquet(f"{staged.path}/live/v={number}")
     return number
 
 
@@ -114,7 +115,7 @@ def read_partitions(spark: SparkSession, path: str, where: Column | str | None =
     if not found and version is None and schema is not None:
         return spark.createDataFrame([], schema)
     rows = live(spark, path, [], version)
-    kind = spark.read.parquet(f"{path}/schemas/v={found[-1] if version is None else version}").schema
+    kind = T.StructType.fromJson(json.loads(read_text(spark, f"{path}/schemas/v={found[-1] if version is None else version}.json")))
     if where is not None:
         rows = rows.filter(where)
     if among is not None:
@@ -144,8 +145,8 @@ def expire(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     if not kept:
         return []
     for number in found[: -len(kept)]:
-        for part in ("live", "schemas"):
-            delete_folder(spark, f"{path}/{part}/v={number}")
+        delete_folder(spark, f"{path}/live/v={number}")
+        delete_folder(spark, f"{path}/schemas/v={number}.json")
         for name in names(spark, f"{path}/notes"):
             delete_folder(spark, f"{path}/notes/{name}/v={number}")
     # A row a generation: no more than there have been writes.

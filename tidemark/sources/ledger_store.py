@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file, in place of an older one."""
+    fs, at = _files(spark, path)
+    with closing(fs.create(at, True)) as out:
+        out.write(bytearray(text.encode()))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _files(spark, path)
+    with closing(fs.open(at)) as found:
+        return bytes(found.readAllBytes()).decode()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """The names directly under a folder; none if it is not there."""
     fs, at = _files(spark, path)

@@ -20,5 +20,5 @@ def odd(spark):
         (9, "don't  stop\n<|endoftext|> 'S 12345", "es", "a", 0),
     ]
     schema = "doc_id long, text string, lang string, source string, n_chars int"
-    clash = "score ids decoded kept keep_id class_id key size length piece sequence_id offset run __rank line licence path".split()
+    clash = "score ids decoded kept keep_id class_id key size length piece sequence_id offset run __rank line licence path __run __h64 __keep __size __kept __key __hash __score __marks __dir digest tree pos item part".split()
     return spark.createDataFrame(rows, schema).selectExpr("*", *[f"'mine' AS `{c}`" for c in clash])

@@ -112,3 +112,28 @@ def test_headers_and_whole_files(spark):
             assert r.name == "none" or r.name in r.licences
         else:
             assert {"MIT", "CC-BY-NC-4.0"} <= set(r.licences)
+
+
+def test_whole_texts_go_before_windows_and_lines(spark):
+    """Every full text gets its own name alone, under a line that reserves all rights, behind prose and without line breaks; the middle of one is not another."""
+    folder = Path(L.__file__).parent / "licence_texts"
+    prose = "\n".join(f"some words of prose {i % 7} and the like of it" for i in range(40)) + "\n"
+    rows = []
+    for path in sorted(folder.glob("*.txt")):
+        name, text = path.stem, path.read_text()
+        rows.append((name, 0, text))
+        if len(text) < 9000:
+            rows += [(name, None, "Copyright (c) 2020 Foo.\nAll rights reserved.\n\n" + text), (name, None, prose + text), (name, 0, text.replace("\n", " "))]
+    middle = "\n".join((folder / "MPL-2.0.txt").read_text().split("\n")[120:200])
+    rows += [("MPL-2.0", None, prose * 6 + middle), ("Proprietary", 0, "Copyright (c) 2020 Foo. All rights reserved.")]
+    rows += [("none", None, prose + str(i)) for i in range(30)]
+    clash = "marks found present blocks hit folder above given __marks __dir __hit".split()
+    frame = spark.createDataFrame(rows, "name string, at int, text string").selectExpr("*", "'a/b' AS path", *[f"'mine' AS {c}" for c in clash])
+    scanned = L.scan(frame)
+    assert set(clash) <= set(L.inherit(scanned.limit(1), F.lit(True)).columns)
+    got = scanned.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.own_licence or "none") == r.name, (r.name, r.own_licence, r.score, r.line, r.text[:60])
+        assert r.at is None or r.line == r.at, (r.name, r.line)
+        assert all(r[c] == "mine" for c in clash)

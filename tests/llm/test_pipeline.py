@@ -51,6 +51,7 @@ def test_odd_rows_through_all_stages(spark, small, odd, empty):
             assert all(np.isfinite(r.sequence_id) for r in rows)
         else:
             assert out.columns == docs.columns
+            assert all(r[c] == "mine" for r in rows for c in docs.columns[5:])
 
 
 def test_run(spark, small):

@@ -89,8 +89,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z.  See :func:`mark_copies` for nulls, ties and repeated rows.
     """
-    marked = mark_copies(docs, ascii_lower(F.col("text")), "doc_id", keep)
-    return marked.filter("__kept").select(*docs.columns)
+    # A row goes as one value, so no name of its columns can meet one of ours.
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
+    return mark_copies(packed, ascii_lower(F.col("row.text")), "id", keep).filter("__kept").select("row.*")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

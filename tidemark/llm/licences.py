@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import unused
 from tidemark.scratch import Scratch
 
 #: A line is a licence notice from this cosine on.
@@ -66,8 +67,14 @@ You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ("CC0-1.0", "CC0 1.0 Universal"),
     *[(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in TEMPLATES if spdx != "Proprietary"],
 ]
-#: Full texts with more terms than this are compared with whole files, and their opening of so many terms with windows; shorter ones with windows.
-LONG, OPENING = 400, 120
+#: A window or file is a full text, or part of one, from this cosine on: legal prose shares much of its vocabulary.
+FULL = 0.85
+#: Full texts are compared with windows in consecutive parts of about so many terms, so whatever holds twice as many in a row holds a part.
+PART = 200
+#: Of headers with so many terms a match counts as much as one with part of a full text.
+TELLING_HEADER = 30
+#: What decides between matches, before their scores: "all rights reserved" stands over most licences and means something only alone.
+RESERVED, SHORT, NOTICE, STRETCH, WHOLE = range(5)
 _SENTENCE = r"(?<=[.!?:;])\s+"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.\w+)?$"
 _SEPARATOR = "[^a-z0-9]+"
@@ -104,66 +111,73 @@ def vectors(idf: dict[str, float], templates: dict[str, str]) -> dict[str, dict[
 
 
 @cache
-def texts() -> tuple[tuple[str, str, bool], ...]:
-    """(licence, text, whole): what windows (or whole files, if ``whole``) are compared with besides single lines with TEMPLATES."""
-    out = [(name, text, False) for name, text in [*TEMPLATES.items(), *HEADERS]]
+def texts() -> tuple[tuple[str, str, float, int], ...]:
+    """(licence, text, threshold, order): what windows (or whole files, if ``order`` is WHOLE) are compared with besides single lines with TEMPLATES."""
+    out = [(name, text, THRESHOLD, RESERVED if name == "Proprietary" else STRETCH if len(terms(text)) >= TELLING_HEADER else SHORT) for name, text in [*TEMPLATES.items(), *HEADERS]]
     for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
         text = path.read_text()
         words = terms(text)
-        out += [(path.stem, " ".join(words[:OPENING]), False), (path.stem, text, True)] if len(words) > LONG else [(path.stem, text, False)]
+        parts = max(1, round(len(words) / PART))
+        cuts = [len(words) * k // parts for k in range(parts + 1)]
+        out += [(path.stem, text, FULL, WHOLE), *((path.stem, " ".join(words[a:b]), FULL, STRETCH) for a, b in zip(cuts, cuts[1:], strict=False))]
     return tuple(out)
 
 
-def block_matches(text: Column, marks: Column, present: Column, idf: dict[str, float], threshold: float) -> Column:
-    """array of struct(score, back, licence): every window of consecutive lines or sentences that reaches ``threshold`` with a text, and the whole text with a full one.
+def block_matches(text: Column, marks: Column, present: Column, idf: dict[str, float]) -> Column:
+    """array of struct(order, score, back, licence): every window of consecutive lines or sentences that reaches the threshold of a text, and the whole file where it reaches that of a full one.
 
     A window begins with a line or sentence and has as many terms as the text it is compared with, so its own norm decides, not that of what surrounds it.
     Texts of which the file has no telling term (``marks``), or of which its terms (``present``) have too little for any window to reach the threshold, are left out (exact bounds).
+    The file's terms are one array, of which a window is a slice, so work follows the length of the file.
     """
-    of = vectors(idf, {str(k): t for k, (_, t, _) in enumerate(texts())})
-    rows = [{"licence": name, "m": len(terms(t)), "whole": whole, "u": of[str(k)]} for k, (name, t, whole) in enumerate(texts())]
-    every = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,m:int,whole:boolean,u:map<string,double>>>")
+    of = vectors(idf, {str(k): t for k, (_, t, _, _) in enumerate(texts())})
+    rows = [{"licence": name, "m": len(terms(t)), "least": least, "order": order, "u": of[str(k)]} for k, (name, t, least, order) in enumerate(texts())]
+    every = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,m:int,least:double,order:int,u:map<string,double>>>")
     weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
     other = sum(idf.values()) / max(1, len(idf))
     of_term: dict[str, list[int]] = {}
-    for k in range(len(rows)):
-        for t in telling({"": of[str(k)]}, idf, threshold):
+    for k, (_, _, least, _) in enumerate(texts()):
+        for t in telling({"": of[str(k)]}, idf, least):
             of_term.setdefault(t, []).append(k)
     told = F.from_json(F.lit(json.dumps([{"t": t, "of": of} for t, of in sorted(of_term.items())])), "array<struct<t:string,of:array<int>>>")
     asked = F.array_distinct(F.flatten(F.transform(F.filter(told, lambda x: F.array_contains(marks, x["t"])), lambda x: x["of"])))
     reach = lambda t: F.aggregate(present, F.lit(0.0), lambda s, x: s + F.pow(F.coalesce(t["u"][x], F.lit(0.0)), F.lit(2.0)))
-    wanted = F.filter(F.transform(asked, lambda k: F.get(every, k)), lambda t: reach(t) >= threshold**2 - 1e-9)
+    wanted = F.filter(F.transform(asked, lambda k: F.get(every, k)), lambda t: reach(t) >= F.pow(t["least"], F.lit(2.0)) - 1e-9)
 
-    def weighed_units(own: Column) -> Column:
-        weighed = lambda s: F.transform(tokens(s), lambda t: F.struct(t.alias("t"), F.coalesce(own[t], F.lit(other)).alias("w")))
-        lines = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.split(line, _SENTENCE), lambda s: F.struct((-i).alias("back"), weighed(s).alias("t"))))
-        return F.filter(F.flatten(lines), lambda x: F.size(x["t"]) > 0)
+    def weighed_terms(own: Column) -> Column:
+        weighed = lambda s, i, j: F.transform(tokens(s), lambda t, k: F.struct(t.alias("t"), F.coalesce(own[t], F.lit(other)).alias("w"), F.when(k == 0, -i).alias("back")))
+        return F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.flatten(F.transform(F.split(line, _SENTENCE), lambda s, j: weighed(s, i, j)))))
 
     # Terms are looked up among the file's own.
     own = F.map_from_arrays(present, F.transform(present, lambda x: weight[x]))
-    units = F.element_at(F.transform(F.array(own), weighed_units), 1)
+    weighed = F.element_at(F.transform(F.array(own), weighed_terms), 1)
 
     def cosine(window: Column, t: Column) -> Column:
         def measured(v: Column) -> Column:
             total = F.aggregate(v["x"], F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-            norm = F.sqrt(F.aggregate(v["x"], F.lit(0.0), lambda s, x: s + x["w"] * x["w"] * F.size(F.filter(v["x"], lambda y: y["t"] == x["t"]))))
+            counts = lambda x: F.size(F.filter(v["x"], lambda y: y["t"] == x["t"]))
+            once = F.transform(F.array_distinct(F.transform(v["x"], lambda x: F.struct(x["t"].alias("t"), x["w"].alias("w")))), lambda x: x["w"] * counts(x))
+            norm = F.sqrt(F.aggregate(once, F.lit(0.0), lambda s, w: s + w * w))
             # Repeated terms only lengthen a window, so most are told by the shorter length.
-            return F.when((v["dot"] > 0) & (v["dot"] >= (threshold - 1e-9) * F.sqrt(total)), F.round(v["dot"] / norm, 9)).otherwise(F.lit(0.0))
+            return F.when((v["dot"] > 0) & (v["dot"] >= (t["least"] - 1e-9) * F.sqrt(total)), F.round(v["dot"] / norm, 9)).otherwise(F.lit(0.0))
 
         dot = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y["w"] * F.coalesce(t["u"][y["t"]], F.lit(0.0)))
         return F.element_at(F.transform(F.transform(F.array(window), lambda x: F.struct(x.alias("x"), dot(x).alias("dot"))), measured), 1)
 
     def matches(pair: Column) -> Column:
-        stretch = lambda k, m: F.slice(F.flatten(F.transform(F.slice(pair["units"], k, m), lambda x: x["t"])), 1, m)
+        match = lambda window, t, back: F.struct(t["order"].alias("order"), cosine(window, t).alias("score"), back.alias("back"), t["licence"].alias("licence"))
 
         def of_one(t: Column) -> Column:
-            windows = F.transform(pair["units"], lambda x, k: F.struct(cosine(stretch(k + 1, t["m"]), t).alias("score"), x["back"].alias("back"), t["licence"].alias("licence")))
-            whole = F.array(F.struct(cosine(F.flatten(F.transform(pair["units"], lambda x: x["t"])), t).alias("score"), F.lit(0).alias("back"), t["licence"].alias("licence")))
-            return F.filter(F.when(t["whole"], whole).otherwise(windows), lambda x: x["score"] >= threshold)
+            begins = F.filter(F.transform(pair["terms"], lambda x, k: F.struct(x["back"].alias("back"), k.alias("k"))), lambda b: b["back"].isNotNull())
+            windows = F.transform(begins, lambda b: match(F.slice(pair["terms"], b["k"] + 1, t["m"]), t, b["back"]))
+            return F.filter(F.when(t["order"] == WHOLE, F.array(match(pair["terms"], t, F.lit(0)))).otherwise(windows), lambda x: x["score"] >= t["least"])
 
-        return F.flatten(F.transform(pair["wanted"], of_one))
+        # A file that is a licence as a whole is that licence: its parts are not looked for in it.
+        whole = F.flatten(F.transform(F.filter(pair["wanted"], lambda t: t["order"] == WHOLE), of_one))
+        parts = lambda found: F.flatten(F.transform(F.filter(pair["wanted"], lambda t: t["order"] != WHOLE), of_one))
+        return F.element_at(F.transform(F.array(whole), lambda found: F.when(F.size(found) > 0, found).otherwise(parts(found))), 1)
 
-    held = F.transform(F.array(wanted), lambda w: F.struct(w.alias("wanted"), F.when(F.size(w) > 0, units).alias("units")))
+    held = F.transform(F.array(wanted), lambda w: F.struct(w.alias("wanted"), F.when(F.size(w) > 0, weighed).alias("terms")))
     return F.flatten(F.transform(F.filter(held, lambda h: F.size(h["wanted"]) > 0), matches))
 
 
@@ -200,42 +214,46 @@ def best_match(line: Column, idf: dict[str, float], units: dict[str, dict[str, f
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` with ``own_licence``, its ``score`` and ``line`` (from 0), and ``licences``, all that pass, the best first.
 
-    The own licence is that of the best line near a notice of ``templates``, or else of the best window or whole text near one of ``texts()``.
+    The own licence is that of the full text that the file as a whole is, else of the best window near part of a full text or a long header, else of the best line near a notice of
+    ``templates``, else of the best window near a name or tag; "Proprietary" only where nothing else passes.  A whole file's match stands on line 0.
 
     The counts take one pass and the scan another; neither shuffles texts, and a line is only scored if it has a term without which it cannot match.
-    Of equal scores the first line wins, then the last name in alphabetical order.  Null and empty texts have no licence; columns with these names are replaced.
+    Of equal scores the first line wins, then the last name in alphabetical order.  Null and empty texts have no licence; columns with these four names are replaced, and others
+    stay, whatever their names.
     """
-    wide = weights(files, templates | {f"{k} of texts": t for k, (_, t, _) in enumerate(texts())})
-    of_texts = {t: wide[t] for _, text, _ in texts() for t in terms(text)}
+    wide = weights(files, templates | {f"{k} of texts": t for k, (_, t, _, _) in enumerate(texts())})
+    of_texts = {t: wide[t] for _, text, _, _ in texts() for t in terms(text)}
     idf = {t: wide[t] for t in sorted({t for text in templates.values() for t in terms(text)})}
     units = vectors(idf, templates)
-    longer = telling(vectors(of_texts, {str(k): t for k, (_, t, _) in enumerate(texts())}), of_texts, threshold)
+    vectored = vectors(of_texts, {str(k): t for k, (_, t, _, _) in enumerate(texts())})
+    longer = {t for k, (_, _, least, _) in enumerate(texts()) for t in telling({"": vectored[str(k)]}, of_texts, least)}
     words = lambda of: F.split(F.lit(" ".join(sorted(of))), " ")
     told = telling(units, idf, threshold)
     needed = words(told)
     files = files.drop("own_licence", "score", "line", "licences")
+    marks, found, present, blocks, hit = unused(["marks", "found", "present", "blocks", "hit"], [*files.columns, "own_licence", "score", "line", "licences"])
     text = F.coalesce("text", F.lit(""))
     split = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), tokens(line).alias("t")))
     marked = F.filter(split, lambda x: F.arrays_overlap(x["t"], needed))
     scored = F.transform(marked, lambda x: F.struct(best_match(x["t"], idf, units).alias("m"), (-x["i"]).alias("back")))
-    best = F.array_max(F.transform(scored, lambda x: F.struct(x["m"]["score"].alias("score"), x["back"].alias("back"), x["m"]["licence"].alias("licence"))))
+    of_line = lambda x: F.struct(F.when(x["m"]["licence"] == "Proprietary", RESERVED).otherwise(NOTICE).alias("order"), x["m"]["score"].alias("score"), x["back"].alias("back"), x["m"]["licence"].alias("licence"))
     # Only files with such a term anywhere are taken apart.
-    hit = F.when(F.arrays_overlap("__marks", needed), best)
-    present = F.when(F.arrays_overlap("__marks", words(longer)), F.array_intersect(tokens(text), words(of_texts)))
-    blocks = F.when(F.col("__present").isNotNull(), block_matches(text, F.col("__marks"), F.col("__present"), of_texts, threshold))
-    line = F.when(F.col("__line.score") >= threshold, F.col("__line"))
-    ranked = F.reverse(F.array_sort(F.concat(F.array_compact(F.array("__line")), F.coalesce("__blocks", F.array().cast("array<struct<score:double,back:int,licence:string>>")))))
-    passed = F.col("__hit").isNotNull()
+    lines = F.when(F.arrays_overlap(marks, needed), F.array_max(F.filter(F.transform(scored, of_line), lambda x: x["score"] >= threshold)))
+    held = F.when(F.arrays_overlap(marks, words(longer)), F.array_intersect(tokens(text), words(of_texts)))
+    windows = F.when(F.col(present).isNotNull(), block_matches(text, F.col(marks), F.col(present), of_texts))
+    none = F.array().cast("array<struct<order:int,score:double,back:int,licence:string>>")
+    ranked = F.reverse(F.array_sort(F.concat(F.array_compact(F.array(found)), F.coalesce(blocks, none))))
+    passed = F.col(hit).isNotNull()
     return (
-        files.withColumn("__marks", F.array_intersect(tokens(text), words({*told, *longer})))
-        .withColumn("__line", hit)
-        .withColumn("__line", line)
-        .withColumn("__present", present)
-        .withColumn("__blocks", blocks)
-        .withColumns({"__hit": F.coalesce("__line", F.array_max("__blocks")), "licences": F.array_distinct(F.transform(ranked, lambda x: x["licence"]))})
-        .drop("__marks", "__line", "__present", "__blocks")
-        .withColumns({"own_licence": F.when(passed, F.col("__hit.licence")), "score": F.when(passed, F.col("__hit.score")), "line": F.when(passed, -F.col("__hit.back"))})
-        .drop("__hit")
+        files.withColumn(marks, F.array_intersect(tokens(text), words({*told, *longer})))
+        .withColumn(found, lines)
+        .withColumn(present, held)
+        .withColumn(blocks, windows)
+        .withColumn("licences", ranked)
+        .withColumn(hit, F.get("licences", F.lit(0)))
+        .withColumn("licences", F.array_distinct(F.transform("licences", lambda x: x["licence"])))
+        .withColumns({"own_licence": F.when(passed, F.col(f"{hit}.licence")), "score": F.when(passed, F.col(f"{hit}.score")), "line": F.when(passed, -F.col(f"{hit}.back"))})
+        .drop(marks, found, present, blocks, hit)
     )
 
 
@@ -250,29 +268,30 @@ def inherit(scanned: DataFrame, licence_file: Column) -> DataFrame:
     """
     scanned = scanned.drop("licence", "inherited_from", "kind")
     parts = F.split("path", "/")
-    placed = scanned.withColumn("__dir", F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).when(F.col("path").isNotNull(), F.lit("")))
+    folder, above, given = unused(["folder", "above", "given"], [*scanned.columns, "licence", "inherited_from", "kind"])
+    placed = scanned.withColumn(folder, F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).when(F.col("path").isNotNull(), F.lit("")))
     licensed = (
-        placed.filter(licence_file & F.col("own_licence").isNotNull() & F.col("__dir").isNotNull())
-        .groupBy("__dir")
+        placed.filter(licence_file & F.col("own_licence").isNotNull() & F.col(folder).isNotNull())
+        .groupBy(folder)
         .agg(F.max(F.struct("score", "own_licence")).alias("m"))
-        .select(F.col("__dir").alias("__above"), F.col("m.own_licence").alias("__given"))
+        .select(F.col(folder).alias(above), F.col("m.own_licence").alias(given))
     )
-    up = F.split("__dir", "/")
-    every = F.transform(F.sequence(F.lit(0), F.size(up)), lambda k: F.struct(k.alias("__depth"), F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(up, 1, k), "/")).alias("__above")))
-    ancestors = placed.filter(F.col("own_licence").isNull() & F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.inline(F.array_distinct(every)))
-    nearest = ancestors.join(licensed, "__above").groupBy("__dir").agg(F.max(F.struct("__depth", "__above", "__given")).alias("n")).select("__dir", "n.__above", "n.__given")
-    joined = placed.join(nearest, "__dir", "left")
+    up = F.split(folder, "/")
+    every = F.transform(F.sequence(F.lit(0), F.size(up)), lambda k: F.struct(k.alias("__depth"), F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(up, 1, k), "/")).alias(above)))
+    ancestors = placed.filter(F.col("own_licence").isNull() & F.col(folder).isNotNull()).select(folder).distinct().select(folder, F.inline(F.array_distinct(every)))
+    nearest = ancestors.join(licensed, above).groupBy(folder).agg(F.max(F.struct("__depth", above, given)).alias("n")).select(folder, f"n.{above}", f"n.{given}")
+    joined = placed.join(nearest, folder, "left")
     missing = F.col("own_licence").isNull()
     return joined.select(
         *scanned.columns,
-        F.coalesce("own_licence", "__given").alias("licence"),
-        F.when(missing, F.col("__above")).alias("inherited_from"),
-        F.when(~missing, "own").when(F.col("__given").isNotNull(), "inherited").otherwise("none").alias("kind"),
+        F.coalesce("own_licence", given).alias("licence"),
+        F.when(missing, F.col(above)).alias("inherited_from"),
+        F.when(~missing, "own").when(F.col(given).isNotNull(), "inherited").otherwise("none").alias("kind"),
     )
 
 
 def op5_licence_scan(spark, sf_dir: str) -> DataFrame:
-    """Scans ``documents`` laid out in folders of 64 below folders of 4096 below their source; a document that a notice heads is a licence file of its folder."""
+    """Scans ``documents`` laid out in folders of 64 below folders of 4096 below their source; a document that is a licence as a whole or that a notice heads is a licence file of its folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), folder(4096), folder(64), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))

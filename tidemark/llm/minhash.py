@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import blocks
 from tidemark.llm.components import components
 from tidemark.llm.textvec import mix, multiset, shingles
+from tidemark.llm.names import unused
 from tidemark.scratch import Scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -258,9 +259,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents that represent their near-duplicate class, with the columns they came with; see :func:`near_groups`."""
-    kept = near_groups(docs).filter("kept").select(F.col("key").alias("__key"), F.col("hash").alias("__hash")).distinct()
-    named = docs.withColumns({"__key": key_of(docs), "__hash": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
-    return named.join(kept, ["__key", "__hash"], "left_semi").select(*docs.columns)
+    key, hashed = unused(["key", "hash"], docs.columns)
+    kept = near_groups(docs).filter("kept").select(F.col("key").alias(key), F.col("hash").alias(hashed)).distinct()
+    named = docs.withColumns({key: key_of(docs), hashed: F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    return named.join(kept, [key, hashed], "left_semi").select(*docs.columns)
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

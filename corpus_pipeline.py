@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, minhash, packing, quality, toxicity
+from tidemark.llm.names import unused
 from tidemark.scratch import Scratch
 
 
@@ -23,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are scored like others, and so stay or go; rows with one text stay or go together, whatever their ids, null ones too; a score at the cut stays.
     """
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "__score").filter(F.col("__score") >= quality.CUT).drop("__score")
+    (score,) = unused(["score"], docs.columns)
+    return toxicity.score(docs, model, score).filter(F.col(score) >= quality.CUT).drop(score)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are scored like others, and so stay or go; rows with one text stay or go together, whatever their ids, null ones too; a score at the cut goes.
     """
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "__score").filter(F.col("__score") < toxicity.CUT).drop("__score")
+    (score,) = unused(["score"], docs.columns)
+    return toxicity.score(docs, model, score).filter(F.col(score) < toxicity.CUT).drop(score)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -568,26 +568,24 @@ def rerun_chunks(spark, sf):
     return read_partitions(spark, path).groupBy("model_name", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-_KEPT = "SELECT model_name, chunk_id, l_orderkey, l_linenumber FROM loaded"
+_KEPT = "SELECT event_type AS model_name, strftime(ts, '%Y-%m-%d') AS chunk_id, event_id FROM events"
 
 
 @query(
-    f"""{_LOADED} SELECT 'before' AS phase, * FROM ({_KEPT}) UNION ALL SELECT 'killed', * FROM ({_KEPT}) UNION ALL SELECT 'after', * FROM ({_KEPT} WHERE l_linenumber > 1 OR CAST(model_name AS INT) % 2 = 1)
+    f"""SELECT 'before' AS phase, * FROM ({_KEPT}) UNION ALL SELECT 'killed', * FROM ({_KEPT}) UNION ALL SELECT 'after', * FROM ({_KEPT}) WHERE event_id % 2 = 1 OR model_name NOT IN ('view', 'click')
 UNION ALL SELECT 'old version', * FROM ({_KEPT})"""
 )
 def killed_write(spark, sf):
     """A write that is killed after its data and before the swap leaves the table as it was; done again, it replaces its chunks, and the version before can still be read."""
     path = Scratch(spark, "killed").path()
-    units = Scratch(spark, "units").table(windows.chunk_units(_run_plan(spark, sf, "full")))
-    rows = loads.assign_chunks(X.facts(spark, sf), units, "model_name", "ts")
-    seen = lambda phase, version=None: read_partitions(spark, path, version=version).select(F.lit(phase).alias("phase"), "model_name", "chunk_id", "l_orderkey", "l_linenumber")
+    rows = X.read(spark, sf, "events").select(F.col("event_type").alias("model_name"), F.date_format("ts", "yyyy-MM-dd").alias("chunk_id"), "event_id")
+    seen = lambda phase, version=None: read_partitions(spark, path, version=version).select(F.lit(phase).alias("phase"), "model_name", "chunk_id", "event_id")
     first = chunks.write_chunks(rows, path)
     before = seen("before")
-    even = F.col("model_name").cast("int") % 2 == 0
-    again = rows.filter(even & (F.col("l_linenumber") > 1))
+    ours = rows.filter(F.col("model_name").isin("view", "click"))
+    again, ran = ours.filter("event_id % 2 = 1"), ours.select("model_name", "chunk_id").distinct()
     stage(again, path, ["model_name", "chunk_id"])
     killed = seen("killed")
-    ran = units.filter(even).select("model_name", "chunk_id")
     publish(spark, stage(again, path, ["model_name", "chunk_id"]), lambda parts: parts.join(ran, ["model_name", "chunk_id"], "left_semi"))
     expire(spark, path, keep=2)
     return before.unionByName(killed).unionByName(seen("after")).unionByName(seen("old version", first))

@@ -180,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    """A score for every document; see :func:`tidemark.llm.toxicity.score` and :func:`learn` for nulls, empty and repeated rows and empty tables."""
+    """A score for every document; see :func:`tidemark.llm.toxicity.score` and :func:`learn` for nulls, empty and repeated rows and empty tables.  ``held_out`` of a null doc_id is null: it is in no fold and is not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(

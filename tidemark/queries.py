@@ -17,7 +17,7 @@ from tidemark.plans import loads, windows
 from tidemark.scratch import Scratch
 from tidemark.sources import chunks, compaction, ledger_store
 from tidemark.sources.generations import expire, publish, read_partitions, stage
-from tidemark.streaming import maintained
+from tidemark.streaming import heartbeats, maintained
 from tidemark.streaming.upserts import stream_upsert_status
 
 QUERIES: dict = {}
@@ -176,6 +176,23 @@ def sweep_crashed(spark, sf):
     return L.sweep_crashed(X.ledger(spark, sf), NOW)
 
 
+@query(
+    f"""WITH {X.LEDGER}, {_OPEN}, seen AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 60 MINUTE AS watermark FROM events)
+SELECT model_name, execution_ts, 'crashed' AS status, date_trunc('milliseconds', heartbeat_at) + INTERVAL 240 MINUTE AS updated_at, run_group_id, chunk_key
+FROM open_rows, seen WHERE date_trunc('milliseconds', heartbeat_at) < watermark - INTERVAL 240 MINUTE"""
+)
+def stream_crashes(spark, sf):
+    """Timers over a stream of all transitions, stopped half-way and taken up again."""
+    scratch = Scratch(spark, "crashes")
+    log, path, checkpoint = scratch.path("log"), scratch.path("crashes"), scratch.path("checkpoint")
+    rows, first = X.transitions(spark, sf), F.col("execution_ts") < "2024-01-16"
+    for half in (first, ~first):
+        ledger_store.append_transitions(rows.filter(half), log)
+        stream = spark.readStream.schema(ledger_store.LEDGER).parquet(log)
+        heartbeats.stream_crashes(spark, stream, path, checkpoint).awaitTermination()
+    return spark.read.schema(ledger_store.LEDGER).parquet(path).select("model_name", "execution_ts", "status", "updated_at", "run_group_id", "chunk_key")
+
+
 _LOSERS = """mine AS (SELECT model_name, run_group_id, min(updated_at) AS mine FROM ledger WHERE status = 'started' GROUP BY ALL),
 losers AS (SELECT m.model_name, m.run_group_id, arg_min(f.run_group_id, (f.updated_at, f.run_group_id)) AS winner FROM mine m JOIN open_rows f
   ON f.model_name = m.model_name AND f.run_group_id <> m.run_group_id AND (f.updated_at < m.mine OR (f.updated_at = m.mine AND f.run_group_id < m.run_group_id)) GROUP BY ALL)"""

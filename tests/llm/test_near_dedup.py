@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.llm import embedding_dedup as E
 from tidemark.llm import minhash as M
+from tidemark.llm import skew as S
 from tidemark.llm.components import components
 from tidemark.scratch import Scratch
 from tests.conftest import DATA
@@ -52,6 +53,24 @@ def test_components(spark):
     assert components(scratch, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hot keys by broadcast and the others by a shuffle, on stars, chains of hubs and strays."""
+    monkeypatch.setattr(S, "SHARE", 20)
+    pairs = [(1000, i) for i in range(300)] + [(999, 1000)] + [(2000, i) for i in range(3000, 3050)] + [(i, i + 1) for i in range(4000, 4040)]
+    got = {x.node: x.component for x in components(Scratch(spark, "test"), spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == classes({n for p in pairs for n in p}, pairs)
+
+
+def test_join_hot(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 3)
+    rows = spark.createDataFrame([(k, i) for i in range(60) for k in [0 if i % 2 else i, None if i == 7 else 1]], "k long, i long")
+    told = rows.groupBy("k").agg(M.F.count(M.F.lit(1)).alias("n"), M.F.max("i").alias("most"))
+    got = S.join_hot(rows, told.filter("k IS NULL OR k <> 4"), ["k"], rows.count())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(told, "k").filter("k <> 4").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(2)
     a = r.integers(1, 2**63, 600).astype(np.uint64)
@@ -82,6 +101,13 @@ def test_documents(spark, small):
     assert {x.doc_id: x.class_id for x in got} == expected
     sizes = {c: sum(v == c for v in expected.values()) for c in expected.values()}
     assert all(x.class_size == sizes[x.class_id] and x.kept == (x.doc_id == x.class_id) for x in got)
+    whole = texts | dict(extra)
+    for x in got:
+        assert (x.link_id is None) == (x.similarity is None) == (x.class_size == 1)
+        if x.link_id is not None:
+            a, b = shingled(whole[x.doc_id]), shingled(whole[x.link_id])
+            assert x.link_id != x.doc_id and expected[x.link_id] == x.class_id
+            assert x.similarity == (1.0 if a == b else (a & b).total() / (a | b).total()) >= 0.8
 
 
 def test_weights_count(spark):
@@ -118,6 +144,23 @@ def test_loose_group(spark):
     assert got == brute(texts)
 
 
+def test_crowded_buckets_are_dealt(spark, monkeypatch):
+    """The same with buckets dealt over many tasks and with hot and other keys joined in both ways."""
+    monkeypatch.setattr(M, "DEALT", 8)
+    monkeypatch.setattr(S, "SHARE", 12)
+    r = np.random.default_rng(5)
+    texts = {}
+    for group, members in enumerate([90, 30, 4, 2]):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for _ in range(members):
+            words = list(base)
+            for at in r.choice(120, r.integers(1, 6), replace=False):
+                words[at] = f"x{r.integers(40)}"
+            texts[len(texts)] = " ".join(words)
+    got = {x.doc_id: x.class_id for x in M.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+
+
 def test_bitmaps_bound_what_sets_do_not_share(spark):
     r = np.random.default_rng(3)
     rows, truth = [], []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.skew import join_hot
 from tidemark.scratch import Scratch
 
 
@@ -12,20 +13,24 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
 
     Every round a node takes the smallest label among its neighbours and then the label of its label, so
-    chains halve in each round.  Rounds are written to the shared folder; nothing but a count of changes comes to the driver.
+    chains halve in each round.  A node with very many links, and a label that very many nodes have come to share, are
+    joined without a shuffle (:func:`tidemark.llm.skew.join_hot`).  Rounds are written to the shared folder; only counts come to the driver.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u <> v").distinct()
     edges = scratch.table(both, "edges")
-    labels = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    # Every link is there from both ends, so a node has as many rows as "v" as it has neighbours.
+    labels = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), "degree"), "labels")
+    n_edges, n_nodes = edges.count(), labels.count()
     while True:
-        near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = join_hot(edges, labels.select(F.col("node").alias("v"), "label", "degree"), ["v"], n_edges, "degree").groupBy("u").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"), "degree")
         step = scratch.table(step, "step")
-        jump = step.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        following = scratch.table(step.join(jump, step.label == jump.at).select("node", "was", F.least("label", "further").alias("label")), "labels")
+        used = step.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        jump = scratch.table(used.join(step.select(F.col("node").alias("label"), F.col("label").alias("further")), "label"), "jump")
+        following = scratch.table(join_hot(step, jump, ["label"], n_nodes).select("node", "was", F.least("label", "further").alias("label"), "degree"), "labels")
         changed = following.filter("label <> was").limit(1).count()
-        scratch.drop(step)
-        scratch.drop(labels)
+        for old in (step, jump, labels):
+            scratch.drop(old)
         labels = following
         if not changed:
             scratch.drop(edges)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import blocks
 from tidemark.llm.components import components
 from tidemark.llm.names import unused
+from tidemark.llm.skew import join_hot
 from tidemark.llm.textvec import mix, multiset, shingles
 from tidemark.scratch import Scratch
 
@@ -21,6 +22,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Texts compared with one pivot in one group.
 TOGETHER = 128
+#: Members of a crowded bucket that one task holds against its pivots.
+DEALT = 1024
 #: Pivots of a bucket in the rounds before it compares all that are outside its largest component.
 PIVOTS = (8, 64)
 # Poisson(1): a cell's uniform hash is compared with these to get its number of darts.
@@ -181,7 +184,7 @@ def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Each row's ``doc_id`` and ``key`` with ``hash``, ``class_id``, ``class_size`` and ``kept``.
+    """Each row's ``doc_id`` and ``key`` with ``hash``, ``class_id``, ``class_size`` and ``kept``, and one link of it: ``link_id`` and ``similarity``.
 
     Rows with one weighted shingle set are a unit.  Units that share a band value meet in a bucket.  A bucket's pivot is the member that meets most others over all
     its buckets.  At first every unit is compared with one pivot, that of most of its buckets, which joins large groups at the cost of one comparison a unit.  Then
@@ -192,7 +195,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Links are checked exactly, classes are their connected components and ``class_id`` is the smallest key in one.  A null text is empty; texts without words
     are one unit; a text of fewer than five words has one shingle, the text.  A null doc_id is named by its text.  Rows that repeat a doc_id with another text are
     documents of their own.  Of a class, ``kept`` is true for the row with the smallest key, then the smallest ``hash``; rows that repeat both are one document and
-    stay or go together.  An empty table gives an empty table; other columns are not used.
+    stay or go together.  ``link_id`` is the key of a document near this one: of an equal shingle set if there is another (1.0), else of the most similar one it was compared with,
+    else null.  An empty table gives an empty table; other columns are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -200,37 +204,42 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketches = scratch.table(sketch(rows), "sketch")
     first = [F.first(c).alias(c) for c in ("size", "parity", "bands")]
     # Written once, so the numbers stay.
-    units = scratch.table(sketches.groupBy("d1", "d2").agg(*first, F.min(F.struct("key", "hash")).alias("of")).withColumn("unit", F.monotonically_increasing_id()), "units")
-    members = units.filter("size > 0").select("unit", "size", F.posexplode("bands").alias("band", "value"))
-    crowded = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.table(members.join(crowded, ["band", "value"]), "crowded")
+    units = scratch.table(sketches.groupBy("d1", "d2").agg(*first, F.min(F.struct("key", "hash")).alias("of"), F.max(F.struct("key", "hash")).alias("last")).withColumn("unit", F.monotonically_increasing_id()), "units")
+    banded = scratch.table(units.filter("size > 0").select("unit", "size", F.posexplode("bands").alias("band", "value")), "banded")
+    crowded = scratch.table(banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
+    total = banded.count()
+    members = scratch.table(join_hot(banded, crowded, ["band", "value"], total), "several")
     meets = members.groupBy("unit").agg(F.sum("n").alias("meets"))
-    members = scratch.table(members.drop("n").join(meets, "unit"), "members")
+    # A crowded bucket is dealt over several tasks, to each of which its pivots are sent.
+    members = members.join(meets, "unit").withColumns({"parts": F.ceil(F.col("n") / DEALT).cast("int"), "part": F.pmod(F.xxhash64("unit"), F.ceil(F.col("n") / DEALT)).cast("int")}).drop("n")
+    members = scratch.table(members, "members")
     texts = rows.select(F.struct("key", "hash").alias("of"), "text").join(units.select("unit", "of").join(meets.select("unit"), "unit"), "of").dropDuplicates(["of"])
     texts = scratch.table(texts.select("unit", "text"), "texts")
     wide = (1 - threshold) / (1 + threshold) * (1 + 1e-9)
-    tested = classes = None
+    tested = classes = links = None
     for turn, pivots_each in enumerate([1, *PIVOTS, None]):
         grouped = members.withColumn("component", F.col("unit")) if classes is None else members.join(classes, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-        several = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b")).filter("__a <> __b").drop("__a", "__b")
-        grouped = scratch.table(grouped.join(several, ["band", "value"]), "open")
+        several = grouped.groupBy("band", "value").agg(F.min("component").alias("__a"), F.max("component").alias("__b"), F.count(F.lit(1)).alias("__n")).filter("__a <> __b").drop("__a", "__b")
+        several = scratch.table(several, "buckets")
+        grouped = scratch.table(join_hot(grouped, several, ["band", "value"], total, "__n").drop("__n"), "open")
         if grouped.isEmpty():
             break
         told = ["size", "component"] + ["parity"] * (turn > 0)
         if pivots_each:
-            best = F.max(F.struct("meets", (-F.col("unit")).alias("back"), *told)).alias("p")
+            best = F.max(F.struct("meets", (-F.col("unit")).alias("back"), *told, "parts")).alias("p")
             pivots = grouped.groupBy("band", "value", F.pmod(F.xxhash64("unit"), F.lit(pivots_each)).alias("salt")).agg(best).select("band", "value", (-F.col("p.back")).alias("unit"), "p.*")
         else:
             counts = grouped.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
-            largest = counts.groupBy("band", "value").agg(F.max(F.struct("n", "component")).alias("l")).select("band", "value", F.col("l.component").alias("most"))
-            pivots = grouped.join(largest, ["band", "value"]).filter("component <> most")
-        pivots = pivots.select(F.col("band").alias("p_band"), F.col("value").alias("p_value"), F.col("unit").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in ["meets", *told]])
+            largest = counts.groupBy("band", "value").agg(F.max(F.struct("n", "component")).alias("l"), F.sum("n").alias("__n")).select("band", "value", F.col("l.component").alias("most"), "__n")
+            pivots = join_hot(grouped, scratch.table(largest, "largest"), ["band", "value"], total, "__n").filter("component <> most")
+        pivots = pivots.select(F.col("band").alias("p_band"), F.col("value").alias("p_value"), F.col("unit").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in ["meets", *told, "parts"]])
         pivots = scratch.table(pivots, "pivots")
         # Sets as alike as the threshold have sizes as alike.
         reachable = (F.col("component") != F.col("p_component")) & (F.least("size", "p_size") >= F.lit(threshold * (1 - 1e-9)) * F.greatest("size", "p_size"))
         if turn:
             reachable &= apart(F.col("parity"), F.col("p_parity")) <= F.lit(wide) * (F.col("size") + F.col("p_size"))
-        met = grouped.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("value") == F.col("p_value")) & reachable)
+        sent = pivots.withColumn("p_part", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)))
+        met = grouped.join(sent, (F.col("band") == F.col("p_band")) & (F.col("value") == F.col("p_value")) & (F.col("part") == F.col("p_part")) & reachable)
         members = grouped.drop("component")
         if turn:
             pairs = met.select("pivot", "unit")
@@ -244,17 +253,31 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = scratch.table(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = scratch.table(checked(pairs.select("pivot", "unit"), texts, threshold), "links").select("a", "b")
+        found = scratch.table(checked(pairs.select("pivot", "unit"), texts, threshold), "links")
+        links = found if links is None else links.unionByName(found)
+        found = found.select("a", "b")
         now = pairs.select("low", "high")
         tested = now if tested is None else tested.unionByName(now)
         joined = found if classes is None else found.unionByName(classes.select(F.col("unit").alias("a"), F.col("component").alias("b")))
         classes = components(scratch, joined).withColumnRenamed("node", "unit")
-    named = units.select("d1", "d2", "unit")
+    named = units.select("d1", "d2", "unit", F.col("of").alias("first"), "last")
     named = named.withColumn("component", F.col("unit")) if classes is None else named.join(classes, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    named = named.join(closest(links, units), "unit", "left") if links is not None else named.withColumns({"other": F.lit(None).cast("long"), "similarity": F.lit(None).cast("double")})
     placed = scratch.table(sketches.select("doc_id", "key", "hash", "d1", "d2").join(named.drop("unit"), ["d1", "d2"]).drop("d1", "d2"), "placed")
     whole = placed.groupBy("component").agg(F.min(F.struct("key", "hash")).alias("of"), F.count(F.lit(1)).alias("class_size"))
-    kept = (F.col("key") == F.col("of.key")) & (F.col("hash") == F.col("of.hash"))
-    return placed.join(whole, "component").select("doc_id", "key", "hash", F.col("of.key").alias("class_id"), "class_size", kept.alias("kept"))
+    same = lambda of: (F.col("key") == F.col(f"{of}.key")) & (F.col("hash") == F.col(f"{of}.hash"))
+    alone = F.col("first") == F.col("last")
+    link = [F.when(~same("first"), F.col("first.key")).when(alone, F.col("other")).otherwise(F.col("last.key")).alias("link_id")]
+    link += [F.when(same("first") & alone, F.col("similarity")).otherwise(1.0).alias("similarity")]
+    return placed.join(whole, "component").select("doc_id", "key", "hash", F.col("of.key").alias("class_id"), "class_size", same("of").alias("kept"), *link)
+
+
+def closest(links: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, other, similarity): of each unit's links that were found, the most similar, named by its first document."""
+    both = links.select(F.col("a").alias("unit"), F.col("b").alias("to"), "similarity").unionByName(links.select(F.col("b").alias("unit"), F.col("a").alias("to"), "similarity"))
+    best = both.groupBy("unit").agg(F.max(F.struct("similarity", (-F.col("to")).alias("back"))).alias("b")).select("unit", (-F.col("b.back")).alias("to"), "b.similarity")
+    names = units.select(F.col("unit").alias("to"), F.col("of.key").alias("other"))
+    return best.join(names, "to").select("unit", "other", "similarity")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -153,3 +153,26 @@ def test_upsert_days_touches_only_its_days(spark, tmp_path):
     assert sorted(os.listdir(f"{path}/execution_ts=2026-06-05")) == before
     got = {(r.run_group_id, r.updated_at) for r in spark.read.schema(S.LEDGER).parquet(path).collect()}
     assert got == {("A", at(0)), ("B", at(9)), ("C", at(0)), ("D", at(9))}
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_incremental_bounds_reach_the_scan_of_any_time_type(spark, tmp_path, kind, zone, capsys):
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", zone)
+    hours = session.range(0, 24 * 30, 1, 4).selectExpr("id", f"CAST(timestamp_ntz'2024-03-01' + make_dt_interval(0, id) AS {kind}) AS ts")
+    hours.unionByName(session.sql(f"SELECT -1L AS id, CAST(NULL AS {kind}) AS ts")).write.parquet(f"{tmp_path}/hours")
+    table = session.read.parquet(f"{tmp_path}/hours")
+    low, high = datetime(2024, 3, 10, 1), datetime(2024, 3, 12, 2, 30)
+    got = W.incremental_filter(table, "ts", low, high)
+    plain = table.filter(f"CAST(ts AS timestamp_ntz) >= timestamp_ntz'{low}' AND CAST(ts AS timestamp_ntz) <= timestamp_ntz'{high}'")
+    assert sorted(got.collect()) == sorted(plain.collect()) != []
+    got.explain("formatted")
+    pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
+
+
+def test_incremental_bounds_may_be_columns_and_null(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1, date'2024-01-02', date'2024-01-01', date'2024-01-03'), (2, date'2024-01-04', date'2024-01-01', date'2024-01-03'), (3, date'2024-01-02', NULL, date'2024-01-03') AS t(id, day, low, high)")
+    assert [r.id for r in W.incremental_filter(frame, "day", "low", "high").collect()] == [1]
+    assert W.incremental_filter(frame.limit(0), "day", "low", "high").collect() == []

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import NTZ, as_column, execution_ts, resume_start, window_end
 from tidemark.sources.generations import live, read_partitions
@@ -87,8 +88,15 @@ def window_bounds(models: DataFrame, watermarks: DataFrame, maxima: DataFrame, e
 
 
 def incremental_filter(df: DataFrame, ts: str, start, end) -> DataFrame:
-    """Rows from ``start`` to ``end``, both included; with literals, partitions and row groups are pruned."""
-    return df.filter(F.col(ts).cast(NTZ).between(as_column(start), as_column(end)))
+    """Rows from ``start`` to ``end``, both included; with literals, partitions and row groups are pruned.
+
+    A date or a zoned timestamp is compared as a zone-less one, and its cast would keep the bounds from the scan; so bounds of its own type go before, wider by the day that a cast may shift.
+    """
+    low, high = as_column(start), as_column(end)
+    kind, day = df.select(F.col(ts)).schema[0].dataType, F.make_dt_interval(days=F.lit(1))
+    if isinstance(kind, T.DateType | T.TimestampType):
+        df = df.filter((F.col(ts) >= (low.cast(NTZ) - day).cast(kind)) & (F.col(ts) <= (high.cast(NTZ) + day).cast(kind)))
+    return df.filter(F.col(ts).cast(NTZ).between(low, high))
 
 
 def backfill_bounds_errors(requests: DataFrame, watermarks: DataFrame) -> DataFrame:

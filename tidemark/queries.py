@@ -318,6 +318,12 @@ def incremental_filter(spark, sf):
     return W.incremental_filter(X.read(spark, sf, "events").select("event_id", "ts"), "ts", datetime(2024, 1, 5), datetime(2024, 1, 19, 23, 59, 59))
 
 
+@query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-06' AND DATE '2024-01-19'")
+def incremental_filter_days(spark, sf):
+    """The bounds cut into days, and a day counts as its midnight."""
+    return W.incremental_filter(X.read(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("day")), "day", datetime(2024, 1, 5, 12), datetime(2024, 1, 19, 6)).select("event_id", F.col("day").cast("string").alias("day"))
+
+
 @query(
     f"""WITH {X.LEDGER}, {_WM}, req AS (SELECT 'model_' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS model_name, event_id, ts AS s, ts + to_days(CAST(event_id % 9 AS INT) - 2) AS e FROM events)
 SELECT req.model_name, event_id, (s > e) AS start_after_end, coalesce(e > watermark, FALSE) AS end_beyond_table, (s < TIMESTAMP '2024-01-04') AS start_before_first

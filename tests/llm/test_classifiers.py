@@ -113,3 +113,30 @@ def test_odd_rows(spark, odd):
             assert scored.columns == [*odd.columns, "s"]
             assert all(0 <= r.s <= 1 for r in scored.collect())
         assert X.score(odd.limit(0), module.learn(odd.limit(0), labels)).count() == 0
+
+
+def test_portions_bound_number_and_length():
+    from tidemark.llm.textvec import in_portions, portions
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 300):
+        sizes = rng.integers(0, 40, n)
+        sizes[rng.random(n) < 0.1] = 500
+        parts = portions(sizes, 9, 100)
+        assert [i for p in parts for i in range(p.start, p.stop)] == list(range(n))
+        assert all(p.stop - p.start <= 9 and (sizes[p].sum() <= 100 or p.stop - p.start == 1) for p in parts)
+        # No two neighbours would fit together.
+        assert all(b.stop - a.start > 9 or sizes[a.start : b.start + 1].sum() > 100 for a, b in zip(parts, parts[1:]))
+    texts = ["x" * k for k in (3, 1 << 20, 5, 0)]
+    assert [t for part in in_portions(texts) for t in part] == texts and len(in_portions(texts)) == 3
+
+
+def test_training_with_very_long_texts_is_bounded():
+    """One text is longer than all that a step takes at once; the classes are still told apart."""
+    from tidemark.llm import toxicity
+
+    texts = [("vile " if i % 2 else "kind ") * 40 + f"word{i % 7} " * 5 for i in range(160)]
+    texts[1], texts[2] = "vile day " * (toxicity.BATCH_WORDS // 2 + 10), "kind day " * (toxicity.BATCH_WORDS // 2 + 10)
+    labels = np.array([i % 2 for i in range(160)])
+    model = toxicity.train(texts, labels, epochs=3)
+    assert ((model.scores(texts) >= toxicity.CUT) == labels).mean() > 0.95

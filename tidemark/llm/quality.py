@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textvec import mix, words
+from tidemark.llm.textvec import in_portions, mix, words
 from tidemark.llm.toxicity import best_cut, sample, score
 
 #: Most labelled rows of each class that training takes (by a hash of the id): a bound on the driver's memory.
@@ -135,7 +135,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float =
     """Gradient ascent (Adam) on the likelihood of each text's label on all its lines; the cut is set on a held fifth."""
     held = np.random.default_rng(seed).random(len(texts)) < 0.2
     fit = np.flatnonzero(~held)
-    parts = [lines([texts[i] for i in fit[k : k + 200]]) for k in range(0, len(fit), 200)]
+    parts = [lines(part) for part in in_portions([texts[i] for i in fit])]
     features = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, lines([""])[0].shape[1]))
     sizes = np.concatenate([np.diff(p[2]) for p in parts]) if parts else np.zeros(0, np.int64)
     firsts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -166,7 +166,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float =
             value[k] += rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-8)
     own = np.flatnonzero(held)
     if len(own) and 0 < labels[own].sum() < len(own):
-        raw = np.concatenate([model.raw([texts[i] for i in own[k : k + 200]]) for k in range(0, len(own), 200)])
+        raw = np.concatenate([model.raw(part) for part in in_portions([texts[i] for i in own])])
         model.cut = float(np.clip(1 - best_cut(1 - raw, 1 - labels[own]), 0.02, 0.98))
     return model
 

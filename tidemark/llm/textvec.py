@@ -86,3 +86,19 @@ def multiset(hashes: np.ndarray) -> np.ndarray:
         nth = np.arange(len(x)) - np.repeat(begins, np.diff(np.append(begins, len(x))))
         x = np.sort(np.where(nth > 0, mix(x + nth.astype(np.uint64) * _BASE), x))
     return x
+
+
+def portions(sizes: np.ndarray, most: int, total: int) -> list[slice]:
+    """Consecutive slices of at most ``most`` entries whose ``sizes`` add up to ``total`` at most; a larger entry is alone."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out, first = [], 0
+    while first < len(sizes):
+        last = min(first + most, int(np.searchsorted(ends, ends[first] + total, "right")) - 1)
+        out.append(slice(first, max(last, first + 1)))
+        first = out[-1].stop
+    return out
+
+
+def in_portions(texts: list[str], most: int = 200, total: int = 1 << 19) -> list[list[str]]:
+    """``texts`` in lists of bounded length, so that what is made of one follows neither their number nor their length."""
+    return [texts[at] for at in portions(np.array([len(t) for t in texts], np.int64), most, total)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import blocks, with_column
-from tidemark.llm.textvec import mix, span_hash, words
+from tidemark.llm.textvec import in_portions, mix, portions, span_hash, words
 
 #: Most labelled rows of each class that training takes (by a hash of the id), and most characters of each: bounds on the driver's memory.
 MOST_OF_CLASS = {1: 3000, 0: 6000}
@@ -20,6 +20,8 @@ MOST_CHARS = 40_000_000
 LEAST_TEXTS = 3
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 SLOTS = 1 << 22
+#: A step of training takes 32 texts, or fewer if they have more words than this, which bounds its memory.
+BATCH_WORDS = 1 << 17
 #: A word shares an embedding with all words that begin with the same bytes.
 PREFIX_BYTES = (4, 6)
 CUT = 0.7
@@ -143,7 +145,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7)
     rng = np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
         return constant(5.0 if len(labels) and labels[0] else -5.0)
-    chunks = [texts[i : i + 200] for i in range(0, len(texts), 200)]
+    chunks = in_portions(texts)
     kept = []
     for kind in range(1 + len(PREFIX_BYTES)):
         seen = []
@@ -183,8 +185,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7)
 
     for _ in range(epochs):
         rng.shuffle(fit)
-        for first in range(0, len(fit), 32):
-            batch = fit[first : first + 32]
+        for part in portions(sizes[fit], 32, BATCH_WORDS):
+            batch = fit[part]
             batch = batch[sizes[batch] > 0]
             if not len(batch):
                 continue

@@ -125,15 +125,18 @@ def record_bounds(ledger: DataFrame, bounds: DataFrame, execution_ts: str, run_g
     return record_window_end(record_window_start(ledger, rows, now), rows, now)
 
 
-def reload_days(facts: DataFrame, bounds: DataFrame, model: str, ts: str, path: str) -> int:
+def reload_days(facts: DataFrame, bounds: DataFrame, model: str, ts: str, path: str, half_open: bool = True) -> int:
     """Writes the rows inside each model's window by model and day, replacing the days it reads again.
 
     The lookback makes windows overlap, so days are replaced and not appended: late rows come in and nothing doubles.  A day is replaced as a whole, so a
     window is widened to whole days on both sides; days of it that have no rows any more come out empty.  All days are swapped at once
     (read them by ``read_partitions``); the version's number comes back.
+
+    The last day is taken up to midnight; with ``half_open=False`` up to its last full second, 23:59:59, as closed windows end.
     """
+    last = F.expr("interval '86399.999999' second" if half_open else "interval '86399' second")
     day = lambda c: F.col(c).cast("date").cast(NTZ)
-    whole = Scratch(facts.sparkSession, "whole").table(bounds.select("model_name", day("start_ts").alias("start_ts"), (day("end_ts") + F.expr("interval '86399.999999' second")).alias("end_ts")))
+    whole = Scratch(facts.sparkSession, "whole").table(bounds.select("model_name", day("start_ts").alias("start_ts"), (day("end_ts") + last).alias("end_ts")))
     rows = incremental_load(facts, whole, model, ts).withColumns({"load_model": F.col(model).cast("string"), "load_day": F.col(ts).cast("date")})
 
     def touched(parts: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """What only larger or finer tables show: last seconds, late files, very many partitions."""
 
+import os
 from datetime import datetime
 
 import duckdb
 
 from tidemark import queries as Q
+from tidemark.sources import ledger_store as S
 
 
 def test_closed_reload_ends_with_the_last_full_second(spark, tmp_path, same_rows):
@@ -16,3 +18,19 @@ def test_closed_reload_ends_with_the_last_full_second(spark, tmp_path, same_rows
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     for name in ("reload_days", "reload_days_midday"):
         assert same_rows(Q.QUERIES[name](spark, str(tmp_path)).toPandas()) == same_rows(con.execute(Q.ORACLE_SQL[name]).df())
+
+
+def test_streamed_upserts_in_any_order(spark, tmp_path):
+    """An older file that comes after a newer one does not move a key back."""
+    from tidemark.streaming.upserts import stream_upsert_status
+
+    log, path = f"{tmp_path}/log", f"{tmp_path}/ledger"
+    for i, hour in enumerate((9, 17, 4)):
+        row = ("m", "2026-06-01", "succeeded", datetime(2026, 6, 1, hour), "A", "f", None, None, None)
+        S.append_transitions(spark.createDataFrame([row], S.LEDGER).coalesce(1), log)
+        for file in os.listdir(log):  # files are streamed in the order of their times
+            if file.endswith(".parquet") and os.path.getmtime(f"{log}/{file}") > 1e9:
+                os.utime(f"{log}/{file}", (1000.0 + i, 1000.0 + i))
+    stream = spark.readStream.schema(S.LEDGER).option("maxFilesPerTrigger", 1).parquet(log)
+    stream_upsert_status(spark, stream, path, f"{tmp_path}/checkpoint").awaitTermination()
+    assert [r.updated_at for r in S.read_days(spark, path).collect()] == [datetime(2026, 6, 1, 17)]

@@ -33,18 +33,17 @@ def _reduced(incoming: DataFrame, key: list[str], order: str, columns: list[str]
     return last.unionByName(incoming.filter(~_whole(key)).select(*key, *rest))
 
 
-def upsert_status(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_status(ledger: DataFrame, incoming: DataFrame, late: bool = False) -> DataFrame:
     """Status transitions: a known key only has ``updated_at`` refreshed, an unknown one is inserted.
 
-    Of several incoming rows with one key the latest counts.
+    Of several incoming rows with one key the latest counts.  With ``late``, incoming rows may be older than the ledger's, and ``updated_at`` never moves back.
     """
     new = _reduced(incoming, KEY, "updated_at", [*KEY, "updated_at"])
     new = new.select(*[F.col(c).alias(f"n_{c}") for c in KEY], F.col("updated_at").alias("n_updated_at"), F.lit(True).alias("n"))
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"n_{c}") for c in KEY])
     kept = {c: F.coalesce(c, f"n_{c}") for c in KEY}
-    return ledger.join(new, same, "full_outer").select(
-        *_row(**{c: F.col(c) for c in LEDGER.names} | kept | {"updated_at": F.when(F.col("n"), F.col("n_updated_at")).otherwise(F.col("updated_at"))})
-    )
+    updated = F.greatest("updated_at", "n_updated_at") if late else F.when(F.col("n"), F.col("n_updated_at")).otherwise(F.col("updated_at"))
+    return ledger.join(new, same, "full_outer").select(*_row(**{c: F.col(c) for c in LEDGER.names} | kept | {"updated_at": updated}))
 
 
 def upsert_started(ledger: DataFrame, attempts: DataFrame, now) -> DataFrame:

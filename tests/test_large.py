@@ -34,3 +34,27 @@ def test_streamed_upserts_in_any_order(spark, tmp_path):
     stream = spark.readStream.schema(S.LEDGER).option("maxFilesPerTrigger", 1).parquet(log)
     stream_upsert_status(spark, stream, path, f"{tmp_path}/checkpoint").awaitTermination()
     assert [r.updated_at for r in S.read_days(spark, path).collect()] == [datetime(2026, 6, 1, 17)]
+
+
+def test_files_do_not_follow_the_number_of_chunks(spark, tmp_path):
+    """A thousand chunks of 500 models come in a few files, and are replaced, emptied and read one by one all the same."""
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.chunks import write_chunks
+    from tidemark.sources.generations import live, read_partitions
+
+    path = f"{tmp_path}/t"
+    rows = spark.range(3000).select((F.col("id") % 500).cast("string").alias("model_name"), F.when(F.col("id") % 1500 < 500, F.lit("a")).otherwise(F.lit("b")).alias("chunk_id"), F.col("id").alias("n"))
+    write_chunks(rows, path)
+    files = lambda: sum(f.endswith(".parquet") for _, _, fs in os.walk(f"{path}/data") for f in fs)
+    first = files()
+    assert first <= 128 and live(spark, path, []).count() == 1000
+    # Model 7 runs both chunks again and has rows for one of them.
+    ran = spark.createDataFrame([("7", "a"), ("7", "b")], "model_name string, chunk_id string")
+    write_chunks(spark.createDataFrame([("7", "b", -1)], rows.schema), path, ran=ran)
+    assert files() == first + 1
+    now = sorted((r.model_name, r.chunk_id, r.n) for r in read_partitions(spark, path).collect())
+    assert now == sorted([(r.model_name, r.chunk_id, r.n) for r in rows.filter("model_name <> '7'").collect()] + [("7", "b", -1)])
+    asked = read_partitions(spark, path, "model_name IN ('7', '8') AND chunk_id = 'b'").collect()
+    assert sorted((r.model_name, r.chunk_id, r.n) for r in asked) == sorted([("7", "b", -1)] + [("8", "b", r.n) for r in rows.filter("model_name = '8' AND chunk_id = 'b'").collect()])
+    assert read_partitions(spark, path, version=0).count() == 3000

@@ -141,9 +141,9 @@ def reload_days(facts: DataFrame, bounds: DataFrame, model: str, ts: str, path:
 
     def touched(parts: DataFrame) -> DataFrame:
         spans = whole.select(F.col("model_name").cast("string").alias("load_model"), F.col("start_ts").cast("date").alias("__a"), F.col("end_ts").cast("date").alias("__b"))
-        return parts.join(spans, "load_model").filter(F.col("load_day").cast("date").between(F.col("__a"), F.col("__b"))).select("folder").distinct()
+        return parts.join(spans, "load_model").filter(F.col("load_day").cast("date").between(F.col("__a"), F.col("__b")))
 
-    return replace_partitions(rows, path, ["load_model", "load_day"], touched)
+    return replace_partitions(rows, path, ["load_model", "load_day"], touched, packed=True)
 
 
 def single_bounds(plan: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ def write_chunks(df: DataFrame, path: str, model: str = "model_name", by: str =
     """Replaces exactly the chunks of each model that ``df`` holds rows of: running a chunk again changes no other chunk and no other model's.
 
     Chunks of ``ran`` (``model``, ``by``) without rows in ``df`` come out empty.  Chunks are staged apart and swapped at once (see :mod:`tidemark.sources.generations`,
-    whose ``read_partitions`` reads them); the version's number comes back.
+    whose ``read_partitions`` reads them), and packed, as they grow with the models; the version's number comes back.
     """
     covered = None if ran is None else ran.select(F.col(model).cast("string").alias(model), F.col(by).cast("string").alias(by)).distinct()
-    return replace_partitions(df, path, [model, by], None if covered is None else lambda parts: parts.join(covered, [model, by], "left_semi"))
+    return replace_partitions(df, path, [model, by], None if covered is None else lambda parts: parts.join(covered, [model, by], "left_semi"), packed=True)
 
 
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:

@@ -58,3 +58,8 @@ def test_files_do_not_follow_the_number_of_chunks(spark, tmp_path):
     asked = read_partitions(spark, path, "model_name IN ('7', '8') AND chunk_id = 'b'").collect()
     assert sorted((r.model_name, r.chunk_id, r.n) for r in asked) == sorted([("7", "b", -1)] + [("8", "b", r.n) for r in rows.filter("model_name = '8' AND chunk_id = 'b'").collect()])
     assert read_partitions(spark, path, version=0).count() == 3000
+
+
+def test_a_plan_read_from_json_walks_each_grid_once(spark, small):
+    plan = Q.QUERIES["plan_from_json"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("from_json(") == 1

@@ -123,7 +123,8 @@ def plan_from_json(plans: DataFrame) -> DataFrame:
     read = F.from_json("plan", "disposition string, chunks array<struct<chunk_id:string,start:string,end:string>>")
     at = lambda t: to_naive_utc(t)
     chunks = F.transform("p.chunks", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), at(c["start"]).alias("start"), at(c["end"]).alias("end"))).cast(WINDOWS)
-    return plans.select("model_name", read.alias("p")).select("model_name", "p.disposition", chunks.alias("chunks"))
+    # Exploded, the plan is a row that later filters cannot be pushed through: in a filter on its disposition the text would be made and read once more.
+    return plans.select("model_name", F.explode(F.array(read)).alias("p")).select("model_name", "p.disposition", chunks.alias("chunks"))
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
